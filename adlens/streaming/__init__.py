@@ -1,0 +1,9 @@
+"""Streaming.
+
+The analyses this library reproduces are batch-only: none uses a stream,
+watermark, event-time window or stateful operator. Their "late data" is a
+batch conversion tail (transactions read past the click window), which the
+operators model with explicit date parameters. Nothing is implemented here
+on purpose; the batch operators are lazy DataFrame functions and can be
+applied inside ``foreachBatch`` by a caller who streams the inputs.
+"""
