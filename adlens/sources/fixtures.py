@@ -10,6 +10,10 @@ sequence columns use the skew-split windows of ``functions.sequence``.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
+import os
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +22,12 @@ from pyspark.sql import types as T
 
 from adlens.functions.sequence import previous_in_sequence
 from adlens.functions.time import epoch_micros
-from adlens.sources.tables import read_table
+from adlens.session import checkpoint_dir
+from adlens.sources.tables import read_table, table_path
+
+# Bump when a derivation rule below changes (invalidates materialized copies).
+ADAPTER_VERSION = "3"
+SCHEMA_FILE = "_adlens_schema.json"  # underscore: ignored by Parquet readers
 
 # Fixed values of the test-data adapters.
 ANONYMOUS_USER = 0               # sentinel user id in the test data
@@ -89,7 +98,6 @@ def base_events(events: DataFrame) -> DataFrame:
         ((eid * 7 + i) % ITEM_MODULUS).cast("bigint").alias("itemid"))))
     device_case = (eid % len(DEVICE_PROFILES)).cast("int")
     is_purchase = F.col("event_type") == PURCHASE_EVENT
-    is_click = F.col("event_type") == CLICK_EVENT
 
     b = e.select(
         "event_id", "user_id", "event_type", "value",
@@ -112,85 +120,157 @@ def base_events(events: DataFrame) -> DataFrame:
         F.col("value").alias("revenue_local"),
         (F.col("value") * 0.5).alias("revenue_euro"),
         *[_device_column(i, device_case).alias(name) for i, name in enumerate(DEVICE_FIELDS)],
-        # latest click at or before this row, carried for the matched-sales view
-        F.when(is_click, F.struct(
-            F.expr(f"{UNIX_SECONDS}").alias("click_timestamp"),
-            F.when(eid % 13 != 0, eid % ITEM_MODULUS).alias("clicked_item_id"),
-            F.expr("event_id div 3").alias("click_impression_id"))).alias("__click"),
     )
-    order = ["ts_us", "event_id"]
-    b = previous_in_sequence(b, "user_id", "day", order, F.col("ts_us"), "__prev_us")
-    b = previous_in_sequence(b, "user_id", "day", order, F.col("__click"), "last_click",
-                             ignore_nulls=True)
+    return b
+
+
+ORDER = ["ts_us", "event_id"]
+
+
+def with_recency(base: DataFrame) -> DataFrame:
+    """Add ``days_last_visit``: days since the user's previous event (any type)."""
+    b = previous_in_sequence(base, "user_id", "day", ORDER, F.col("ts_us"), "__prev_us")
     dlv = (F.col("ts_us") - F.col("__prev_us")).cast("double") / F.lit(86400000000.0)
-    return b.withColumn("days_last_visit", dlv).drop("__prev_us", "__click")
+    return b.withColumn("days_last_visit", dlv).drop("__prev_us")
+
+
+def with_last_click(base: DataFrame) -> DataFrame:
+    """Add ``last_click``: the user's latest click at or before each row (as-of lookup).
+
+    Only clicks and purchases take part, so the sequence is computed over
+    those rows alone.
+    """
+    b = base.where(F.col("event_type").isin(CLICK_EVENT, PURCHASE_EVENT))
+    click = F.when(F.col("event_type") == CLICK_EVENT, F.struct(
+        F.col("unixtime").alias("click_timestamp"), F.col("item_id").alias("clicked_item_id"),
+        F.col("impression_id").alias("click_impression_id")))
+    return previous_in_sequence(b, "user_id", "day", ORDER, click, "last_click", ignore_nulls=True)
 
 
 class TestWarehouse:
-    """All derived inputs for one scale-factor directory (lazy)."""
+    """All derived inputs for one scale-factor directory.
+
+    With ``materialize=True`` (the default for registered plans) each
+    derived fact table is written once as Parquet, partitioned by ``day``
+    like the original warehouse, under the session's shared
+    ``spark.checkpoint.dir`` and keyed by the input files; later plans and
+    sessions read it back with partition pruning instead of re-deriving it.
+    With ``materialize=False`` everything stays a lazy expression.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.materialize = materialize
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def root(self) -> str:
+        h = hashlib.sha1(ADAPTER_VERSION.encode())
+        for name in ("events", "part", "orders", "lineitem"):
+            path = table_path(self.sf_dir, name)
+            st = os.stat(path) if os.path.exists(path) else None
+            h.update(f"{os.path.abspath(path)}:{st and st.st_size}:{st and st.st_mtime_ns}".encode())
+        return os.path.join(checkpoint_dir(self.spark), "adlens-warehouse", h.hexdigest()[:16])
+
+    def _stored(self, name: str, build, partition_by: tuple[str, ...] = ("day",)) -> DataFrame:
+        if not self.materialize:
+            return build()
+        path = os.path.join(self.root, name)
+        local = "://" not in path or path.startswith("file:")
+        fs_path = path.removeprefix("file:")
+        schema_file = os.path.join(fs_path, SCHEMA_FILE)
+        if local and os.path.exists(os.path.join(fs_path, "_SUCCESS")):
+            if os.path.exists(schema_file):
+                with open(schema_file) as f:
+                    schema = T.StructType.fromJson(json.load(f))
+            else:
+                schema = build().schema
+            return self.spark.read.schema(schema).parquet(path)
+        df = build()
+        target = f"{fs_path}.tmp-{uuid.uuid4().hex}" if local else path
+        writer = df.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(target)
+        if local:
+            with open(os.path.join(target, SCHEMA_FILE), "w") as f:
+                json.dump(df.schema.jsonValue(), f)
+            try:  # publish atomically; a concurrent identical copy may win
+                os.rename(target, fs_path)
+            except OSError:
+                pass
+        # the schema also types the partition columns on read-back
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def base(self) -> DataFrame:
         return base_events(self.table("events"))
 
+    @cached_property
+    def base_with_recency(self) -> DataFrame:
+        return with_recency(self.base)
+
     # -- facts ---------------------------------------------------------------
     @cached_property
     def displays(self) -> DataFrame:
         """``display`` and ``display_full`` in one frame (both column layouts)."""
-        b = self.base.where(F.col("event_type").isin(*DISPLAY_EVENTS))
-        return b.select(
-            "partner_id", "partner_partition", "day", "user_id", "impression_id",
-            (F.col("event_id") % 4).cast("int").alias("campaign_id"),
-            (F.col("partner_id") + 100).cast("int").alias("client_id"),
-            F.col("partner_id").alias("merchant_id"), "host_platform", "days_last_visit",
-            "is_fbx", F.col("value").alias("sum_display_revenue_local"),
-            (F.col("value") * 0.5).alias("marketplace_revenue_raw_euro"),
-            F.col("unixtime").alias("timestamp"), "item_id", "displayed_products")
+        def build():
+            b = self.base_with_recency.where(F.col("event_type").isin(*DISPLAY_EVENTS))
+            return b.select(
+                "partner_id", "partner_partition", "day", "user_id", "impression_id",
+                (F.col("event_id") % 4).cast("int").alias("campaign_id"),
+                (F.col("partner_id") + 100).cast("int").alias("client_id"),
+                F.col("partner_id").alias("merchant_id"), "host_platform", "days_last_visit",
+                "is_fbx", F.col("value").alias("sum_display_revenue_local"),
+                (F.col("value") * 0.5).alias("marketplace_revenue_raw_euro"),
+                F.col("unixtime").alias("timestamp"), "item_id", "displayed_products")
+        return self._stored("displays", build)
 
     @cached_property
     def clicks(self) -> DataFrame:
         """``click`` and ``click_full`` in one frame."""
-        b = self.base.where(F.col("event_type") == CLICK_EVENT)
-        return b.select(
-            "partner_id", "partner_partition", F.col("partner_id").alias("merchant_id"),
-            "host_platform", "day", "user_id", F.col("unixtime").alias("timestamp"),
-            "impression_id", "item_id", "revenue_local", "revenue_euro", "days_last_visit")
+        def build():
+            b = self.base_with_recency.where(F.col("event_type") == CLICK_EVENT)
+            return b.select(
+                "partner_id", "partner_partition", F.col("partner_id").alias("merchant_id"),
+                "host_platform", "day", "user_id", F.col("unixtime").alias("timestamp"),
+                "impression_id", "item_id", "revenue_local", "revenue_euro", "days_last_visit")
+        return self._stored("clicks", build)
 
     @cached_property
     def matched_transactions(self) -> DataFrame:
         """Purchases matched to the user's latest click at or before them."""
-        b = self.base.where(F.col("event_type") == PURCHASE_EVENT)
-        lc = F.col("last_click")
-        pc = lc.isNotNull() & ((F.col("unixtime") - lc["click_timestamp"]) <= PC_WINDOW_SECONDS)
-        return b.select(
-            "partner_id", "partner_partition", "day", "user_id", "transaction_id",
-            lc["click_timestamp"].alias("click_timestamp"),
-            lc["clicked_item_id"].alias("click_internal_item_id"),
-            lc["clicked_item_id"].alias("clicked_item_id"),
-            lc["click_impression_id"].alias("impression_id"),
-            F.col("value").alias("order_value"),
-            F.when(pc, F.lit("pc")).otherwise(F.lit("pv")).alias("attribution_type"),
-            F.when(F.col("event_id") % 5 != 0, F.lit(1)).otherwise(F.lit(0)).alias("deduplication_matching"))
+        def build():
+            b = with_last_click(self.base).where(F.col("event_type") == PURCHASE_EVENT)
+            lc = F.col("last_click")
+            pc = lc.isNotNull() & ((F.col("unixtime") - lc["click_timestamp"]) <= PC_WINDOW_SECONDS)
+            return b.select(
+                "partner_id", "partner_partition", "day", "user_id", "transaction_id",
+                lc["click_timestamp"].alias("click_timestamp"),
+                lc["clicked_item_id"].alias("click_internal_item_id"),
+                lc["clicked_item_id"].alias("clicked_item_id"),
+                lc["click_impression_id"].alias("impression_id"),
+                F.col("value").alias("order_value"),
+                F.when(pc, F.lit("pc")).otherwise(F.lit("pv")).alias("attribution_type"),
+                F.when(F.col("event_id") % 5 != 0, F.lit(1)).otherwise(F.lit(0))
+                .alias("deduplication_matching"))
+        return self._stored("matched_transactions", build)
 
     @cached_property
     def site_events(self) -> DataFrame:
-        return self.base.select(
+        return self._stored("site_events", lambda: self.base.select(
             "partner_id", "partner_partition", "day", "user_id", "unixtime", "event_name",
-            "persistent_user", "transaction_id", "products")
+            "persistent_user", "transaction_id", "products"))
 
     @cached_property
     def site_events_rich(self) -> DataFrame:
-        return self.base.select(
+        return self._stored("site_events_rich", lambda: self.base.select(
             F.col("partner_id").alias("partnerid"), F.col("user_id").alias("uid"), "day",
             F.col("unixtime").alias("timestamp"), F.col("event_name").alias("eventtype"),
-            *DEVICE_FIELDS)
+            *DEVICE_FIELDS))
 
     @cached_property
     def reco_displays(self) -> DataFrame:
@@ -199,6 +279,9 @@ class TestWarehouse:
 
     @cached_property
     def identity(self) -> DataFrame:
+        return self._stored("identity", self._identity)
+
+    def _identity(self) -> DataFrame:
         """Identity graph: uid -> linked uids (group ``u div 4``, members m <= u)."""
         users = (self.table("events").select(F.col("user_id").alias("u"))
                  .where(F.col("u").isNotNull() & (F.col("u") != ANONYMOUS_USER)).distinct()
@@ -244,6 +327,9 @@ class TestWarehouse:
 
     @cached_property
     def catalog_stats(self) -> DataFrame:
+        return self._stored("catalog_stats", self._catalog_stats)
+
+    def _catalog_stats(self) -> DataFrame:
         b = self.base.where(F.col("item_id").isNotNull()
                             & F.col("event_type").isin(*DISPLAY_EVENTS, CLICK_EVENT))
         is_disp = F.col("event_type").isin(*DISPLAY_EVENTS)
@@ -279,12 +365,18 @@ class TestWarehouse:
 
     @cached_property
     def test_users(self) -> DataFrame:
+        return self._stored("test_users", self._test_users, partition_by=())
+
+    def _test_users(self) -> DataFrame:
         b = self.base.where((F.col("event_type") == PURCHASE_EVENT) & (F.col("day") >= F.lit(TEST_USERS_FROM)))
         return b.groupBy("user_id").agg(F.min("day").alias("first_day_seen"))
 
     # -- large order variant (orders + lineitem) -----------------------------
     @cached_property
     def order_site_events(self) -> DataFrame:
+        return self._stored("order_site_events", self._order_site_events, partition_by=())
+
+    def _order_site_events(self) -> DataFrame:
         """Sales site events built from orders; several orders of a customer in
         one month share a transaction id, so emissions repeat."""
         o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
