@@ -50,11 +50,17 @@ def performance_by_matched_cookies(displays: DataFrame, clicks: DataFrame, trans
     ids = matched_cookies(identity, day=identity_day, platform=platform).drop("users")
     j = (disp.join(clk, "impression_id", "left")
          .join(mt, (F.col("mt_item_id") == F.col("item_id"))
-               & (F.col("mt_impression_id") == F.col("impression_id")), "left")
-         .join(ids, F.col("user_id") == F.col("uid"), "left"))
-    return j.groupBy(matched_band("matched_cookies").alias("matched_cookies")).agg(
+               & (F.col("mt_impression_id") == F.col("impression_id")), "left"))
+    # collapse to one row per user before the identity join, so a hot user
+    # reaches that join as one row instead of all its displays
+    per_user = j.groupBy("user_id").agg(
+        F.sum("num_disp").alias("displays"), F.sum("clicks").alias("clicks"),
+        F.sum("spend").alias("spend"), F.sum("transactions").alias("transactions"),
+        F.sum("order_value").alias("order_value"))
+    banded = per_user.join(ids, F.col("user_id") == F.col("uid"), "left")
+    return banded.groupBy(matched_band("matched_cookies").alias("matched_cookies")).agg(
         F.count_distinct("user_id").alias("total_cookies"),
-        F.sum("num_disp").cast("bigint").alias("displays"),
+        F.sum("displays").cast("bigint").alias("displays"),
         F.sum("clicks").alias("clicks"),
         to_double(F.sum("spend")).alias("spend"),
         F.sum("transactions").alias("transactions"),
@@ -92,9 +98,19 @@ def audience_overlap(displays: DataFrame, dim_client: DataFrame, flags: DataFram
                        & (F.col("host_platform") == platform))
     c = dim_client.where(F.col("client_country_code") == country) \
         .select("client_id", "vertical_level_2_name")
-    j = d.join(c, "client_id").join(flags, F.col("user_id") == F.col("uid"), "left")
-    return j.groupBy(
-        F.when(F.col("merchant_id") == partner, F.lit(1)).otherwise(F.lit(0)).alias("current_client"),
-        "vertical_level_2_name", "platform_match", "client_match", "other_client_match",
-    ).agg(to_double(money_sum("marketplace_revenue_raw_euro")).alias("revenue"),
-          F.count_distinct("user_id").alias("num_users"))
+    # Pre-aggregate the 7 days of displays to one row per (user, current
+    # client?, vertical) before joining the per-user flags: the join sees one
+    # row per user and group instead of every display (hot users included).
+    per_user = (d.join(c, "client_id")
+                .groupBy("user_id",
+                         F.when(F.col("merchant_id") == partner, F.lit(1)).otherwise(F.lit(0))
+                         .alias("current_client"),
+                         "vertical_level_2_name")
+                .agg(money_sum("marketplace_revenue_raw_euro").alias("revenue")))
+    j = per_user.join(flags, F.col("user_id") == F.col("uid"), "left")
+    # flags are per user, so a user occurs at most once per output group and
+    # COUNT(DISTINCT user_id) is a plain count of the pre-aggregated rows
+    return j.groupBy("current_client", "vertical_level_2_name", "platform_match", "client_match",
+                     "other_client_match").agg(
+        to_double(F.sum("revenue")).alias("revenue"),
+        F.count("user_id").alias("num_users"))

@@ -100,7 +100,9 @@ def lookback_events(buyers_full: DataFrame, site_events_rich: DataFrame, *, calc
                    F.col("uid").alias("user_id"), classify_device().alias("device_type"),
                    F.col("eventtype").alias("event_type"))
     b = buyers_full.withColumnRenamed("timestamp", "buy_ts")
-    j = b.join(ev, ["user_id", "partner_id"]).where(
+    # events on the streamed (left) side: a hot user's events are scanned,
+    # only its few buyer rows are buffered per key
+    j = ev.join(b, ["user_id", "partner_id"]).where(
         F.col("ev_ts").between(F.col("buy_ts") - lookback_seconds, F.col("buy_ts")))
     extra = [c for c in buyers_full.columns if c not in ("timestamp", "partner_id", "super_uid", "user_id")]
     return j.select(F.col("ev_ts").alias("timestamp"), "partner_id", *extra, "super_uid", "user_id",
@@ -121,38 +123,52 @@ def cookie_switches(events: DataFrame, dim_merchant: DataFrame, dim_client: Data
 
     Row n is compared with row n+1 of the global order, so each buyer's
     oldest row is compared with the *next buyer's* newest row and the very
-    last row has no successor. Inside a buyer this is ``lead`` over a
-    partitioned window; the boundary comes from a one-row-per-buyer heads
-    table, itself windowed per order-preserving bucket, so no step sorts
-    the events globally.
+    last row has no successor.
+
+    No step sorts a whole buyer or the whole table. Rows look ahead inside
+    their (buyer, day) segment; the last row of a segment takes the head of
+    the next segment from a one-row-per-segment table: the buyer's next
+    (older) day, or, for the buyer's oldest day, the next buyer's newest
+    head. The next-buyer lookup runs per order-preserving bucket of buyers,
+    and only bucket boundaries (one row per bucket) meet in a single task.
     """
     mc = dim_merchant.join(dim_client, F.col("most_displayed_client_id") == F.col("client_id")) \
         .select(F.col("merchant_id").alias("partner_id"))
     x = (events.join(mc, "partner_id", "left_semi")
          .where(F.col("device_type").isin(*DEVICE_TYPES_KEPT) & F.col("partner_id").isin(list(partners)))
-         .withColumn("device", collapse_device("device_type")))
-    w = Window.partitionBy(*BUYER).orderBy(*_journey_order())
+         .withColumn("device", collapse_device("device_type"))
+         .withColumn("__day", F.floor(F.col("timestamp") / F.lit(86400))))
+    seg = [*BUYER, "__day"]          # newest-first order is monotone in __day
+    w = Window.partitionBy(*seg).orderBy(*_journey_order())
     x = (x.withColumn("__next_user", F.lead("user_id").over(w))
          .withColumn("__is_last", F.lead(F.lit(1)).over(w).isNull())
          .withColumn("__rn", F.row_number().over(w)))
 
-    heads = x.where(F.col("__rn") == 1).select(*BUYER, F.col("user_id").alias("head_user"))
-    bucket = _order_bucket("super_uid", x.schema["super_uid"].dataType, bucket_width)
-    heads = heads.withColumn("__b", bucket)
+    # one row per (buyer, day): head user and the next segment of the same buyer
+    heads = x.where(F.col("__rn") == 1).select(*seg, F.col("user_id").alias("head_user"))
+    wd = Window.partitionBy(*BUYER).orderBy(F.col("__day").desc())
+    heads = (heads.withColumn("__next_seg_head", F.lead("head_user").over(wd))
+             .withColumn("__last_seg", F.lead(F.lit(1)).over(wd).isNull()))
+
+    # one row per buyer: its newest head, and the next buyer's newest head
+    buyers_ = heads.groupBy(*BUYER).agg(F.max_by("head_user", "__day").alias("buyer_head"))
+    buyers_ = buyers_.withColumn("__b", _order_bucket("super_uid", x.schema["super_uid"].dataType,
+                                                      bucket_width))
     wb = Window.partitionBy("partner_id", "__b").orderBy(F.col("super_uid").asc_nulls_first())
-    heads = (heads.withColumn("__next_head", F.lead("head_user").over(wb))
-             .withColumn("__bucket_last", F.lead(F.lit(1)).over(wb).isNull()))
-    # one row per non-empty bucket; the global window runs over buckets only
-    firsts = heads.groupBy("partner_id", "__b").agg(
-        F.min_by("head_user", F.col("super_uid")).alias("__first_head"))
-    wg = Window.orderBy("partner_id", "__b")
-    firsts = firsts.select("partner_id", "__b",
-                           F.lead("__first_head").over(wg).alias("__following_first"))
-    heads = (heads.join(firsts, ["partner_id", "__b"], "left")
-             .select(*BUYER, F.when(F.col("__bucket_last"), F.col("__following_first"))
-                     .otherwise(F.col("__next_head")).alias("__boundary_user")))
-
-    x = x.join(heads, BUYER, "left")
+    buyers_ = (buyers_.withColumn("__next_buyer_head", F.lead("buyer_head").over(wb))
+               .withColumn("__bucket_last", F.lead(F.lit(1)).over(wb).isNull()))
+    firsts = buyers_.groupBy("partner_id", "__b").agg(
+        F.min_by("buyer_head", F.col("super_uid")).alias("__first_head"))
+    firsts = firsts.select("partner_id", "__b", F.lead("__first_head").over(
+        Window.orderBy("partner_id", "__b")).alias("__following_first"))
+    buyer_next = buyers_.join(firsts, ["partner_id", "__b"], "left").select(
+        *BUYER, F.when(F.col("__bucket_last"), F.col("__following_first"))
+        .otherwise(F.col("__next_buyer_head")).alias("__buyer_next"))
+    heads = heads.join(buyer_next, BUYER, "left").select(
+        *seg, F.when(F.col("__last_seg"), F.col("__buyer_next"))
+        .otherwise(F.col("__next_seg_head")).alias("__boundary_user"))
+
+    x = x.join(heads, seg, "left")
     nxt = F.when(F.col("__is_last"), F.col("__boundary_user")).otherwise(F.col("__next_user"))
     keep = (F.col("user_id") != nxt) & not_anonymous("user_id", sentinel)
     return x.where(keep).select("timestamp", "partner_id", "super_uid", "device", "user_id", "event_type")
@@ -160,9 +176,21 @@ def cookie_switches(events: DataFrame, dim_merchant: DataFrame, dim_client: Data
 
 def device_sequence(switches: DataFrame, k: int = 3) -> DataFrame:
     """Device at the sale (rows at the buyer's max timestamp; ties keep
-    several) and the devices of the next ``k`` rows of the same buyer."""
+    several) and the devices of the next ``k`` rows of the same buyer.
+
+    Only the buyer's newest ``k + 1`` days can hold the sale rows and the
+    ``k`` rows after them (every kept day has at least one row), so the
+    per-buyer window runs on those days alone, not on the whole journey.
+    """
+    day = F.floor(F.col("timestamp") / F.lit(86400))
+    sw = switches.withColumn("__day", day)
+    recent = (sw.select(*BUYER, "__day").distinct()
+              .withColumn("__r", F.row_number().over(
+                  Window.partitionBy(*BUYER).orderBy(F.col("__day").desc())))
+              .where(F.col("__r") <= k + 1).drop("__r"))
+    sw = sw.join(recent, [*BUYER, "__day"], "left_semi")
     w = Window.partitionBy(*BUYER).orderBy(*_journey_order())
-    x = switches.withColumn("timestamp_ref", F.max("timestamp").over(Window.partitionBy(*BUYER)))
+    x = sw.withColumn("timestamp_ref", F.max("timestamp").over(Window.partitionBy(*BUYER)))
     for i in range(1, k + 1):
         x = x.withColumn(f"device_{i}", F.lead("device", i).over(w))
     return x.where(F.col("timestamp") == F.col("timestamp_ref")).select(

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from adlens.operators import abtest, exposure, funnel, identity, journey, response
@@ -149,7 +151,8 @@ def _naive_sequences(switches, k=3):
     return sorted(res, key=repr)
 
 
-def test_cookie_switches_and_sequences_match_naive(spark):
+@pytest.mark.parametrize("scale", [1, 40000])   # same day / spread over many days
+def test_cookie_switches_and_sequences_match_naive(spark, scale):
     ev = [
         # buyer (1, 10): ties at max ts, repeats, a sentinel row
         (100, 1, 10, 10, "iPhone", "Sales"), (100, 1, 10, 11, "iPad", "view"),
@@ -165,6 +168,7 @@ def test_cookie_switches_and_sequences_match_naive(spark):
         # partner 3 excluded by the partner list
         (5, 3, 10, 17, "Desktop", "Sales"),
     ]
+    ev = [(t * scale, *rest) for t, *rest in ev]
     cols = ["timestamp", "partner_id", "super_uid", "user_id", "device_type", "event_type"]
     df = spark.createDataFrame(ev, "timestamp long, partner_id int, super_uid long, user_id long, "
                                    "device_type string, event_type string")
