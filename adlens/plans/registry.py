@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from adlens.functions.predicates import partitions_for
 from adlens.operators import abtest, exposure, funnel, identity, items, journey, preview, response
 from adlens.params import P
+from adlens.session import cut_lineage
 from adlens.sources.fixtures import TestWarehouse
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -297,18 +298,24 @@ def _buyers(w, with_dims=False):
                           platform=P.platform, **kw)
 
 
+# The path-to-purchase steps reuse their inputs several times (the buyers in
+# both branches of the identity expansion, the journey in the heads table and
+# the final join). Each step's output is cut with a reliable checkpoint in the
+# shared checkpoint folder, as the original materializes each step as a
+# table, so upstream scans and shuffles run once instead of once per use.
 def _buyers_full(w):
-    return journey.expand_identities(_buyers(w), w.identity, calc_date=P.p2p_date,
-                                     platform=P.platform)
+    return cut_lineage(journey.expand_identities(_buyers(w), w.identity, calc_date=P.p2p_date,
+                                                 platform=P.platform))
 
 
 def _lookback(w):
-    return journey.lookback_events(_buyers_full(w), w.site_events_rich, calc_date=P.p2p_date)
+    return cut_lineage(journey.lookback_events(_buyers_full(w), w.site_events_rich,
+                                               calc_date=P.p2p_date))
 
 
 def _switches(w):
-    return journey.cookie_switches(_lookback(w), w.dim_merchant, w.dim_client,
-                                   partners=P.p2p_partners, sentinel=P.sentinel)
+    return cut_lineage(journey.cookie_switches(_lookback(w), w.dim_merchant, w.dim_client,
+                                               partners=P.p2p_partners, sentinel=P.sentinel))
 
 
 @plan("buyers")

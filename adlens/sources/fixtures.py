@@ -27,6 +27,9 @@ from adlens.sources.tables import read_table, table_path
 
 # Bump when a derivation rule below changes (invalidates materialized copies).
 ADAPTER_VERSION = "3"
+WAREHOUSE_ROOT_CONF = "spark.adlens.warehouse.root"   # optional; defaults under spark.checkpoint.dir
+MATERIALIZED = ("displays", "clicks", "matched_transactions", "site_events", "site_events_rich",
+                "identity", "catalog_stats", "test_users", "order_site_events")
 SCHEMA_FILE = "_adlens_schema.json"  # underscore: ignored by Parquet readers
 
 # Fixed values of the test-data adapters.
@@ -173,7 +176,14 @@ class TestWarehouse:
             path = table_path(self.sf_dir, name)
             st = os.stat(path) if os.path.exists(path) else None
             h.update(f"{os.path.abspath(path)}:{st and st.st_size}:{st and st.st_mtime_ns}".encode())
-        return os.path.join(checkpoint_dir(self.spark), "adlens-warehouse", h.hexdigest()[:16])
+        base = self.spark.conf.get(WAREHOUSE_ROOT_CONF, None) or \
+            os.path.join(checkpoint_dir(self.spark), "adlens-warehouse")
+        return os.path.join(base, h.hexdigest()[:16])
+
+    def materialize_all(self) -> None:
+        """Build every derived table now (otherwise each is built on first use)."""
+        for name in MATERIALIZED:
+            getattr(self, name)
 
     def _stored(self, name: str, build, partition_by: tuple[str, ...] = ("day",)) -> DataFrame:
         if not self.materialize:

@@ -27,6 +27,14 @@ def test_scan_is_pruned_and_filtered(spark):
 
 def test_switches_do_not_sort_events_globally(spark):
     # exactly one single-partition exchange: the window over bucket boundaries
-    # (one row per non-empty bucket), never over events or buyers
-    df = queries()["cookie_switches"](spark, SMOKE_DIR)
-    assert _plan(df).count("Exchange SinglePartition") == 1
+    # (one row per non-empty bucket), never over events, buyers or segments
+    from adlens.operators import journey
+    from adlens.params import P
+    from adlens.sources.fixtures import TestWarehouse
+    w = TestWarehouse(spark, SMOKE_DIR)
+    buyers = journey.buyers(w.site_events_rich, w.dim_merchant, w.dim_client, w.identity,
+                            w.partner_status, partners=P.p2p_partners, calc_date=P.p2p_date)
+    full = journey.expand_identities(buyers, w.identity, calc_date=P.p2p_date)
+    lb = journey.lookback_events(full, w.site_events_rich, calc_date=P.p2p_date)
+    sw = journey.cookie_switches(lb, w.dim_merchant, w.dim_client, partners=P.p2p_partners, sentinel=0)
+    assert _plan(sw).count("Exchange SinglePartition") == 1
