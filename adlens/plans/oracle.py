@@ -689,8 +689,11 @@ SELECT partnerid, uid, "timestamp", eventtype, {DEVICE_CASE} AS device_type FROM
     o["sequence_distribution"] = _with(*ctes, body="""
 SELECT device_sale, device_1, device_2, device_3, COUNT(0) AS "count"
 FROM switch_id GROUP BY device_sale, device_1, device_2, device_3""")
-    o["matched_transactions_preview"] = _with(body=f"""
-SELECT * FROM matched_transactions
+    # a MATERIALIZED CTE: DuckDB otherwise plans SELECT * through the as-of
+    # join pathologically on larger inputs (same rows either way)
+    o["matched_transactions_preview"] = _with(
+        "mt_preview AS MATERIALIZED (SELECT * FROM matched_transactions)", body=f"""
+SELECT * FROM mt_preview
 WHERE day = {_d(P.preview_day)} AND partner_id = {P.preview_partner}
 LIMIT {P.preview_rows}""")
     return o
