@@ -37,17 +37,23 @@ def build_session(master: str | None = None, app: str = "adlens",
     return spark
 
 
+LOCAL_CHECKPOINT_CONF = "spark.adlens.local.checkpoint.dir"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts and written intermediates.
 
     Uses ``spark.checkpoint.dir`` from the session (the cluster's shared
-    storage). Only when it is unset (tests, local runs) a scratch folder is
-    created and registered.
+    storage), else a checkpoint folder already set on the context. Only when
+    neither exists (tests, local runs) a scratch folder is created, once per
+    session, and registered as the context's checkpoint folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        d = spark.conf.get(LOCAL_CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="adlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        spark.conf.set(LOCAL_CHECKPOINT_CONF, d)  # core confs cannot be set at runtime
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
