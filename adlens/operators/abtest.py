@@ -12,6 +12,7 @@ from adlens.functions.money import money, to_double
 from adlens.functions.population import ab_population
 from adlens.functions.predicates import day_between, not_anonymous, partner_scope
 from adlens.functions.time import epoch_to_day
+from adlens.sources.schemas import require_columns
 
 # The sales event name and the display revenue unit (per mille).
 SALES = "Sales"
@@ -54,7 +55,12 @@ def ab_delivery_measures(clicks: DataFrame, displays: DataFrame, *, partners: Se
         F.sum("displays").cast("bigint").alias("displays"))
 
 
+SITE_EVENT_COLS = ("partner_id", "partner_partition", "day", "user_id", "unixtime", "event_name",
+                   "persistent_user", "transaction_id", "products")
+
+
 def _sales(site_events: DataFrame, partners, modulus, start, end, sentinel) -> DataFrame:
+    require_columns(site_events, SITE_EVENT_COLS, "order value")
     return site_events.where(partner_scope(partners, modulus) & day_between("day", start, end)
                              & not_anonymous("user_id", sentinel) & F.col("persistent_user")
                              & (F.col("event_name") == SALES))

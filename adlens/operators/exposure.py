@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from adlens.functions.bands import DEFAULT_EXPOSURE_EDGES, band_by_edges, hour_ladder
 from adlens.functions.money import money_sum, to_double
 from adlens.functions.predicates import day_between, not_anonymous, partner_scope
+from adlens.sources.schemas import require_columns
+
+DISPLAY_COLS = ("merchant_id", "day", "user_id", "host_platform", "days_last_visit", "is_fbx")
 
 
 def display_reach(displays: DataFrame, *, start: dt.date, end: dt.date | None = None,
@@ -33,6 +36,7 @@ def frequency_cells(displays: DataFrame, *, merchants: Sequence[int], start: dt.
 
     Rows with NULL recency are dropped; recency truncates toward zero.
     """
+    require_columns(displays, DISPLAY_COLS, "frequency_cells")
     cond = (F.col("merchant_id").isin(list(merchants)) & day_between("day", start, end)
             & not_anonymous("user_id", sentinel) & (F.col("host_platform") == platform)
             & F.col("days_last_visit").isNotNull())
@@ -55,6 +59,7 @@ def hourly_recency_cells(displays: DataFrame, *, merchants: Sequence[int], start
                          end: dt.date, platform: str = "EU", sentinel=None,
                          bins: int = 24) -> DataFrame:
     """A4: displays per (merchant, day, user, hour since last visit) for visits within a day."""
+    require_columns(displays, DISPLAY_COLS, "hourly_recency_cells")
     cond = (F.col("merchant_id").isin(list(merchants)) & day_between("day", start, end)
             & not_anonymous("user_id", sentinel) & (F.col("host_platform") == platform)
             & (F.col("days_last_visit") <= 1) & (F.col("days_last_visit") > 0))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from adlens.functions.devices import DEVICE_TYPES_KEPT, classify_device, collapse_device
 from adlens.functions.predicates import day_between, not_anonymous
+from adlens.sources.schemas import require_columns
 
 SALES = "Sales"
 LOOKBACK_SECONDS = 30 * 86400
@@ -132,6 +133,8 @@ def cookie_switches(events: DataFrame, dim_merchant: DataFrame, dim_client: Data
     head. The next-buyer lookup runs per order-preserving bucket of buyers,
     and only bucket boundaries (one row per bucket) meet in a single task.
     """
+    require_columns(events, ("timestamp", *BUYER, "user_id", "device_type", "event_type"),
+                    "cookie_switches")
     mc = dim_merchant.join(dim_client, F.col("most_displayed_client_id") == F.col("client_id")) \
         .select(F.col("merchant_id").alias("partner_id"))
     x = (events.join(mc, "partner_id", "left_semi")

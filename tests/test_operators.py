@@ -206,3 +206,19 @@ def test_lookback_window_and_identity_expansion(spark):
        "ua_os_family string, ua_browser_family string, useragent string, display_env string")
     lb = journey.lookback_events(full, ev, calc_date=D(2024, 1, 30))
     assert rows(lb, "timestamp", "user_id", "device_type") == [(t0 - 2592000, 8, "Desktop")]
+
+
+def test_missing_columns_are_reported(spark):
+    df = spark.createDataFrame([(1,)], "user_id long")
+    with pytest.raises(ValueError, match="frequency_cells"):
+        exposure.frequency_cells(df, merchants=[1], start=D(2024, 1, 1), end=D(2024, 1, 2))
+
+
+def test_lazy_inputs_equal_materialized(spark):
+    from adlens.sources.fixtures import TestWarehouse
+    from conftest import SMOKE_DIR
+    lazy, stored = TestWarehouse(spark, SMOKE_DIR, materialize=False), TestWarehouse(spark, SMOKE_DIR)
+    for name in ("displays", "matched_transactions", "identity"):
+        a, b = getattr(lazy, name), getattr(stored, name)
+        cols = [c for c in a.columns if c not in ("events", "displayed_products")]
+        assert rows(a, *cols) == rows(b, *cols), name
