@@ -73,22 +73,33 @@ def decode_ids(enc: tiktoken.Encoding, packed: bytes) -> bytes:
     return enc.decode_bytes(np.frombuffer(packed, dtype="<u4").tolist())
 
 
-def encode(docs: DataFrame, *, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+def _with_column(df: DataFrame, of: str, out: str, make) -> DataFrame:
+    """``df`` with the binary column ``out`` that ``make()`` computes from each value of column ``of``."""
+    base = df.drop(out) if out != of else df
+    schema = base.schema
+    at_col = schema.names.index(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                yield pa.record_batch([*b.columns, pa.array([f(x.as_py()) for x in b.column(at_col)], pa.binary())],
+                                      names=[*schema.names, out])
+
+    return base.mapInArrow(run, type(schema)(list(schema.fields)).add(out, "binary"))
+
+
+def encode(docs: DataFrame, *, rank_path: str, pattern: str, text_col: str = "text", out_col: str = "ids",
            piece_chars: int = 1 << 16) -> DataFrame:
-    """``id_col, ids``: each text's token ids, packed as little-endian uint32 (binary)."""
+    """``docs`` with ``out_col``: each text's ids, packed as little-endian uint32. A column of that name is replaced."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(rank_path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         enc = encoder(ranks.value, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                ids = [encode_text(enc, t.as_py() or "", piece_chars).tobytes() for t in b.column(1)]
-                yield pa.record_batch([b.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+        return lambda text: encode_text(enc, text or "", piece_chars).tobytes()
 
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ids binary")
-    return out.select(F.col("id").alias(id_col), "ids")
+    return _with_column(docs, text_col, out_col, make)
 
 
 def decode(tokens: DataFrame, *, rank_path: str, pattern: str, ids_col: str = "ids",
@@ -96,28 +107,18 @@ def decode(tokens: DataFrame, *, rank_path: str, pattern: str, ids_col: str = "i
     """``tokens`` with ``out_col``: the raw bytes that the packed ids stand for
     (null for null ids). A column of that name is replaced."""
     ranks = tokens.sparkSession.sparkContext.broadcast(load_ranks(rank_path))
-    base = tokens.drop(out_col) if out_col != ids_col else tokens
-    schema = base.schema
-    kept = list(range(len(schema)))
-    at_ids = schema.names.index(ids_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         enc = encoder(ranks.value, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                raw = [None if x.as_py() is None else decode_ids(enc, x.as_py()) for x in b.column(at_ids)]
-                yield pa.record_batch([b.column(i) for i in kept] + [pa.array(raw, pa.binary())],
-                                      names=[*schema.names, out_col])
+        return lambda ids: None if ids is None else decode_ids(enc, ids)
 
-    out = type(schema)(list(schema.fields)).add(out_col, "binary")
-    return base.mapInArrow(run, out)
+    return _with_column(tokens, ids_col, out_col, make)
 
 
 def token_digests(docs: DataFrame, *, rank_path: str, pattern: str, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """Encode, decode, and digest both: ``id, n_tokens, ids_sha256, decoded_sha256``."""
-    tokens = encode(docs, rank_path=rank_path, pattern=pattern, id_col=id_col, text_col=text_col)
-    both = decode(tokens, rank_path=rank_path, pattern=pattern)
+    tokens = encode(docs.select(id_col, text_col), rank_path=rank_path, pattern=pattern, text_col=text_col)
+    both = decode(tokens.select(id_col, "ids"), rank_path=rank_path, pattern=pattern)
     return both.select(id_col, (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

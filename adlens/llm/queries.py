@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import bpe, chat, mixing, secrets
+from adlens.llm import bpe, chat, jaccard, langid, lm, mixing, neardup, secrets, substrings, topk
 from adlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,30 @@ def query(name: str):
     return deco
 
 
+@query("op1_ngram_jaccard")
+def op1(spark, sf_dir):
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_aggregate(words[i:i + 3], 'string_agg', ' ') AS shingle
+  FROM w, LATERAL (SELECT unnest(range(1, greatest(len(words) - 2, 2))) AS i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (shingle)
+         WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = doc_id GROUP BY doc_id
+"""
+
+
 @query("op2_mix_sources")
 def op2(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
@@ -57,6 +82,47 @@ FROM documents JOIN counts USING (doc_id), LATERAL (SELECT unnest(range(1, copie
 """
 
 
+@query("op3_exact_top_k")
+def op3(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op3_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(x::DOUBLE * 1024)::BIGINT FOR x IN embedding] AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         list_sum([p[1] * p[2] FOR p IN list_zip(q.vec, v.vec)])::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scores QUALIFY rank <= 10
+"""
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_embedding_near_dups")
+def op5(spark, sf_dir):
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_embedding_near_dups"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.vec, b.vec) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, min(reach.b) AS component_id,
+       min(reach.b) = vec_id AS kept
+FROM v JOIN reach ON reach.a = vec_id GROUP BY vec_id
+"""
+
+
 @query("op6_secret_ledger")
 def op6(spark, sf_dir):
     found = secrets.scan_versions(read(spark, sf_dir, "documents"), path_col="doc_id")
@@ -96,6 +162,35 @@ FROM documents LEFT JOIN all_spans USING (doc_id)
 """
 
 
+@query("op7_attention_lm")
+def op7(spark, sf_dir):
+    return lm.score_texts(read(spark, sf_dir, "documents"), langid.held_out("doc_id", 10, 0),
+                          rank_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
+@query("op8_substring_dedup")
+def op8(spark, sf_dir):
+    kept = substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+wins AS (
+  SELECT doc_id, i, list_aggregate(words[i:i + 34], 'string_agg', ' ') AS win
+  FROM w, LATERAL (SELECT unnest(range(1, len(words) - 33)) AS i) WHERE len(words) >= 35),
+again AS (SELECT win FROM wins GROUP BY win HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM wins JOIN again USING (win)),
+gone AS (SELECT doc_id, i + max_back AS place FROM starts, LATERAL (SELECT unnest(range(0, 35)) AS max_back)),
+places AS (SELECT DISTINCT doc_id, place FROM gone),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM each ANTI JOIN places USING (doc_id, place)
+         GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query("op9_chat_rotations")
 def op9(spark, sf_dir):
     rows = chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
@@ -129,3 +224,6 @@ def op10(spark, sf_dir):
     return bpe.token_digests(read(spark, sf_dir, "documents"),
                              rank_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
                              pattern=public_tokenizers.PATTERN)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
