@@ -1,7 +1,10 @@
-"""Exact money arithmetic.
+"""Money sums that do not depend on the order of the rows.
 
-Amounts are summed as DECIMAL so totals do not depend on the order in which
-partitions are combined, then returned as DOUBLE.
+Finite amounts below ``EXACT_BELOW`` are summed as DECIMAL(38,18): the shortest
+decimal form of a double has at most 17 digits, so nothing of an amount down to
+a tenth is rounded, and smaller ones only beyond the 18th place. Everything else
+(NaN, infinite or huge amounts) is summed as DOUBLE beside it, so such rows
+show in the total as they do in a plain double sum and fail no job.
 """
 
 from __future__ import annotations
@@ -9,19 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY_TYPE = "decimal(20,6)"
-
-
-def money(col: Column | str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return c.cast(MONEY_TYPE)
+EXACT_TYPE = "decimal(38,18)"
+EXACT_BELOW = 1e9  # a sum of 1e11 rows still fits the type
 
 
 def money_sum(col: Column | str) -> Column:
-    """SUM of a DOUBLE amount, exact (decimal). Re-sum decimals with ``F.sum``."""
-    return F.sum(money(col))
-
-
-def to_double(col: Column | str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return c.cast("double")
+    """SUM of a money column as DOUBLE; NULL if there is no amount."""
+    amount = (F.col(col) if isinstance(col, str) else col).cast("double")
+    exact = F.sum(F.when(F.abs(amount) < EXACT_BELOW, amount.cast(EXACT_TYPE))).cast("double")
+    rest = F.sum(F.when(~(F.abs(amount) < EXACT_BELOW), amount))
+    return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)

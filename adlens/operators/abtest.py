@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlens.functions.money import money, to_double
+from adlens.functions.money import money_sum
 from adlens.functions.population import ab_population
 from adlens.functions.predicates import day_between, not_anonymous, partner_scope
 from adlens.functions.time import epoch_to_day
@@ -39,20 +39,27 @@ def ab_event_measures(site_events: DataFrame, *, partners: Sequence[int], modulu
 def ab_delivery_measures(clicks: DataFrame, displays: DataFrame, *, partners: Sequence[int],
                          modulus: int | None, start: dt.date, end: dt.date,
                          platform: str = "EU", sentinel=None) -> DataFrame:
-    """Clicks, displays and spend (click revenue + display revenue / 1000)."""
+    """Clicks, displays and spend (click revenue + display revenue / 1000).
+
+    Display revenue is summed first and divided once, so no row is rounded.
+    """
+    none = F.lit(None).cast("double")
     c = (clicks.where(partner_scope(partners, modulus) & day_between("day", start, end)
                       & not_anonymous("user_id", sentinel))
-         .select(*KEYS, F.lit(1).alias("clicks"), money("revenue_local").alias("spend"),
-                 F.lit(0).alias("displays")))
+         .select(*KEYS, F.lit(1).alias("clicks"), F.col("revenue_local").alias("click_revenue"),
+                 none.alias("display_revenue"), F.lit(0).alias("displays")))
     d = (displays.where((F.col("host_platform") == platform)
                         & F.col("merchant_id").isin(list(partners))
                         & day_between("day", start, end) & not_anonymous("user_id", sentinel))
          .select("user_id", F.col("merchant_id").alias("partner_id"), F.lit(0).alias("clicks"),
-                 money(F.col("sum_display_revenue_local") / DISPLAY_REVENUE_DIVISOR).alias("spend"),
+                 none.alias("click_revenue"), F.col("sum_display_revenue_local").alias("display_revenue"),
                  F.lit(1).alias("displays")))
-    return c.unionByName(d).groupBy(*KEYS).agg(
-        F.sum("clicks").cast("bigint").alias("clicks"), F.sum("spend").alias("spend"),
-        F.sum("displays").cast("bigint").alias("displays"))
+    both = c.unionByName(d).groupBy(*KEYS).agg(
+        F.sum("clicks").cast("bigint").alias("clicks"), F.sum("displays").cast("bigint").alias("displays"),
+        money_sum("click_revenue").alias("cr"), money_sum("display_revenue").alias("dr"))
+    per_mille = F.col("dr") / DISPLAY_REVENUE_DIVISOR
+    spend = F.when(F.col("cr").isNull(), per_mille).otherwise(F.col("cr") + F.coalesce(per_mille, F.lit(0.0)))
+    return both.select(*KEYS, "clicks", spend.alias("spend"), "displays")
 
 
 SITE_EVENT_COLS = ("partner_id", "partner_partition", "day", "user_id", "unixtime", "event_name",
@@ -70,13 +77,12 @@ def order_value_max(site_events: DataFrame, *, partners: Sequence[int], modulus:
                     start: dt.date, end: dt.date, sentinel=None) -> DataFrame:
     """Value of a transaction = max over its emissions of sum(price * quantity).
 
-    Emissions without products vanish (inner explode). ``order_value`` is an
-    exact decimal; callers cast to double for output.
+    Emissions without products vanish (inner explode).
     """
     x = (_sales(site_events, partners, modulus, start, end, sentinel)
          .select(*KEYS, "transaction_id", "unixtime", F.explode("products").alias("b")))
     per_emission = x.groupBy(*KEYS, "transaction_id", "unixtime").agg(
-        F.sum(money(F.col("b.price") * F.col("b.quantity"))).alias("order_value"))
+        money_sum(F.col("b.price") * F.col("b.quantity")).alias("order_value"))
     return per_emission.groupBy(*KEYS, "transaction_id").agg(F.max("order_value").alias("order_value"))
 
 
@@ -85,15 +91,17 @@ def order_value_latest(site_events: DataFrame, *, partners: Sequence[int], modul
     """Value of a transaction = value of its *latest* emission.
 
     The latest time is taken over all emissions; if the latest one carried
-    no products the transaction disappears. One pass: per-emission sums with
-    an outer explode, then ``max_by`` on time (instead of a self-join to
-    ``MAX(unixtime)``).
+    no products the transaction disappears. A product list counts as soon as it has an
+    element, null or not. Emissions without a transaction id have no latest emission
+    to be compared with and drop. One pass: per-emission sums with an outer
+    explode, then ``max_by`` on time.
     """
     x = (_sales(site_events, partners, modulus, start, end, sentinel)
-         .select(*KEYS, "transaction_id", "unixtime", F.explode_outer("products").alias("b")))
+         .where(F.col("transaction_id").isNotNull())
+         .select(*KEYS, "transaction_id", "unixtime", F.posexplode_outer("products").alias("pos", "b")))
     per_emission = x.groupBy(*KEYS, "transaction_id", "unixtime").agg(
-        F.sum(money(F.col("b.price") * F.col("b.quantity"))).alias("order_value"),
-        (F.count("b") > 0).alias("has_products"))
+        money_sum(F.col("b.price") * F.col("b.quantity")).alias("order_value"),
+        (F.count("pos") > 0).alias("has_products"))
     latest = per_emission.groupBy(*KEYS, "transaction_id").agg(
         F.max_by(F.struct("has_products", "order_value"), "unixtime").alias("l"))
     return latest.where(F.col("l.has_products")).select(
@@ -107,7 +115,7 @@ def ab_transaction_measures(order_values: DataFrame) -> DataFrame:
     id equals COUNT(DISTINCT id) without a distinct aggregation.
     """
     return order_values.groupBy(*KEYS).agg(F.count("transaction_id").alias("transactions"),
-                                           F.sum("order_value").alias("order_value"))
+                                           money_sum("order_value").alias("order_value"))
 
 
 def ab_user_measures(event_measures: DataFrame, delivery_measures: DataFrame,
@@ -118,23 +126,16 @@ def ab_user_measures(event_measures: DataFrame, delivery_measures: DataFrame,
     The three branches are zero-filled and consolidated by one union and one
     aggregate (a single shuffle), the population computed once per row.
     """
-    zero_i = F.lit(0).cast("bigint")
-    zero_m = money(F.lit(0.0))
-    no_day = F.lit(None).cast("date")
-    ev = event_measures.select(*KEYS, "first_day_seen", "events", zero_i.alias("clicks"),
-                               zero_m.alias("spend"), zero_i.alias("transactions"),
-                               zero_m.alias("order_value"), zero_i.alias("displays"))
-    dl = delivery_measures.select(*KEYS, no_day.alias("first_day_seen"), zero_i.alias("events"),
-                                  "clicks", F.col("spend").cast("decimal(30,6)").alias("spend"),
-                                  zero_i.alias("transactions"), zero_m.alias("order_value"), "displays")
-    tr = transaction_measures.select(*KEYS, no_day.alias("first_day_seen"), zero_i.alias("events"),
-                                     zero_i.alias("clicks"), zero_m.alias("spend"), "transactions",
-                                     F.col("order_value").cast("decimal(30,6)").alias("order_value"),
-                                     zero_i.alias("displays"))
-    u = ev.unionByName(dl, allowMissingColumns=False).unionByName(tr).groupBy(*KEYS).agg(
-        F.min("first_day_seen").alias("first_day_seen"), F.sum("events").alias("events"),
-        F.sum("clicks").alias("clicks"), to_double(F.sum("spend")).alias("spend"),
-        F.sum("transactions").alias("transactions"),
-        to_double(F.sum("order_value")).alias("order_value"), F.sum("displays").alias("displays"))
+    zero_i, zero_m, no_day = F.lit(0).cast("bigint"), F.lit(0.0), F.lit(None).cast("date")
+    zeros = {"first_day_seen": no_day, "events": zero_i, "clicks": zero_i, "spend": zero_m,
+             "transactions": zero_i, "order_value": zero_m, "displays": zero_i}
+
+    def branch(df: DataFrame) -> DataFrame:
+        return df.select(*KEYS, *(F.col(m) if m in df.columns else zeros[m].alias(m) for m in MEASURES))
+
+    u = (branch(event_measures).unionByName(branch(delivery_measures))
+         .unionByName(branch(transaction_measures)).groupBy(*KEYS).agg(
+             F.min("first_day_seen").alias("first_day_seen"),
+             *((money_sum(m) if m in ("spend", "order_value") else F.sum(m)).alias(m) for m in MEASURES[1:])))
     u = with_population(u, test_id, n_populations)
     return u.select(*KEYS, "population", *MEASURES)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.bands import DEFAULT_EXPOSURE_EDGES, band_by_edges, hour_ladder
-from adlens.functions.money import money_sum, to_double
+from adlens.functions.money import money_sum
 from adlens.functions.predicates import day_between, not_anonymous, partner_scope
 from adlens.sources.schemas import require_columns
 
@@ -112,7 +112,7 @@ def response_by_exposure_bucket(displays: DataFrame, clicks: DataFrame, sales: D
         F.sum("sum_displays").alias("sum_displays"),
         F.coalesce(F.sum("clicks"), F.lit(0).cast("bigint")).alias("sum_clicks"),
         F.coalesce(F.sum("sales"), F.lit(0).cast("bigint")).alias("sum_sales"),
-        F.coalesce(to_double(F.sum("rev")), F.lit(0.0)).alias("rev"))
+        F.coalesce(money_sum("rev"), F.lit(0.0)).alias("rev"))
 
 
 def hourly_response_detail(cells: DataFrame, clicks: DataFrame, sales: DataFrame, *,
@@ -133,8 +133,8 @@ def hourly_response_detail(cells: DataFrame, clicks: DataFrame, sales: DataFrame
                         & (F.col("days_last_visit") <= 1) & (F.col("days_last_visit") > 0))
            .groupBy("merchant_id", "user_id", "day")
            .agg(F.count(F.lit(1)).alias("clicks"),
-                to_double(money_sum("revenue_local")).alias("rev_local"),
-                to_double(money_sum("revenue_euro")).alias("rev_euro")))
+                money_sum("revenue_local").alias("rev_local"),
+                money_sum("revenue_euro").alias("rev_euro")))
     sls = (sales.where(F.col("partner_id").isin(list(merchants)) & day_between("day", start, end))
            .groupBy(F.col("partner_id").alias("merchant_id"), "user_id", "day")
            .agg(F.count(F.lit(1)).alias("sales")))

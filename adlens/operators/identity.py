@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.bands import matched_band
-from adlens.functions.money import money_sum, to_double
+from adlens.functions.money import money_sum
 from adlens.functions.predicates import day_between
 
 # Provider types.
@@ -55,16 +55,16 @@ def performance_by_matched_cookies(displays: DataFrame, clicks: DataFrame, trans
     # reaches that join as one row instead of all its displays
     per_user = j.groupBy("user_id").agg(
         F.sum("num_disp").alias("displays"), F.sum("clicks").alias("clicks"),
-        F.sum("spend").alias("spend"), F.sum("transactions").alias("transactions"),
-        F.sum("order_value").alias("order_value"))
+        money_sum("spend").alias("spend"), F.sum("transactions").alias("transactions"),
+        money_sum("order_value").alias("order_value"))
     banded = per_user.join(ids, F.col("user_id") == F.col("uid"), "left")
     return banded.groupBy(matched_band("matched_cookies").alias("matched_cookies")).agg(
         F.count_distinct("user_id").alias("total_cookies"),
         F.sum("displays").cast("bigint").alias("displays"),
         F.sum("clicks").alias("clicks"),
-        to_double(F.sum("spend")).alias("spend"),
+        money_sum("spend").alias("spend"),
         F.sum("transactions").alias("transactions"),
-        to_double(F.sum("order_value")).alias("order_value"))
+        money_sum("order_value").alias("order_value"))
 
 
 def identity_match_flags(identity: DataFrame, *, partner: int, day: dt.date,
@@ -112,5 +112,5 @@ def audience_overlap(displays: DataFrame, dim_client: DataFrame, flags: DataFram
     # COUNT(DISTINCT user_id) is a plain count of the pre-aggregated rows
     return j.groupBy("current_client", "vertical_level_2_name", "platform_match", "client_match",
                      "other_client_match").agg(
-        to_double(F.sum("revenue")).alias("revenue"),
+        money_sum("revenue").alias("revenue"),
         F.count("user_id").alias("num_users"))
