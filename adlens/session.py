@@ -1,11 +1,10 @@
-"""Session construction and shared-storage helpers."""
+"""Session construction and the shared checkpoint folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on; values are cluster-agnostic.
 DEFAULT_CONF = {
@@ -41,31 +40,22 @@ LOCAL_CHECKPOINT_CONF = "spark.adlens.local.checkpoint.dir"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and written intermediates.
+    """Shared folder for written intermediates.
 
     Uses ``spark.checkpoint.dir`` from the session (the cluster's shared
-    storage), else a checkpoint folder already set on the context. Only when
-    neither exists (tests, local runs) a scratch folder is created, once per
-    session, and registered as the context's checkpoint folder.
+    storage), else a checkpoint folder already set on the context. With
+    neither, a local master gets a scratch folder, once per session; any other
+    master raises, because executors on other machines could not read it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.conf.get(LOCAL_CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master}")
         d = tempfile.mkdtemp(prefix="adlens-ckpt-")
         spark.conf.set(LOCAL_CHECKPOINT_CONF, d)  # core confs cannot be set at runtime
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives
-    executor loss, unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediates."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import json
-import os
+import inspect
+import sys
 import uuid
 from functools import cached_property
 
@@ -20,17 +20,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adlens.functions import sequence, time
 from adlens.functions.sequence import previous_in_sequence
 from adlens.functions.time import epoch_micros
 from adlens.session import checkpoint_dir
+from adlens.sources import storage
 from adlens.sources.tables import read_table, table_path
 
-# Bump when a derivation rule below changes (invalidates materialized copies).
-ADAPTER_VERSION = "3"
 WAREHOUSE_ROOT_CONF = "spark.adlens.warehouse.root"   # optional; defaults under spark.checkpoint.dir
-MATERIALIZED = ("displays", "clicks", "matched_transactions", "site_events", "site_events_rich",
+MATERIALIZED = ("delivery", "matched_transactions", "site_events", "site_events_rich",
                 "identity", "catalog_stats", "test_users", "order_site_events")
-SCHEMA_FILE = "_adlens_schema.json"  # underscore: ignored by Parquet readers
 
 # Fixed values of the test-data adapters.
 ANONYMOUS_USER = 0               # sentinel user id in the test data
@@ -128,13 +127,18 @@ def base_events(events: DataFrame) -> DataFrame:
 
 
 ORDER = ["ts_us", "event_id"]
+HOUR = "__hour"  # segment of the sequence lookups: a hot user's rows are dealt out by hours
+
+
+def _by_hour(base: DataFrame) -> DataFrame:
+    return base.withColumn(HOUR, F.floor(F.col("ts_us") / F.lit(3_600_000_000)))
 
 
 def with_recency(base: DataFrame) -> DataFrame:
     """Add ``days_last_visit``: days since the user's previous event (any type)."""
-    b = previous_in_sequence(base, "user_id", "day", ORDER, F.col("ts_us"), "__prev_us")
+    b = previous_in_sequence(_by_hour(base), "user_id", HOUR, ORDER, F.col("ts_us"), "__prev_us")
     dlv = (F.col("ts_us") - F.col("__prev_us")).cast("double") / F.lit(86400000000.0)
-    return b.withColumn("days_last_visit", dlv).drop("__prev_us")
+    return b.withColumn("days_last_visit", dlv).drop("__prev_us", HOUR)
 
 
 def with_last_click(base: DataFrame) -> DataFrame:
@@ -143,22 +147,23 @@ def with_last_click(base: DataFrame) -> DataFrame:
     Only clicks and purchases take part, so the sequence is computed over
     those rows alone.
     """
-    b = base.where(F.col("event_type").isin(CLICK_EVENT, PURCHASE_EVENT))
+    b = _by_hour(base.where(F.col("event_type").isin(CLICK_EVENT, PURCHASE_EVENT)))
     click = F.when(F.col("event_type") == CLICK_EVENT, F.struct(
         F.col("unixtime").alias("click_timestamp"), F.col("item_id").alias("clicked_item_id"),
         F.col("impression_id").alias("click_impression_id")))
-    return previous_in_sequence(b, "user_id", "day", ORDER, click, "last_click", ignore_nulls=True)
+    return previous_in_sequence(b, "user_id", HOUR, ORDER, click, "last_click", ignore_nulls=True)
 
 
 class TestWarehouse:
     """All derived inputs for one scale-factor directory.
 
     With ``materialize=True`` (the default for registered plans) each
-    derived fact table is written once as Parquet, partitioned by ``day``
-    like the original warehouse, under the session's shared
-    ``spark.checkpoint.dir`` and keyed by the input files; later plans and
-    sessions read it back with partition pruning instead of re-deriving it.
-    With ``materialize=False`` everything stays a lazy expression.
+    derived fact table is written once as Parquet, partitioned by ``day``,
+    under the session's shared ``spark.checkpoint.dir``; later plans and
+    sessions read it back with partition pruning instead of re-deriving it. The
+    folder is keyed by the input files and by the derivation's own code, and a
+    table is published by renaming a finished copy, so readers never see a
+    part of one. With ``materialize=False`` everything stays a lazy expression.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
@@ -171,14 +176,14 @@ class TestWarehouse:
 
     @cached_property
     def root(self) -> str:
-        h = hashlib.sha1(ADAPTER_VERSION.encode())
+        h = hashlib.sha256()
+        for module in (sys.modules[__name__], sequence, time):
+            h.update(inspect.getsource(module).encode())
         for name in ("events", "part", "orders", "lineitem"):
-            path = table_path(self.sf_dir, name)
-            st = os.stat(path) if os.path.exists(path) else None
-            h.update(f"{os.path.abspath(path)}:{st and st.st_size}:{st and st.st_mtime_ns}".encode())
+            h.update("\n".join(storage.fingerprint(self.spark, table_path(self.sf_dir, name))).encode())
         base = self.spark.conf.get(WAREHOUSE_ROOT_CONF, None) or \
-            os.path.join(checkpoint_dir(self.spark), "adlens-warehouse")
-        return os.path.join(base, h.hexdigest()[:16])
+            f"{checkpoint_dir(self.spark).rstrip('/')}/adlens-warehouse"
+        return f"{base}/{h.hexdigest()[:16]}"
 
     def materialize_all(self) -> None:
         """Build every derived table now (otherwise each is built on first use)."""
@@ -186,32 +191,17 @@ class TestWarehouse:
             getattr(self, name)
 
     def _stored(self, name: str, build, partition_by: tuple[str, ...] = ("day",)) -> DataFrame:
-        if not self.materialize:
-            return build()
-        path = os.path.join(self.root, name)
-        local = "://" not in path or path.startswith("file:")
-        fs_path = path.removeprefix("file:")
-        schema_file = os.path.join(fs_path, SCHEMA_FILE)
-        if local and os.path.exists(os.path.join(fs_path, "_SUCCESS")):
-            if os.path.exists(schema_file):
-                with open(schema_file) as f:
-                    schema = T.StructType.fromJson(json.load(f))
-            else:
-                schema = build().schema
-            return self.spark.read.schema(schema).parquet(path)
         df = build()
-        target = f"{fs_path}.tmp-{uuid.uuid4().hex}" if local else path
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(target)
-        if local:
-            with open(os.path.join(target, SCHEMA_FILE), "w") as f:
-                json.dump(df.schema.jsonValue(), f)
-            try:  # publish atomically; a concurrent identical copy may win
-                os.rename(target, fs_path)
-            except OSError:
-                pass
+        if not self.materialize:
+            return df
+        path = f"{self.root}/{name}"
+        if not storage.exists(self.spark, f"{path}/_SUCCESS"):
+            # rebalancing by day makes files of the advisory size: small days share a
+            # task, a large day is split over several
+            rows = df.hint("rebalance", *partition_by) if partition_by else df
+            written = f"{self.root}/.{name}-{uuid.uuid4().hex}"
+            rows.write.partitionBy(*partition_by).parquet(written)
+            storage.publish(self.spark, written, path)
         # the schema also types the partition columns on read-back
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -219,36 +209,35 @@ class TestWarehouse:
     def base(self) -> DataFrame:
         return base_events(self.table("events"))
 
+    # -- facts ---------------------------------------------------------------
     @cached_property
-    def base_with_recency(self) -> DataFrame:
-        return with_recency(self.base)
+    def delivery(self) -> DataFrame:
+        """Displays and clicks with the recency of the user's visit, stored once for both."""
+        return self._stored("delivery", lambda: with_recency(self.base)
+                            .where(F.col("event_type").isin(*DISPLAY_EVENTS, CLICK_EVENT))
+                            .select("event_id", "event_type", "partner_id", "partner_partition", "day", "user_id",
+                                    "impression_id", "host_platform", "days_last_visit", "is_fbx", "value",
+                                    "unixtime", "item_id", "displayed_products", "revenue_local", "revenue_euro"))
 
-    # -- facts ---------------------------------------------------------------
     @cached_property
     def displays(self) -> DataFrame:
         """``display`` and ``display_full`` in one frame (both column layouts)."""
-        def build():
-            b = self.base_with_recency.where(F.col("event_type").isin(*DISPLAY_EVENTS))
-            return b.select(
-                "partner_id", "partner_partition", "day", "user_id", "impression_id",
-                (F.col("event_id") % 4).cast("int").alias("campaign_id"),
-                (F.col("partner_id") + 100).cast("int").alias("client_id"),
-                F.col("partner_id").alias("merchant_id"), "host_platform", "days_last_visit",
-                "is_fbx", F.col("value").alias("sum_display_revenue_local"),
-                (F.col("value") * 0.5).alias("marketplace_revenue_raw_euro"),
-                F.col("unixtime").alias("timestamp"), "item_id", "displayed_products")
-        return self._stored("displays", build)
+        return self.delivery.where(F.col("event_type").isin(*DISPLAY_EVENTS)).select(
+            "partner_id", "partner_partition", "day", "user_id", "impression_id",
+            (F.col("event_id") % 4).cast("int").alias("campaign_id"),
+            (F.col("partner_id") + 100).cast("int").alias("client_id"),
+            F.col("partner_id").alias("merchant_id"), "host_platform", "days_last_visit",
+            "is_fbx", F.col("value").alias("sum_display_revenue_local"),
+            (F.col("value") * 0.5).alias("marketplace_revenue_raw_euro"),
+            F.col("unixtime").alias("timestamp"), "item_id", "displayed_products")
 
     @cached_property
     def clicks(self) -> DataFrame:
         """``click`` and ``click_full`` in one frame."""
-        def build():
-            b = self.base_with_recency.where(F.col("event_type") == CLICK_EVENT)
-            return b.select(
-                "partner_id", "partner_partition", F.col("partner_id").alias("merchant_id"),
-                "host_platform", "day", "user_id", F.col("unixtime").alias("timestamp"),
-                "impression_id", "item_id", "revenue_local", "revenue_euro", "days_last_visit")
-        return self._stored("clicks", build)
+        return self.delivery.where(F.col("event_type") == CLICK_EVENT).select(
+            "partner_id", "partner_partition", F.col("partner_id").alias("merchant_id"),
+            "host_platform", "day", "user_id", F.col("unixtime").alias("timestamp"),
+            "impression_id", "item_id", "revenue_local", "revenue_euro", "days_last_visit")
 
     @cached_property
     def matched_transactions(self) -> DataFrame:
@@ -360,11 +349,14 @@ class TestWarehouse:
 
     @cached_property
     def dim_client(self) -> DataFrame:
-        r = self.spark.range(1, PARTNER_COUNT + 1)
-        return r.select((F.col("id") + 100).cast("int").alias("client_id"),
-                        F.when(F.col("id") <= 3, F.lit("DK")).otherwise(F.lit("SE")).alias("client_country_code"),
-                        F.when(F.col("id") % 2 == 1, F.lit("RETAIL")).otherwise(F.lit("TRAVEL"))
-                        .alias("vertical_level_2_name"))
+        i = F.col("id")
+        return self.spark.range(1, PARTNER_COUNT + 1).select(
+            (i + 100).cast("int").alias("client_id"),
+            F.when(i <= 3, F.lit("DK")).otherwise(F.lit("SE")).alias("client_country_code"),
+            F.when(i <= 3, F.lit("Denmark")).otherwise(F.lit("Sweden")).alias("client_country_name"),
+            F.when(i == 5, F.lit("OTHER")).otherwise(F.lit("COMMERCE")).alias("vertical_level_1_name"),
+            F.when(i % 2 == 1, F.lit("RETAIL")).otherwise(F.lit("TRAVEL")).alias("vertical_level_2_name"),
+            F.concat(F.lit("tier "), (i % 3 + 1).cast("string")).alias("ranking"))
 
     @cached_property
     def partner_status(self) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Result sinks: replace-table, create-only table, and header CSV export."""
+"""Result sinks: replace-table, create-only table, and header CSV export.
+
+Tables go to a path or, with ``name``, to the catalog as well (an external
+table at that path).
+"""
 
 from __future__ import annotations
 
@@ -7,23 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def _write(df: DataFrame, mode: str, path: str, partition_by: Sequence[str], name: str | None) -> None:
+    w = df.write.mode(mode).format("parquet").partitionBy(*partition_by)
+    if name is None:
+        w.save(path)
+    else:
+        w.option("path", path).saveAsTable(name)
+
+
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), name: str | None = None) -> None:
     """DROP IF EXISTS + CREATE TABLE AS: overwrite the Parquet table at ``path``."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    _write(df, "overwrite", path, partition_by, name)
 
 
-def create_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """CREATE TABLE AS without a drop: fails if ``path`` already holds a table."""
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def create_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), name: str | None = None) -> None:
+    """CREATE TABLE AS without a drop: fails if ``path`` (or ``name``) already holds a table."""
+    _write(df, "errorifexists", path, partition_by, name)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Results with a header row (the command-line ``print.header`` output), written
-    by the executors; nothing is collected to the driver."""
+    """Results with a header row, written by the executors; nothing is collected to the driver."""
     df.write.mode("overwrite").option("header", True).csv(path)
