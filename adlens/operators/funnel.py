@@ -16,6 +16,29 @@ LOWER = "Lower"
 MID = "Mid"
 
 
+def last_visits(site_events: DataFrame, *, partners: Sequence[int], modulus: int | None,
+                start: dt.date, mid_days: int, sentinel=None) -> DataFrame:
+    """Last day seen (``max_day``) in the ``mid_days + 1`` days before ``start``."""
+    return (site_events.where(partner_scope(partners, modulus) & F.col("persistent_user")
+                              & (F.col("day") >= F.lit(start - dt.timedelta(days=mid_days + 1)))
+                              & (F.col("day") < F.lit(start))
+                              & not_anonymous("user_id", sentinel))
+            .groupBy("user_id").agg(epoch_to_day(F.max("unixtime")).alias("max_day")))
+
+
+def early_funnel(test_users: DataFrame, site_events: DataFrame, *, partners: Sequence[int],
+                 modulus: int | None, start: dt.date, mid_days: int, sentinel=None) -> DataFrame:
+    """A24, early branch with the visit it rests on: ``user_id, first_day_seen, max_day, funnel``."""
+    cut = start + dt.timedelta(days=mid_days)
+    early = test_users.select("user_id", "first_day_seen").where(F.col("first_day_seen") <= F.lit(cut)).distinct()
+    seen = last_visits(site_events, partners=partners, modulus=modulus, start=start, mid_days=mid_days,
+                       sentinel=sentinel)
+    gap = F.datediff("first_day_seen", "max_day")
+    return early.join(seen, "user_id", "left").select(
+        "user_id", "first_day_seen", "max_day",
+        F.when(gap < mid_days, F.lit(LOWER)).otherwise(F.lit(MID)).alias("funnel"))
+
+
 def funnel_stage(test_users: DataFrame, site_events: DataFrame, *, partners: Sequence[int],
                  modulus: int | None, start: dt.date, mid_days: int,
                  sentinel=None) -> DataFrame:
@@ -25,17 +48,7 @@ def funnel_stage(test_users: DataFrame, site_events: DataFrame, *, partners: Seq
     without a first day fall out of both branches.
     """
     cut = start + dt.timedelta(days=mid_days)
-    users = test_users.select("user_id", "first_day_seen")
-    early = users.where(F.col("first_day_seen") <= F.lit(cut)).distinct()
-    late = users.where(F.col("first_day_seen") > F.lit(cut)).distinct()
-    last_visit = (site_events.where(partner_scope(partners, modulus) & F.col("persistent_user")
-                                    & (F.col("day") >= F.lit(start - dt.timedelta(days=mid_days + 1)))
-                                    & (F.col("day") < F.lit(start))
-                                    & not_anonymous("user_id", sentinel))
-                  .groupBy("user_id").agg(epoch_to_day(F.max("unixtime")).alias("max_day")))
-    gap = F.datediff("first_day_seen", "max_day")
-    part1 = early.join(last_visit, "user_id", "left").select(
-        "user_id", "first_day_seen",
-        F.when(gap < mid_days, F.lit(LOWER)).otherwise(F.lit(MID)).alias("funnel"))
-    part2 = late.select("user_id", "first_day_seen", F.lit(MID).alias("funnel"))
-    return part1.unionByName(part2)
+    early = early_funnel(test_users, site_events, partners=partners, modulus=modulus, start=start,
+                         mid_days=mid_days, sentinel=sentinel).drop("max_day")
+    late = test_users.where(F.col("first_day_seen") > F.lit(cut)).select("user_id", "first_day_seen").distinct()
+    return early.unionByName(late.withColumn("funnel", F.lit(MID)))

@@ -8,21 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlens.functions.money import money, money_sum, to_double
+from adlens.functions.money import money_sum
 from adlens.functions.predicates import day_between
 from adlens.functions.time import epoch_to_day
 
 
 def item_display_click_stats(reco_displays: DataFrame, clicks: DataFrame, catalog: DataFrame, *,
                              partners: Sequence[int], click_partitions: Sequence[int],
-                             start: dt.date, end: dt.date, platform: str = "EU") -> DataFrame:
+                             start: dt.date, end: dt.date, platform: str = "EU",
+                             modulus: int | None = None) -> DataFrame:
     """Displays (one per displayed product), clicks and click revenue per (day, partner, item).
 
     Displays filter by partner; clicks only by storage bucket, so partners
     sharing a bucket appear through the click side, as in the original.
     The two facts are consolidated by a zero-filled union and one aggregate
     (one shuffle) instead of a full outer join. Items missing from the
-    catalog drop.
+    catalog drop. With ``modulus`` (the catalog's bucket of a partner is
+    ``pmod(partner, modulus)``) only the catalog buckets that can match are read.
     """
     disp = (reco_displays.where(day_between("day", start, end)
                                 & F.col("displayed_products").isNotNull()
@@ -31,22 +33,25 @@ def item_display_click_stats(reco_displays: DataFrame, clicks: DataFrame, catalo
             .select("day", "partnerid", F.explode("displayed_products").alias("p"))
             .select("day", "partnerid", F.col("p.itemid").cast("string").alias("itemid"),
                     F.lit(1).alias("display"), F.lit(0).alias("click"),
-                    money(F.lit(0.0)).alias("revenue_local")))
+                    F.lit(0.0).alias("revenue_local")))
     clk = (clicks.where(day_between("day", start, end) & F.col("item_id").isNotNull()
                         & F.col("partner_partition").isin(list(click_partitions)))
            .select("day", F.col("partner_id").alias("partnerid"),
                    F.col("item_id").cast("string").alias("itemid"),
                    F.lit(0).alias("display"), F.lit(1).alias("click"),
-                   money("revenue_local").alias("revenue_local")))
+                   F.col("revenue_local").cast("double").alias("revenue_local")))
     dc = (disp.unionByName(clk).groupBy("day", "partnerid", "itemid")
           .agg(F.sum("display").cast("bigint").alias("displays"),
                F.sum("click").cast("bigint").alias("clicks"),
-               F.sum("revenue_local").alias("revenue_local")))
+               money_sum("revenue_local").alias("revenue_local")))
+    if modulus is not None:
+        buckets = {int(b) for b in click_partitions} | {p % modulus for p in partners}
+        catalog = catalog.where(F.col("partner_partition").isin(sorted(buckets)))
     cat = catalog.select("partnerid", F.col("sqlid").cast("string").alias("itemid"),
                          F.col("id").alias("external_item_id"))
     return dc.join(cat, ["partnerid", "itemid"]).select(
         "day", "partnerid", "itemid", "external_item_id", "displays", "clicks",
-        to_double("revenue_local").alias("revenue_local"))
+        "revenue_local")
 
 
 def product_performance(catalog_stats: DataFrame, dim_catalog: DataFrame, clicks: DataFrame,
@@ -63,8 +68,8 @@ def product_performance(catalog_stats: DataFrame, dim_catalog: DataFrame, clicks
     clk = (clicks.where((F.col("partner_partition") == partition) & (F.col("partner_id") == partner)
                         & day_between("day", start, end))
            .groupBy("partner_id", "day", F.col("item_id").alias("internal_item_id"))
-           .agg(to_double(money_sum("revenue_local")).alias("revenue_local"),
-                to_double(money_sum("revenue_euro")).alias("revenue_euro")))
+           .agg(money_sum("revenue_local").alias("revenue_local"),
+                money_sum("revenue_euro").alias("revenue_euro")))
     click_day = epoch_to_day("click_timestamp")
     sales = (transactions.where((F.col("deduplication_matching") == 1)
                                 & day_between(click_day, start, end)

@@ -11,11 +11,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from adlens.functions.devices import DEVICE_TYPES_KEPT, classify_device, collapse_device
 from adlens.functions.predicates import day_between, not_anonymous
 from adlens.sources.schemas import require_columns
+from adlens.sources.storage import keep_table
 
 SALES = "Sales"
 LOOKBACK_SECONDS = 30 * 86400
@@ -87,51 +87,76 @@ def with_device_type(df: DataFrame) -> DataFrame:
 
 def lookback_events(buyers_full: DataFrame, site_events_rich: DataFrame, *, calc_date: dt.date,
                     lookback_seconds: int = LOOKBACK_SECONDS,
-                    event_days: int | None = 30) -> DataFrame:
+                    event_days: int | None = 30, bin_seconds: int = 5 * 86400) -> DataFrame:
     """Site events of any linked uid within ``lookback_seconds`` up to the purchase.
 
-    Equi-join on (uid, partner) plus a time-range residual; the day bound
-    (``event_days`` days up to ``calc_date``, the original's truncation) is
-    pushed into the scan. ``event_days=None`` removes it.
+    The day bound (``event_days`` days up to ``calc_date``) is pushed into the
+    scan; ``event_days=None`` removes it. Events are first reduced to the buyers'
+    (user, partner) pairs, which are pre-aggregated, so Spark broadcasts them if
+    their size allows. The interval join is an equi-join on (user, partner, time bin):
+    a buyer row meets the few bins its interval touches, and a hot user's
+    events are spread over their bins.
     """
     ev = site_events_rich
     if event_days is not None:
         ev = ev.where(day_between("day", calc_date - dt.timedelta(days=event_days - 1), calc_date))
-    ev = ev.select(F.col("timestamp").alias("ev_ts"), F.col("partnerid").alias("partner_id"),
-                   F.col("uid").alias("user_id"), classify_device().alias("device_type"),
-                   F.col("eventtype").alias("event_type"))
+    keys = ["user_id", "partner_id"]
+    ev = (ev.withColumnsRenamed({"uid": "user_id", "partnerid": "partner_id"})
+          .join(buyers_full.select(*keys).distinct(), keys, "left_semi")
+          .select(*keys, F.col("timestamp").alias("ev_ts"), classify_device().alias("device_type"),
+                  F.col("eventtype").alias("event_type"),
+                  F.floor(F.col("timestamp") / bin_seconds).alias("__bin")))
     b = buyers_full.withColumnRenamed("timestamp", "buy_ts")
-    # events on the streamed (left) side: a hot user's events are scanned,
-    # only its few buyer rows are buffered per key
-    j = ev.join(b, ["user_id", "partner_id"]).where(
+    b = b.withColumn("__bin", F.explode(F.sequence(
+        F.floor((F.col("buy_ts") - lookback_seconds) / bin_seconds), F.floor(F.col("buy_ts") / bin_seconds))))
+    j = ev.join(b, [*keys, "__bin"]).where(
         F.col("ev_ts").between(F.col("buy_ts") - lookback_seconds, F.col("buy_ts")))
     extra = [c for c in buyers_full.columns if c not in ("timestamp", "partner_id", "super_uid", "user_id")]
     return j.select(F.col("ev_ts").alias("timestamp"), "partner_id", *extra, "super_uid", "user_id",
                     "device_type", "event_type")
 
 
-def _order_bucket(col: str, dtype: T.DataType, width: int) -> Column:
-    """Coarse bucket that preserves ascending order of ``col``."""
-    if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return F.floor(F.col(col) / F.lit(width))
-    return F.substring(F.col(col).cast("string"), 1, 2)
+SWITCH_COLUMNS = ("timestamp", *BUYER, "device", "user_id", "event_type")
+
+
+def _next_buyers_head(heads: DataFrame) -> DataFrame:
+    """``BUYER, next_head``: for each buyer the first user of the buyer that follows in order.
+
+    ``heads`` has one row per buyer. Buyers are range-partitioned by their own
+    ordering, whatever its type; each range looks ahead inside itself and only its
+    first rows (one per range) meet in one task.
+    """
+    ranges = keep_table(heads.repartitionByRange(*BUYER).withColumn("__range", F.spark_partition_id()), "buyer-ranges")
+    inside = Window.partitionBy("__range").orderBy(*[F.col(c).asc_nulls_first() for c in BUYER])
+    ranges_first = (ranges.withColumn("__n", F.row_number().over(inside)).where("__n = 1")
+                    .select("__range", F.lead("head_user").over(Window.orderBy("__range")).alias("__after")))
+    return (ranges.withColumn("__next", F.lead("head_user").over(inside))
+            .withColumn("__last", F.lead(F.lit(1)).over(inside).isNull())
+            .join(ranges_first, "__range")
+            .select(*BUYER, F.when(F.col("__last"), F.col("__after")).otherwise(F.col("__next")).alias("next_head")))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` in which null equals null."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
+    return left.join(renamed, on, "left").drop(*(f"__r_{k}" for k in keys))
 
 
 def cookie_switches(events: DataFrame, dim_merchant: DataFrame, dim_client: DataFrame, *,
-                    partners: Sequence[int], sentinel=None, bucket_width: int = 1 << 16) -> DataFrame:
+                    partners: Sequence[int], sentinel=None, segment_seconds: int = 3600) -> DataFrame:
     """Keep the journey rows whose *next* row (in buyer order, newest
-    first) belongs to a different user_id.
+    first) belongs to a different user_id. Other columns of ``events`` are kept.
 
     Row n is compared with row n+1 of the global order, so each buyer's
     oldest row is compared with the *next buyer's* newest row and the very
     last row has no successor.
 
-    No step sorts a whole buyer or the whole table. Rows look ahead inside
-    their (buyer, day) segment; the last row of a segment takes the head of
-    the next segment from a one-row-per-segment table: the buyer's next
-    (older) day, or, for the buyer's oldest day, the next buyer's newest
-    head. The next-buyer lookup runs per order-preserving bucket of buyers,
-    and only bucket boundaries (one row per bucket) meet in a single task.
+    No step sorts a whole buyer or the whole table. The journey is sorted once,
+    inside segments of a buyer's hours, and stored with each row's successor.
+    The last row of a segment takes the head of the next one from a
+    one-row-per-segment table: the buyer's next (older) segment or, for the
+    buyer's oldest one, the next buyer's newest head.
     """
     require_columns(events, ("timestamp", *BUYER, "user_id", "device_type", "event_type"),
                     "cookie_switches")
@@ -140,68 +165,57 @@ def cookie_switches(events: DataFrame, dim_merchant: DataFrame, dim_client: Data
     x = (events.join(mc, "partner_id", "left_semi")
          .where(F.col("device_type").isin(*DEVICE_TYPES_KEPT) & F.col("partner_id").isin(list(partners)))
          .withColumn("device", collapse_device("device_type"))
-         .withColumn("__day", F.floor(F.col("timestamp") / F.lit(86400))))
-    seg = [*BUYER, "__day"]          # newest-first order is monotone in __day
+         .withColumn("__segment", F.floor(F.col("timestamp") / F.lit(segment_seconds))))
+    extra = [c for c in events.columns if c not in (*SWITCH_COLUMNS, "device_type")]
+    seg = [*BUYER, "__segment"]          # newest-first order is monotone in __segment
     w = Window.partitionBy(*seg).orderBy(*_journey_order())
-    x = (x.withColumn("__next_user", F.lead("user_id").over(w))
-         .withColumn("__is_last", F.lead(F.lit(1)).over(w).isNull())
-         .withColumn("__rn", F.row_number().over(w)))
-
-    # one row per (buyer, day): head user and the next segment of the same buyer
-    heads = x.where(F.col("__rn") == 1).select(*seg, F.col("user_id").alias("head_user"))
-    wd = Window.partitionBy(*BUYER).orderBy(F.col("__day").desc())
-    heads = (heads.withColumn("__next_seg_head", F.lead("head_user").over(wd))
-             .withColumn("__last_seg", F.lead(F.lit(1)).over(wd).isNull()))
-
-    # one row per buyer: its newest head, and the next buyer's newest head
-    buyers_ = heads.groupBy(*BUYER).agg(F.max_by("head_user", "__day").alias("buyer_head"))
-    buyers_ = buyers_.withColumn("__b", _order_bucket("super_uid", x.schema["super_uid"].dataType,
-                                                      bucket_width))
-    wb = Window.partitionBy("partner_id", "__b").orderBy(F.col("super_uid").asc_nulls_first())
-    buyers_ = (buyers_.withColumn("__next_buyer_head", F.lead("buyer_head").over(wb))
-               .withColumn("__bucket_last", F.lead(F.lit(1)).over(wb).isNull()))
-    firsts = buyers_.groupBy("partner_id", "__b").agg(
-        F.min_by("buyer_head", F.col("super_uid")).alias("__first_head"))
-    firsts = firsts.select("partner_id", "__b", F.lead("__first_head").over(
-        Window.orderBy("partner_id", "__b")).alias("__following_first"))
-    buyer_next = buyers_.join(firsts, ["partner_id", "__b"], "left").select(
-        *BUYER, F.when(F.col("__bucket_last"), F.col("__following_first"))
-        .otherwise(F.col("__next_buyer_head")).alias("__buyer_next"))
-    heads = heads.join(buyer_next, BUYER, "left").select(
-        *seg, F.when(F.col("__last_seg"), F.col("__buyer_next"))
-        .otherwise(F.col("__next_seg_head")).alias("__boundary_user"))
-
-    x = x.join(heads, seg, "left")
-    nxt = F.when(F.col("__is_last"), F.col("__boundary_user")).otherwise(F.col("__next_user"))
-    keep = (F.col("user_id") != nxt) & not_anonymous("user_id", sentinel)
-    return x.where(keep).select("timestamp", "partner_id", "super_uid", "device", "user_id", "event_type")
+    x = keep_table(x.select(*SWITCH_COLUMNS, *extra, "__segment",
+                            F.lead("user_id").over(w).alias("__next_user"),
+                            F.lead(F.lit(1)).over(w).isNull().alias("__is_last"),
+                            (F.row_number().over(w) == 1).alias("__is_first")), "journey")
+
+    older = Window.partitionBy(*BUYER).orderBy(F.col("__segment").desc_nulls_last())
+    heads = (x.where("__is_first").select(*seg, F.col("user_id").alias("head_user"))
+             .withColumn("__next_head", F.lead("head_user").over(older))
+             .withColumn("__newest", F.row_number().over(older) == 1)
+             .withColumn("__oldest", F.lead(F.lit(1)).over(older).isNull()))
+    heads = keep_table(heads, "journey-heads")
+    after = _next_buyers_head(heads.where("__newest").select(*BUYER, "head_user"))
+    oldest = _null_safe(heads.where("__oldest").select(*seg), after, BUYER).select(
+        *seg, F.col("next_head").alias("__boundary_user"))
+    boundary = heads.where("not __oldest").select(*seg, F.col("__next_head").alias("__boundary_user")).unionByName(oldest)
+
+    differs = not_anonymous("user_id", sentinel)
+    inner = x.where("not __is_last").where((F.col("user_id") != F.col("__next_user")) & differs)
+    last = _null_safe(x.where("__is_last"), boundary, seg).where(
+        (F.col("user_id") != F.col("__boundary_user")) & differs)
+    out = [*SWITCH_COLUMNS, *extra]
+    return inner.select(*out).unionByName(last.select(*out))
 
 
 def device_sequence(switches: DataFrame, k: int = 3) -> DataFrame:
     """Device at the sale (rows at the buyer's max timestamp; ties keep
-    several) and the devices of the next ``k`` rows of the same buyer.
+    several) and the devices of the next ``k`` rows of the same buyer. Other columns
+    of ``switches`` are those of the sale row.
 
-    Only the buyer's newest ``k + 1`` days can hold the sale rows and the
-    ``k`` rows after them (every kept day has at least one row), so the
-    per-buyer window runs on those days alone, not on the whole journey.
+    The sale rows and the ``k`` rows after them lie within the buyer's newest
+    ``k + 1`` distinct timestamps, so a rank limit, applied before the shuffle too,
+    keeps the rest of a long journey out of the window.
     """
-    day = F.floor(F.col("timestamp") / F.lit(86400))
-    sw = switches.withColumn("__day", day)
-    recent = (sw.select(*BUYER, "__day").distinct()
-              .withColumn("__r", F.row_number().over(
-                  Window.partitionBy(*BUYER).orderBy(F.col("__day").desc())))
-              .where(F.col("__r") <= k + 1).drop("__r"))
-    sw = sw.join(recent, [*BUYER, "__day"], "left_semi")
-    w = Window.partitionBy(*BUYER).orderBy(*_journey_order())
-    x = sw.withColumn("timestamp_ref", F.max("timestamp").over(Window.partitionBy(*BUYER)))
+    buyer = Window.partitionBy(*BUYER)
+    newest = F.dense_rank().over(buyer.orderBy(F.col("timestamp").desc_nulls_last()))
+    x = switches.withColumn("__rank", newest).where(F.col("__rank") <= k + 1)
+    w = buyer.orderBy(*_journey_order())
     for i in range(1, k + 1):
         x = x.withColumn(f"device_{i}", F.lead("device", i).over(w))
-    return x.where(F.col("timestamp") == F.col("timestamp_ref")).select(
-        *BUYER, "timestamp_ref", F.col("device").alias("device_sale"),
+    extra = [c for c in switches.columns if c not in SWITCH_COLUMNS]
+    return x.where((F.col("__rank") == 1) & F.col("timestamp").isNotNull()).select(
+        *BUYER, *extra, F.col("timestamp").alias("timestamp_ref"), F.col("device").alias("device_sale"),
         *[f"device_{i}" for i in range(1, k + 1)])
 
 
-def sequence_distribution(sequences: DataFrame, k: int = 3) -> DataFrame:
-    """Number of buyers' sale rows per device sequence (NULL is a group)."""
-    cols = ["device_sale", *[f"device_{i}" for i in range(1, k + 1)]]
+def sequence_distribution(sequences: DataFrame, k: int = 3, dims: Sequence[str] = ()) -> DataFrame:
+    """Number of buyers' sale rows per device sequence (NULL is a group),
+    by the dimensions ``dims`` if given."""
+    cols = [*dims, "device_sale", *[f"device_{i}" for i in range(1, k + 1)]]
     return sequences.groupBy(*cols).agg(F.count(F.lit(1)).alias("count"))

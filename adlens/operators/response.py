@@ -55,14 +55,17 @@ def feed_label(url_col: str, rules: Sequence[tuple[str, str]], default: str = "o
 def clicks_by_feed(clicks: DataFrame, catalog: DataFrame, *, partner: int, partition: int,
                    start: dt.date, end: dt.date, rules: Sequence[tuple[str, str]],
                    default: str = "other") -> DataFrame:
-    """Clicks per day and feed; unmatched catalog items drop (inner join)."""
+    """Clicks per day and feed; unmatched catalog items drop (inner join).
+
+    Clicks are counted per (day, item) before the join, so a hot item is one row a
+    day there, and the catalog side carries its label instead of the url.
+    """
     cl = clicks.where(day_between("day", start, end) & (F.col("partner_id") == partner)
-                      & (F.col("partner_partition") == partition)).select("day", "partner_id", "item_id")
+                      & (F.col("partner_partition") == partition)).groupBy("day", "partner_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
     ca = (catalog.where((F.col("partnerid") == partner) & (F.col("partner_partition") == partition))
-          .select("partnerid", "sqlid", "producturl"))
+          .select("partnerid", "sqlid", feed_label("producturl", rules, default).alias("type")))
     j = cl.join(ca, (cl.item_id == ca.sqlid) & (cl.partner_id == ca.partnerid))
-    return j.groupBy("day", feed_label("producturl", rules, default).alias("type")).agg(
-        F.count(F.lit(1)).alias("click"))
+    return j.groupBy("day", "type").agg(F.sum("n").alias("click"))
 
 
 def available_days(catalog_stats: DataFrame, *, partners: Sequence[int],

@@ -29,6 +29,7 @@ class TestParams:
     freq_start: dt.date = D(2024, 1, 1)
     freq_end: dt.date = D(2024, 1, 30)
     exposure_edges: tuple[float, ...] = (1.25, 1.5, 1.75, 2.0, 2.25)
+    wide_edges: tuple[float, ...] = (2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24)
     # hourly recency / exposure (partner grain)
     hour_merchants: tuple[int, ...] = (1, 2, 3, 4, 5)
     hour_start: dt.date = D(2024, 1, 5)
@@ -72,8 +73,10 @@ class TestParams:
     # path to purchase
     p2p_partners: tuple[int, ...] = (1, 2, 3, 4, 5)
     p2p_date: dt.date = D(2024, 1, 30)
-    p2p_dims: tuple[tuple[str, str], ...] = (("country", "client_country_code"),
-                                             ("vertical", "vertical_level_2_name"))
+    p2p_dims: tuple[tuple[str, str], ...] = (("country", "client_country_name"),
+                                             ("vertical", "vertical_level_1_name"),
+                                             ("subvertical", "vertical_level_2_name"),
+                                             ("tier", "ranking"))
     p2p_dim_filters: tuple[tuple[str, tuple[str, ...]], ...] = (("vertical_level_2_name", ("RETAIL",)),)
     # preview
     preview_day: dt.date = D(2024, 1, 10)
