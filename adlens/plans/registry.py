@@ -6,6 +6,7 @@ and applies one analysis with the frozen parameters of ``params.P``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from adlens.functions.predicates import partitions_for
 from adlens.operators import abtest, exposure, funnel, identity, items, journey, preview, response
 from adlens.params import P
-from adlens.session import cut_lineage
+from adlens.session import checkpoint_dir
+from adlens.sources import sinks
 from adlens.sources.fixtures import TestWarehouse
+from adlens.sources.storage import FOLDER, keep_table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Plan] = {}
@@ -86,6 +89,16 @@ def q_response_by_exposure_bucket(spark, sf_dir):
         edges=P.exposure_edges)
 
 
+@plan("response_by_exposure_bucket_wide")
+def q_response_by_exposure_bucket_wide(spark, sf_dir):
+    # one cell per user and recency over the whole period: the users reach the upper buckets
+    w = _w(spark, sf_dir)
+    cells = _freq_cells(w).groupBy("user_id").agg(F.sum("total_displays").alias("total_displays"))
+    return exposure.response_by_exposure_bucket(
+        w.displays, w.clicks, w.matched_transactions, cells, partners=P.freq_merchants,
+        modulus=P.modulus, start=P.freq_start, end=P.freq_end, sentinel=P.sentinel, edges=P.wide_edges)
+
+
 @plan("response_by_exposure_bucket_partner")
 def q_response_by_exposure_bucket_partner(spark, sf_dir):
     w = _w(spark, sf_dir)
@@ -142,7 +155,7 @@ def q_item_display_click_stats(spark, sf_dir):
     return items.item_display_click_stats(
         w.reco_displays, w.clicks, w.catalog, partners=P.item_partners,
         click_partitions=partitions_for(P.item_partners, P.modulus), start=P.item_start,
-        end=P.item_end, platform=P.platform)
+        end=P.item_end, platform=P.platform, modulus=P.modulus)
 
 
 @plan("product_performance")
@@ -220,24 +233,33 @@ def q_ab_event_measures(spark, sf_dir):
 
 @plan("ab_delivery_measures")
 def q_ab_delivery_measures(spark, sf_dir):
-    d = _ab_delivery(_w(spark, sf_dir)).withColumn("spend", F.col("spend").cast("double"))
-    return abtest.with_population(d, P.test_id)
+    return abtest.with_population(_ab_delivery(_w(spark, sf_dir)), P.test_id)
+
+
+@plan("ab_delivery_measures_small")
+def q_ab_delivery_measures_small(spark, sf_dir):
+    # amounts far below a millionth a display
+    w = _w(spark, sf_dir)
+    tiny = w.displays.withColumn("sum_display_revenue_local", F.col("sum_display_revenue_local") * 1e-6)
+    return abtest.ab_delivery_measures(w.clicks.where("false"), tiny, partners=P.ab_partners, modulus=P.modulus,
+                                       start=P.ab_measures_start, end=P.ab_end, platform=P.platform,
+                                       sentinel=P.sentinel)
 
 
 @plan("order_value_max")
 def q_order_value_max(spark, sf_dir):
-    return _order_values(_w(spark, sf_dir), "max").withColumn("order_value", F.col("order_value").cast("double"))
+    return _order_values(_w(spark, sf_dir), "max")
 
 
 @plan("order_value_latest")
 def q_order_value_latest(spark, sf_dir):
-    return _order_values(_w(spark, sf_dir), "latest").withColumn("order_value", F.col("order_value").cast("double"))
+    return _order_values(_w(spark, sf_dir), "latest")
 
 
 @plan("ab_transaction_measures")
 def q_ab_transaction_measures(spark, sf_dir):
     t = abtest.ab_transaction_measures(_order_values(_w(spark, sf_dir), "max"))
-    return abtest.with_population(t.withColumn("order_value", F.col("order_value").cast("double")), P.test_id)
+    return abtest.with_population(t, P.test_id)
 
 
 def _ab_users(spark, sf_dir, rule):
@@ -265,18 +287,24 @@ def _orders_values(spark, sf_dir, rule):
 
 @plan("order_value_max_orders")
 def q_order_value_max_orders(spark, sf_dir):
-    return _orders_values(spark, sf_dir, "max").withColumn("order_value", F.col("order_value").cast("double"))
+    return _orders_values(spark, sf_dir, "max")
 
 
 @plan("order_value_latest_orders")
 def q_order_value_latest_orders(spark, sf_dir):
-    return _orders_values(spark, sf_dir, "latest").withColumn("order_value", F.col("order_value").cast("double"))
+    return _orders_values(spark, sf_dir, "latest")
+
+
+@plan("ab_transaction_measures_latest")
+def q_ab_transaction_measures_latest(spark, sf_dir):
+    t = abtest.ab_transaction_measures(_order_values(_w(spark, sf_dir), "latest"))
+    return abtest.with_population(t, P.test_id)
 
 
 @plan("ab_transaction_measures_orders")
 def q_ab_transaction_measures_orders(spark, sf_dir):
     t = abtest.ab_transaction_measures(_orders_values(spark, sf_dir, "max"))
-    return abtest.with_population(t.withColumn("order_value", F.col("order_value").cast("double")), P.test_id)
+    return abtest.with_population(t, P.test_id)
 
 
 # -- funnel -----------------------------------------------------------------
@@ -288,6 +316,13 @@ def q_funnel_stage(spark, sf_dir):
                                sentinel=P.sentinel)
 
 
+@plan("early_funnel")
+def q_early_funnel(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    return funnel.early_funnel(w.test_users, w.site_events, partners=P.funnel_partners, modulus=P.modulus,
+                               start=P.funnel_start, mid_days=P.funnel_mid_days, sentinel=P.sentinel)
+
+
 # -- path to purchase -------------------------------------------------------
 def _buyers(w, with_dims=False):
     kw = {}
@@ -298,24 +333,22 @@ def _buyers(w, with_dims=False):
                           platform=P.platform, **kw)
 
 
-# The path-to-purchase steps reuse their inputs several times (the buyers in
-# both branches of the identity expansion, the journey in the heads table and
-# the final join). Each step's output is cut with a reliable checkpoint in the
-# shared checkpoint folder, as the original materializes each step as a
-# table, so upstream scans and shuffles run once instead of once per use.
-def _buyers_full(w):
-    return cut_lineage(journey.expand_identities(_buyers(w), w.identity, calc_date=P.p2p_date,
-                                                 platform=P.platform))
+# The buyers are read by both branches of the identity expansion and the
+# lookback, the switches' input by two branches: such inputs are stored once.
+# A step that is only returned stays lazy.
+def _buyers_full(w, with_dims=False):
+    return journey.expand_identities(keep_table(_buyers(w, with_dims), "buyers"), w.identity, calc_date=P.p2p_date,
+                                     platform=P.platform)
 
 
-def _lookback(w):
-    return cut_lineage(journey.lookback_events(_buyers_full(w), w.site_events_rich,
-                                               calc_date=P.p2p_date))
+def _lookback(w, with_dims=False):
+    return journey.lookback_events(keep_table(_buyers_full(w, with_dims), "buyers-full"), w.site_events_rich,
+                                   calc_date=P.p2p_date)
 
 
-def _switches(w):
-    return cut_lineage(journey.cookie_switches(_lookback(w), w.dim_merchant, w.dim_client,
-                                               partners=P.p2p_partners, sentinel=P.sentinel))
+def _switches(w, with_dims=False):
+    return journey.cookie_switches(_lookback(w, with_dims), w.dim_merchant, w.dim_client,
+                                   partners=P.p2p_partners, sentinel=P.sentinel)
 
 
 @plan("buyers")
@@ -360,6 +393,43 @@ def q_sequence_distribution(spark, sf_dir):
     return journey.sequence_distribution(journey.device_sequence(_switches(_w(spark, sf_dir))))
 
 
+@plan("sequence_distribution_by_dimension")
+def q_sequence_distribution_by_dimension(spark, sf_dir):
+    dims = [name for name, _ in P.p2p_dims]
+    seq = journey.device_sequence(_switches(_w(spark, sf_dir), with_dims=True))
+    return journey.sequence_distribution(seq, dims=dims)
+
+
+# -- sinks: write the flagship result, read it back ---------------------------
+def _sink(spark, kind: str) -> tuple[str, str]:
+    name = f"{kind}_{uuid.uuid4().hex[:12]}"
+    return name, f"{checkpoint_dir(spark).rstrip('/')}/{FOLDER}/{name}"
+
+
+@plan("replaced_table")
+def q_replaced_table(spark, sf_dir):
+    name, path = _sink(spark, "replaced")
+    result = q_response_by_exposure_bucket(spark, sf_dir)
+    sinks.replace_table(result.limit(1), path, name=name)
+    sinks.replace_table(result, path, name=name)
+    return spark.table(name)
+
+
+@plan("created_table")
+def q_created_table(spark, sf_dir):
+    name, path = _sink(spark, "created")
+    sinks.create_table(q_response_by_exposure_bucket(spark, sf_dir), path, name=name)
+    return spark.table(name)
+
+
+@plan("exported_csv")
+def q_exported_csv(spark, sf_dir):
+    _, path = _sink(spark, "exported")
+    result = q_response_by_exposure_bucket(spark, sf_dir)
+    sinks.export_csv(result, path)
+    return spark.read.option("header", True).schema(result.schema).csv(path)
+
+
 # -- preview ----------------------------------------------------------------
 @plan("matched_transactions_preview")
 def q_matched_transactions_preview(spark, sf_dir):
