@@ -174,7 +174,7 @@ def test_cookie_switches_and_sequences_match_naive(spark, scale):
                                    "device_type string, event_type string")
     dm = spark.createDataFrame([(i, 100 + i) for i in (1, 2, 3)], "merchant_id int, most_displayed_client_id int")
     dc = spark.createDataFrame([(100 + i,) for i in (1, 2, 3)], "client_id int")
-    sw = journey.cookie_switches(df, dm, dc, partners=[1, 2], sentinel=0, bucket_width=4)
+    sw = journey.cookie_switches(df, dm, dc, partners=[1, 2], sentinel=0)
     naive, _ = _naive_switches([dict(zip(cols, r)) for r in ev], {1, 2}, 0)
     got = rows(sw, "timestamp", "partner_id", "super_uid", "user_id", "device")
     assert got == sorted(((r["timestamp"], r["partner_id"], r["super_uid"], r["user_id"], r["device"])
@@ -222,3 +222,142 @@ def test_lazy_inputs_equal_materialized(spark):
         a, b = getattr(lazy, name), getattr(stored, name)
         cols = [c for c in a.columns if c not in ("events", "displayed_products")]
         assert rows(a, *cols) == rows(b, *cols), name
+
+
+# -- money (A16, A19, A23) ------------------------------------------------------
+def test_money_sum_keeps_small_and_odd_amounts(spark):
+    from adlens.functions.money import money_sum
+    total = lambda xs: spark.createDataFrame([(x,) for x in xs], "x double").agg(money_sum("x")).first()[0]
+    assert total([0.1] * 10) == 1.0
+    assert total([4e-7] * 1000) == pytest.approx(4e-4, rel=1e-12)
+    assert total([1e15, 1.5, None]) == 1e15 + 1.5
+    assert total([None, None]) is None
+    assert total([float("nan"), 1.0]) != total([float("nan"), 1.0])
+    assert total([float("inf"), 1.0]) == float("inf")
+
+
+def test_delivery_spend_sums_before_dividing(spark):
+    displays = spark.range(1_000_000).select(
+        F.lit(7).cast("long").alias("user_id"), F.lit(1).alias("merchant_id"), F.lit(1).alias("partner_partition"),
+        F.lit("EU").alias("host_platform"), F.lit(D(2024, 1, 2)).alias("day"), F.lit(0.0004).alias("sum_display_revenue_local"))
+    clicks = spark.createDataFrame([(1, 1, D(2024, 1, 2), 7, 2.5), (1, 1, D(2024, 1, 2), 8, None)],
+                                   "partner_id int, partner_partition int, day date, user_id long, revenue_local double")
+    out = abtest.ab_delivery_measures(clicks, displays, partners=[1], modulus=3, start=D(2024, 1, 1), end=D(2024, 1, 31), sentinel=0)
+    assert rows(out, "user_id", "clicks", "spend", "displays") == [(7, 1, 2.9, 1_000_000), (8, 1, None, 0)]
+
+
+def test_latest_order_value_null_rules(spark):
+    data = [("T1", 1, [(5.0, 1)]), (None, 1, [(9.0, 1)]), ("T2", 1, [(5.0, 1)]), ("T2", 2, [None]), ("T3", 1, [(None, 1)])]
+    ev = spark.createDataFrame([(1, 1, D(2024, 1, 10), 7, t, "Sales", True, txn, p) for txn, t, p in data],
+                               "partner_id int, partner_partition int, day date, user_id long, unixtime long, event_name string, "
+                               "persistent_user boolean, transaction_id string, products array<struct<price:double,quantity:int>>")
+    kw = dict(partners=[1], modulus=3, start=D(2024, 1, 1), end=D(2024, 1, 31), sentinel=0)
+    assert rows(abtest.order_value_latest(ev, **kw), "transaction_id", "order_value") == [
+        ("T1", 5.0), ("T2", None), ("T3", None)]
+    assert (None, 9.0) in rows(abtest.order_value_max(ev, **kw), "transaction_id", "order_value")
+
+
+# -- switches for every type of buyer id (A29) ------------------------------------
+@pytest.mark.parametrize("kind, ids", [
+    ("long", [-5, 9, 10, 110, 2**60, -2**61]), ("decimal(10,2)", ["9", "10", "110", "-3.5", "110.25", "2"]),
+    ("double", [9.0, 10.0, 110.0, -0.5, 1e18, 2.25]), ("string", ["9", "10", "110", "ab", "aa-1", ""]),
+    ("long", [None, 4, 5, 6, 7, 8])])
+def test_switches_with_any_buyer_id(spark, kind, ids):
+    import random
+    from decimal import Decimal
+    rng = random.Random(len(kind))
+    ids = [Decimal(i) for i in ids] if kind.startswith("decimal") else ids
+    ev = [(rng.randrange(200_000), rng.choice([1, 2]), u, rng.randrange(4), rng.choice(["iPhone", "iPad", "Desktop"]), "view", n)
+          for u in ids for n in range(15)]
+    df = spark.createDataFrame(ev, f"timestamp long, partner_id int, super_uid {kind}, user_id long, device_type string, "
+                                   "event_type string, tier int")
+    dm = spark.createDataFrame([(i, 100 + i) for i in (1, 2)], "merchant_id int, most_displayed_client_id int")
+    dc = spark.createDataFrame([(100 + i,) for i in (1, 2)], "client_id int")
+    sw = journey.cookie_switches(df, dm, dc, partners=[1, 2], sentinel=0).cache()
+    dev = {"iPhone": "Smartphone", "iPad": "Tablet", "Desktop": "Desktop"}
+    order = lambda r: (r[1], r[2] is not None, r[2], -r[0], r[3], r[5], dev[r[4]]) if r[2] is not None else (
+        r[1], False, 0, -r[0], r[3], r[5], dev[r[4]])
+    ordered = sorted(ev, key=order)
+    want = [(a[0], a[1], a[2], a[3], dev[a[4]]) for a, b in zip(ordered, ordered[1:]) if a[3] != b[3] and a[3] != 0]
+    assert rows(sw, "timestamp", "partner_id", "super_uid", "user_id", "device") == sorted(want, key=repr)
+    assert "tier" in sw.columns and "tier" in journey.device_sequence(sw).columns
+
+
+def test_string_user_ids_with_a_string_sentinel(spark):
+    disp = spark.createDataFrame([
+        (1, D(2024, 1, 2), u, "EU", 1.5, 1) for u in ("a", "a", "b", "none", None)],
+        "merchant_id int, day date, user_id string, host_platform string, days_last_visit double, is_fbx int")
+    cells = exposure.frequency_cells(disp, merchants=[1], start=D(2024, 1, 1), end=D(2024, 1, 31), sentinel="none")
+    assert rows(cells, "user_id", "total_displays") == [("a", 2), ("b", 1)]
+
+
+# -- hot user in the look-back (A28) and hot buyer in the sequence (A30) -------------
+def test_hot_user_in_the_lookback(spark):
+    t0 = 1000 * 86400
+    full = spark.createDataFrame([(t0, 1, 7, 8), (t0 - 86400, 1, 9, 8)],
+                                 "timestamp long, partner_id int, super_uid long, user_id long")
+    ev = spark.range(20_000).select(
+        F.lit(1).alias("partnerid"), F.lit(8).cast("long").alias("uid"), F.lit(D(2024, 1, 29)).alias("day"),
+        (F.lit(t0 + 1000) - F.col("id") * 200).alias("timestamp"), F.lit("view").alias("eventtype"),
+        *[F.lit("x").alias(c) for c in ("ua_device_family", "ua_os_family", "ua_browser_family", "useragent", "display_env")])
+    lb = journey.lookback_events(full, ev, calc_date=D(2024, 1, 30))
+    ts = [t0 + 1000 - i * 200 for i in range(20_000)]
+    want = {b: sum(e - 2592000 <= t <= e for t in ts) for b, e in ((7, t0), (9, t0 - 86400))}
+    assert {r.super_uid: r["count"] for r in lb.groupBy("super_uid").count().collect()} == want
+
+
+def test_hot_buyer_in_the_sequence(spark):
+    sw = spark.range(50_000).select(
+        F.expr("id div 2").alias("timestamp"), F.lit(1).alias("partner_id"), F.lit(5).cast("long").alias("super_uid"),
+        F.concat(F.lit("d"), F.col("id")).alias("device"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"))
+    assert rows(journey.device_sequence(sw), "timestamp_ref", "device_sale", "device_1", "device_2", "device_3") == [
+        (24999, "d49998", "d49999", "d49996", "d49997"), (24999, "d49999", "d49996", "d49997", "d49994")]
+
+
+# -- metamorphic: days add up -------------------------------------------
+def test_user_measures_are_sums_of_their_branches(spark):
+    from adlens.plans.registry import REGISTRY
+    from conftest import SMOKE_DIR
+    users = REGISTRY["ab_user_measures"](spark, SMOKE_DIR)
+    got = users.agg(*[F.sum(c) for c in ("events", "clicks", "displays", "transactions", "spend", "order_value")]).first()
+    branch = lambda name, *cols: REGISTRY[name](spark, SMOKE_DIR).agg(*[F.sum(c) for c in cols]).first()
+    want = [*branch("ab_event_measures", "events"), *branch("ab_delivery_measures", "clicks", "displays")]
+    tx = branch("ab_transaction_measures", "transactions", "order_value")
+    want += [tx[0], branch("ab_delivery_measures", "spend")[0], tx[1]]
+    assert list(got) == pytest.approx(want)
+
+
+def test_cells_of_two_periods_add_up(spark):
+    from adlens.params import P
+    from adlens.sources.fixtures import TestWarehouse
+    from conftest import SMOKE_DIR
+    w = TestWarehouse(spark, SMOKE_DIR)
+    cells = lambda a, b: rows(exposure.frequency_cells(w.displays, merchants=[1, 2], start=a, end=b, sentinel=0))
+    mid = D(2024, 1, 14)
+    assert sorted(cells(P.freq_start, mid) + cells(mid + dt.timedelta(days=1), P.freq_end), key=repr) == cells(P.freq_start, P.freq_end)
+
+
+# -- items and feeds (A9, A13) and reach (A1) -----------------------------------------
+def test_feeds_items_and_reach(spark):
+    from adlens.operators import items
+    day = D(2024, 1, 2)
+    clicks = spark.createDataFrame(
+        [(1, 1, day, 5, 11, 2.0), (1, 1, day, 6, 11, 3.0), (1, 1, day, 6, 12, None), (1, 1, day, 6, None, 1.0),
+         (4, 1, day, 6, 13, 1.0), (1, 1, day, 6, 99, 1.0)],
+        "partner_id int, partner_partition int, day date, user_id long, item_id long, revenue_local double")
+    catalog = spark.createDataFrame(
+        [(1, 1, 11, "e11", "http://x/promo/a"), (1, 1, 12, "e12", "http://x/b"), (4, 1, 13, "e13", "http://x/c")],
+        "partnerid int, partner_partition int, sqlid long, id string, producturl string")
+    feeds = response.clicks_by_feed(clicks, catalog, partner=1, partition=1, start=day, end=day, rules=[("%promo%", "p")])
+    assert rows(feeds, "type", "click") == [("other", 1), ("p", 2)]
+    reco = spark.createDataFrame([(1, day, "EU", [(11,), (11,)]), (1, day, "US", [(11,)]), (1, day, "EU", None), (2, day, "EU", [(11,)])],
+                                 "partnerid int, day date, host_platform string, displayed_products array<struct<itemid:long>>")
+    for modulus in (None, 3):
+        stats = items.item_display_click_stats(reco, clicks, catalog, partners=[1], click_partitions=[1], start=day, end=day,
+                                               modulus=modulus)
+        assert rows(stats, "partnerid", "itemid", "external_item_id", "displays", "clicks", "revenue_local") == [
+            (1, "11", "e11", 2, 2, 5.0), (1, "12", "e12", 0, 1, None), (4, "13", "e13", 0, 1, 1.0)]
+    disp = spark.createDataFrame([(1, 1, day, u, 1, 101) for u in (5, 5, 6, 0, None)] + [(2, 2, day, 9, 1, 101)],
+                                 "partner_id int, partner_partition int, day date, user_id long, campaign_id int, client_id int")
+    reach = exposure.display_reach(disp, start=day, campaign_id=1, client_id=101, partner_partition=1, sentinel=0)
+    assert rows(reach, "unique_users", "displays") == [(2, 3)]
