@@ -5,7 +5,8 @@ as Parquet and reread as the next stage's ``docs``. All but the last return the
 columns of ``documents``.
 
 1. language_id: texts without a determined language go (no letter, or a cosine
-   with the best language's prototype below ``MIN_SCORE``).
+   with the best language's prototype below ``MIN_SCORE``; single words of a
+   known language score 0.1 and more, so only texts that resemble no language go).
 2. near_duplicates: of the texts linked by shingles of five words and Jaccard
    0.8 or more, the one with the smallest id stays; rows that repeat an id are
    one document. Rows without an id stay.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from adlens.llm import bpe, jaccard, langid, mixing, secrets
 from adlens.llm.common import keep_table, read
 
-MIN_SCORE = 0.2
+MIN_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
