@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.session import checkpoint_dir
+from adlens.sources.storage import keep_table
 
 #: ASCII white space that separates words: blank, tab, line feed, vertical tab,
 #: form feed and carriage return (``bytes.split()`` splits on exactly these).
@@ -18,16 +21,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def keep_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and return the stored
-    table. Cuts lineage, survives lost executors, and gives the optimizer the
-    real size, so that small sides are broadcast by Spark's own size check."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_crc(id_col: str) -> F.Column:
     """crc32 of the id written as text; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
+
+
+def by_size(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 21,
+            most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of bounded size: of ``most_rows`` rows and about ``most_bytes`` bytes of
+    the text or binary ``column`` at most; a longer value is a slice of its own."""
+    for b in batches:
+        ends = np.cumsum(pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy())
+        at, done = 0, 0
+        while at < b.num_rows:
+            end = min(max(at + 1, int(np.searchsorted(ends, done + most_bytes, side="right"))), at + most_rows)
+            yield b.slice(at, end - at)
+            at, done = end, int(ends[end - 1])
+
+
+def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys of a partition that is sorted by them, one table each."""
+    held: list[pa.Table] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        k = np.stack([t.column(c).to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            key = tuple(k[:, a].tolist())
+            if held and key != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(t.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.concat_tables(held)
+
+
+__all__ = ["WORD", "by_size", "id_crc", "keep_table", "read", "sorted_groups"]

@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.llm.bloom import bitmap, might_hold
-from adlens.llm.common import keep_table
-from adlens.llm.words import windows, word_hashes
+from adlens.llm.common import by_size, keep_table
+from adlens.llm.words import batch_hashes, windows
 
 SHINGLE = 8
 
@@ -106,17 +106,34 @@ def _sliding(x: np.ndarray, size: int, op) -> np.ndarray:
     return op(x[:len(x) - (size - have)], x[size - have:]) if size > have else x
 
 
-def window_anchors(words: np.ndarray, size: int) -> np.ndarray:
-    """The anchor of every window."""
-    return _sliding(windows(words, SHINGLE, 8), size - SHINGLE + 1, np.minimum)
+def _least(words: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' words one after the other: the hash of each 8-word shingle, the anchor of each window, and
+    which windows lie inside one text."""
+    shingles = windows(words, SHINGLE, 8)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    inside = text[:len(words) - size + 1] == text[size - 1:]
+    return shingles, _sliding(shingles, size - SHINGLE + 1, np.minimum), inside
 
 
-def anchor_places(words: np.ndarray, size: int) -> np.ndarray:
+def anchor_places(words: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     """Hashes at the places that are the anchor of some window."""
-    shingles = windows(words, SHINGLE, 8)
-    least = _sliding(shingles, size - SHINGLE + 1, np.minimum)
+    if len(words) < size:
+        return np.zeros(0, dtype=np.uint64)
+    shingles, least, inside = _least(words, lengths, size)
     pad = np.zeros(size - SHINGLE, dtype=np.uint64)
-    return shingles[_sliding(np.r_[pad, least, pad], size - SHINGLE + 1, np.maximum) == shingles]
+    return shingles[_sliding(np.r_[pad, np.where(inside, least, np.uint64(0)), pad], size - SHINGLE + 1, np.maximum) == shingles]
+
+
+def candidate_windows(words: np.ndarray, lengths: np.ndarray, size: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows whose anchor may be in ``repeated``."""
+    if len(words) < size:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    _, least, inside = _least(words, lengths, size)
+    least = least.view(np.int64)
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    hit = np.repeat(might_hold(repeated, least[first]), np.diff(np.r_[first, len(least)]))
+    at = np.flatnonzero(hit & inside)
+    return at, windows(words, size, 35)[at] if len(at) else np.zeros(0, dtype=np.uint64)
 
 
 def text_id(text: str) -> int:
@@ -128,52 +145,36 @@ def _texts(b: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in b.column(name).to_pylist()]
 
 
-def _sub(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
-
-
 def _anchors(docs: DataFrame, size: int) -> DataFrame:
     """``anchor`` of every hash that is an anchor in two places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sub(batches):
-            found = [anchor_places(w, size) for w in map(word_hashes_as_is, _texts(b)) if len(w) >= size]
-            if found:
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
+        for b in by_size(batches, "text"):
+            h, n = np.unique(anchor_places(*batch_hashes(_texts(b), lower=False), size), return_counts=True)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
 
     counts = docs.select("text").mapInArrow(run, "anchor long, n long")
     return keep_table(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "sub-anchors")
 
 
-def word_hashes_as_is(text: str) -> np.ndarray:
-    return word_hashes(text, lower=False)
-
-
 def _candidates(docs: DataFrame, size: int, repeated: np.ndarray) -> DataFrame:
     """``tid, n, copies, pos, hash``: the candidate windows of each distinct text."""
     held = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sub(batches):
-            out = []
-            for t in _texts(b):
-                w = word_hashes_as_is(t)
-                if len(w) < size:
-                    continue
-                least = window_anchors(w, size).view(np.int64)
-                first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                hit = np.repeat(might_hold(held.value, least[first]), np.diff(np.r_[first, len(least)]))
-                if hit.any():
-                    pos = np.flatnonzero(hit)
-                    out.append((text_id(t), len(w), pos.astype(np.int32), windows(w, size, 35)[pos].view(np.int64)))
-            if out:
-                tid, n, pos, hashes = zip(*out)
-                yield pa.record_batch([pa.array(tid, pa.int64()), pa.array(n, pa.int64()),
-                                       pa.array(pos, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
-                                      names=["tid", "n", "pos", "hash"])
+        for b in by_size(batches, "text"):
+            texts = _texts(b)
+            words, lengths = batch_hashes(texts, lower=False)
+            at, hashes = candidate_windows(words, lengths, size, held.value)
+            start = np.cumsum(lengths) - lengths
+            own = np.searchsorted(start, at, side="right") - 1
+            # texts without words start where the next one does: the last of equal starts is the one with words
+            some, first = np.unique(own, return_index=True)
+            cuts = pa.array(np.r_[first, len(at)].astype(np.int32))
+            yield pa.record_batch([
+                pa.array([text_id(texts[i]) for i in some.tolist()], pa.int64()), pa.array(lengths[some]),
+                pa.ListArray.from_arrays(cuts, pa.array((at - start[own]).astype(np.int32))),
+                pa.ListArray.from_arrays(cuts, pa.array(hashes.view(np.int64)))], names=["tid", "n", "pos", "hash"])
 
     rows = docs.select("text").mapInArrow(run, "tid long, n long, pos array<int>, hash array<long>")
     return keep_table(rows.groupBy("tid", "n").agg(F.first("pos").alias("pos"), F.first("hash").alias("hash"),
@@ -213,7 +214,7 @@ def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "tid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sub(batches):
+        for b in by_size(batches, "text"):
             texts = _texts(b)
             tid = np.array([text_id(t) for t in texts], dtype=np.int64)
             ok = np.flatnonzero(might_hold(held.value, tid))
@@ -242,7 +243,7 @@ def _proven(docs: DataFrame, runs: DataFrame, size: int, shard_runs: int) -> Dat
     texts = _with_text(docs, spans.select("tid"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sub(batches, 64):
+        for b in by_size(batches, "text", most_rows=64):
             for tid, text, spans in zip(b.column("tid").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 yield pa.RecordBatch.from_pylist(
@@ -306,7 +307,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     id_type = d.schema["id"].dataType.simpleString()
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sub(batches):
+        for b in by_size(batches, "text"):
             n, kept = [], []
             texts = _texts(b)
             tid = np.array([text_id(t) for t in texts], dtype=np.int64)
@@ -322,7 +323,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = d.mapInArrow(untouched, f"id {id_type}, tid long, n_words long, kept binary")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sub(batches, 256):
+        for b in by_size(batches, "kept"):
             kept, gone = [], []
             for text, spans in zip(b.column("kept"), b.column("spans")):
                 words = text.as_py().split()

@@ -41,13 +41,28 @@ def word_hashes(text: str, lower: bool = True) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def batch_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, one after the other, and each text's number of words."""
+    parts = [word_hashes(t, lower) for t in texts]
+    return (np.concatenate(parts) if parts else np.zeros(0, _U)), np.array([len(p) for p in parts], dtype=np.int64)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * _U(0x9E3779B97F4A7C15)
+    h += b
+    h ^= h >> _U(32)
+    h *= _U(0xD6E8FEB86659FD93)
+    return h
+
+
 def windows(words: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """One hash per run of ``size`` consecutive words (none if there are fewer)."""
-    n = len(words) - size + 1
-    if n <= 0:
+    """One hash per run of ``size`` consecutive words (none if there are fewer): runs of
+    a power of two by doubling, the rest from two runs that overlap."""
+    if len(words) < size:
         return np.zeros(0, _U)
-    base = np.random.default_rng([seed, size]).integers(0, 1 << 63, size, dtype=_U) | _U(1)
-    h = words[:n] * base[0]
-    for i in range(1, size):
-        h += words[i:i + n] * base[i]
-    return mix(h, seed)
+    h, have = words, 1
+    while have * 2 <= size:
+        h, have = _joined(h[:-have], h[have:]), have * 2
+    if have < size:
+        h = _joined(h[:len(words) - size + 1], h[size - have:])
+    return mix(h, seed + 1000 * size)
