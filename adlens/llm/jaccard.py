@@ -10,25 +10,33 @@ so each text emits the symbols of its first ``D + 1`` non-empty parts as join
 keys. Sketch lengths are fixed per size band (bands grow by the square root of
 two); a text whose partners may lie in the next band emits there as well.
 
+A key that more than ``hot`` texts have (a passage that many documents share) is
+no use: texts skip such parts and emit their first ``D + 1`` other non-empty ones,
+for which the same argument holds. A text that has too few others (a member
+of a large group of near copies) emits all of them and, in a family of keys that
+only such texts join on, its first ``D + 1`` parts of any kind; two texts of which
+one has enough others agree in one of its others, two that have not meet in the family.
+
 Candidates are verified: by size, by the Hamming distance of 512-bit
 parity sketches (again a lower bound of the difference), then by exact
 intersection of the shingle sets.
 
 No group is expanded into all its pairs. Equal sets are one class first. Of
 the texts that share a key, each is paired with the smallest; what these links
-connect needs no further test. Only in groups that still hold several
-components are further members paired, with 16 times as many centres in each round, until every pair
-of a group is linked, connected, or tested. Keys that occur once are dropped after a
-map-side-combined aggregate, and a bounded bitmap of the others keeps the rest out of
-the join.
+connect needs no further test. In groups that still hold several components,
+members of different components are compared: in small groups as pairs, in groups above
+``hot`` block by block in numpy, emitting only links that connect. Keys that occur
+once are dropped after a map-side-combined aggregate, and a bounded bitmap of
+the others keeps the rest out of the joins.
 
 Shingles of A-Z lower-cased words; a text with fewer words than a shingle is
 one shingle; without words the set is empty and links with nothing. (A set that
 falls into fewer than ``D + 1`` parts could miss a partner; for thresholds
 from 0.8 the number of parts keeps the chance of that below 1e-8 at every size.)
 
-Defined results: null texts have an empty set; rows that share an id are one
-node; a null id takes no part (component null); an empty table gives an empty
+Defined results: null texts have an empty set; of rows that share an id, each
+has the component of its own text (sets whose smallest id is the same are one
+node); a null id takes no part (component null); an empty table gives an empty
 table; other columns are ignored.
 """
 
@@ -36,7 +44,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adlens.llm.bloom import bitmap, might_hold
-from adlens.llm.common import keep_table
+from adlens.llm.common import by_size, keep_table, sorted_groups
 from adlens.llm.components import components
 from adlens.llm.words import mix, windows, word_hashes
 
@@ -79,18 +87,22 @@ def parts_of(band_no: int, percent: int) -> int:
     return int(top / low) + 8
 
 
-def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of a sorted shingle set for Jaccard >= percent / 100."""
+def needed(n: int, percent: int) -> int:
+    """Parts of which one must agree."""
+    return (100 - percent) * n // percent + 1
+
+
+def part_keys(shingles: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Keys of the non-empty parts of a sorted shingle set, in order: a list per band in which it may meet partners."""
     n = len(shingles)
-    need = (100 - percent) * n // percent + 1
     symbols = mix(shingles, 7)
     keys = []
     for b in range(band(n), band(n * 100 // percent) + 1):
         part = ((shingles >> _U(32)) * _U(parts_of(b, percent))) >> _U(32)  # ascending, as the shingles are
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        xor = np.bitwise_xor.reduceat(symbols, first)[:need]
-        keys.append(mix(xor + part[first[:need]] * _U(0x9E3779B97F4A7C15), b))
-    return np.concatenate(keys)
+        xor = np.bitwise_xor.reduceat(symbols, first)
+        keys.append(mix(xor + part[first] * _U(0x9E3779B97F4A7C15), b))
+    return keys
 
 
 def bit_sketch(shingles: np.ndarray, bits: int = 512) -> np.ndarray:
@@ -100,120 +112,212 @@ def bit_sketch(shingles: np.ndarray, bits: int = 512) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``id, n, s1, s2, sketch, keys`` of ``docs`` (id, text); s1 and s2 identify the set."""
+    """``id, n, s1, s2, sketch, keys, sizes`` of ``docs`` (id, text); s1 and s2 identify the set,
+    sizes are the lengths of the lists that make up keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
-                s1 = [int(mix(s, 11).sum().view(np.int64)) if len(s) else None for s in sets]
-                s2 = [int(np.bitwise_xor.reduce(mix(s, 13)).view(np.int64)) if len(s) else None for s in sets]
-                yield pa.record_batch([
-                    b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()),
-                    pa.array(s2, pa.int64()),
-                    pa.array([bit_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                    pa.array([part_keys(s, percent).view(np.int64) if len(s) else None for s in sets],
-                             pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "sketch", "keys"])
-
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sketch array<long>, keys array<long>")
-
-
-def _repeated_members(feats: DataFrame, reps: DataFrame) -> DataFrame:
-    """``key, id, low, n`` for the representatives that share a key; low: the smallest of them."""
-    on = ["id", "s1", "s2"]
-    chosen = feats.join(reps.select(F.col("rep").alias("id"), "s1", "s2"), on, "left_semi")
-    shared = keep_table(chosen.select("id", F.explode("keys").alias("key")).groupBy("key")
-                        .agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-                        .select("key", "low"), "jaccard-keys")
+        for b in by_size(batches, "text"):
+            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
+            s1 = [int(mix(s, 11).sum().view(np.int64)) if len(s) else None for s in sets]
+            s2 = [int(np.bitwise_xor.reduce(mix(s, 13)).view(np.int64)) if len(s) else None for s in sets]
+            keys = [part_keys(s, percent) if len(s) else [] for s in sets]
+            yield pa.record_batch([
+                b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()),
+                pa.array(s2, pa.int64()),
+                pa.array([bit_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([np.concatenate(k).view(np.int64) if k else None for k in keys], pa.list_(pa.int64())),
+                pa.array([[len(x) for x in k] for k in keys], pa.list_(pa.int32()))],
+                names=["id", "n", "s1", "s2", "sketch", "keys", "sizes"])
+
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sketch array<long>, keys array<long>, sizes array<int>")
+
+
+def _of_representatives(feats: DataFrame, reps: DataFrame) -> DataFrame:
+    """``id, keys`` of the representatives. Only rows that a bitmap of the others' ids flags go through the join."""
+    cols = ["id", "s1", "s2"]
+    others = keep_table(feats.select(cols).join(reps, cols, "left_anti").select("id"), "jaccard-others")
+    held = feats.sparkSession.sparkContext.broadcast(bitmap(others, "id"))
+
+    def part(flagged: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(might_hold(held.value, b.column("id").to_numpy()) == flagged))
+        return feats.select(*cols, "keys").mapInArrow(run, "id long, s1 long, s2 long, keys array<long>")
+
+    return part(False).select("id", "keys").unionByName(part(True).join(reps, cols, "left_semi").select("id", "keys"))
+
+
+def _members(feats: DataFrame, reps: DataFrame, percent: int, hot: int) -> DataFrame:
+    """``family, key, id, n, low, size``: texts that share a key they emit, the smallest of them, and their number."""
+    cols = ["id", "s1", "s2"]
+    reps = reps.select(F.col("rep").alias("id"), "s1", "s2")
+    shared = keep_table(_of_representatives(feats, reps).select("id", F.explode("keys").alias("key"))
+                        .groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+                        .select("key", (F.col("texts") > hot).alias("hot")), "jaccard-keys")
     held = feats.sparkSession.sparkContext.broadcast(bitmap(shared, "key"))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("keys")
-            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            keys = lists.flatten().to_numpy()
-            ok = might_hold(held.value, keys)
-            rows = pa.array(owner[ok])
-            yield pa.record_batch([pa.array(keys[ok]), *(b.column(c).take(rows) for c in ("id", "n", "s1", "s2"))],
-                                  names=["key", "id", "n", "s1", "s2"])
-
-    likely = (feats.where(F.col("keys").isNotNull()).select("id", "n", "s1", "s2", "keys")
-              .mapInArrow(passing, "key long, id long, n long, s1 long, s2 long"))
-    return keep_table(likely.join(reps.select(F.col("rep").alias("id"), "s1", "s2"), on, "left_semi")
-                      .join(shared, "key").select("key", "id", "low", "n").distinct(), "jaccard-members")
-
-
-def _candidate_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """``id, shingles`` of the texts that share a key."""
-    ids = keep_table(members.select("id").distinct(), "jaccard-ids")
+            lists, sizes = b.column("keys"), b.column("sizes")
+            keys, lengths = lists.flatten().to_numpy(), sizes.flatten().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(sizes.offsets.to_numpy()))  # of each list
+            start = np.cumsum(lengths) - lengths
+            at = np.repeat(np.arange(len(lengths)), lengths)  # list of each key
+            ok = np.flatnonzero(might_hold(held.value, keys))
+            own = at[ok]
+            first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, dtype=bool)
+            no = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) if len(row) else row
+            yield pa.record_batch([pa.array(keys[ok]), *(b.column(c).take(pa.array(row[own])) for c in ("id", "n", "s1", "s2")),
+                                   pa.array(no[own].astype(np.int32)), pa.array((ok - start[own]).astype(np.int32)),
+                                   pa.array(lengths[own].astype(np.int32))],
+                                  names=["key", "id", "n", "s1", "s2", "list", "place", "parts"])
+
+    likely = feats.select(*cols, "n", "keys", "sizes").mapInArrow(
+        passing, "key long, id long, n long, s1 long, s2 long, list int, place int, parts int")
+    rows = likely.join(reps, cols, "left_semi").join(shared, "key").distinct()
+    of_list = Window.partitionBy(*cols, "list")
+    is_hot = F.col("hot").cast("int")
+    need = F.floor(F.lit(100 - percent) * F.col("n") / percent) + 1
+    placed = (rows.withColumn("need", need)
+              .withColumn("before", F.sum(is_hot).over(of_list.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("short", F.col("parts") - F.sum(is_hot).over(of_list) < F.col("need")))
+    emitted = keep_table(
+        placed.where(~F.col("hot") & (F.col("place") - F.col("before") < F.col("need")))
+        .select(F.lit(0).alias("family"), "key", "id", "n")
+        .unionByName(placed.where(F.col("short") & (F.col("place") < F.col("need")))
+                     .select(F.lit(1).alias("family"), "key", "id", "n")).distinct(), "jaccard-emitted")
+    groups = (emitted.groupBy("family", "key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("size"))
+              .where("size > 1"))
+    return keep_table(emitted.join(groups, ["family", "key"]), "jaccard-members")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``id, shingles`` of the texts whose id is in ``ids`` (distinct)."""
+    ids = keep_table(ids, "jaccard-ids")
     held = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            ok = might_hold(held.value, whole.column(0).to_numpy())
-            chosen = whole.filter(pa.array(ok))
-            for at in range(0, chosen.num_rows, 512):
-                b = chosen.slice(at, 512)
+            chosen = whole.filter(pa.array(might_hold(held.value, whole.column(0).to_numpy())))
+            for b in by_size([chosen], "text"):
                 sets = [shingle_set(t.as_py(), words).view(np.int64) for t in b.column(1)]
                 yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return keep_table(docs.mapInArrow(run, "id long, shingles array<long>").join(ids, "id", "left_semi"), "jaccard-sets")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in df.columns))
+def _side(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in df.columns))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
-    rest = 100 - percent
-    both = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b")
+
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bit sketches allow a link, stored."""
+    both = pairs.distinct().join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
                         F.lit(0), lambda acc, x: acc + x)
-    near = (both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                       & (apart * (100 + percent) <= rest * (F.col("n_a") + F.col("n_b")))).select("a", "b"))
+    return keep_table(both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+                                 & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+                      .select("a", "b"), "jaccard-near")
+
+
+def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs that link, stored."""
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     sizes = F.size("shingles_a") + F.size("shingles_b")
-    return (near.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
-            .where(100 * common >= percent * (sizes - common)).select("a", "b").distinct())
+    return keep_table(near.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
+                      .where(100 * common >= percent * (sizes - common)).select("a", "b").distinct(), "jaccard-links")
+
+
+def compare_sets(ids: np.ndarray, comps: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray],
+                 side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links between texts of one group that connect its components. ``side``: only pairs across count."""
+    n = np.array([len(s) for s in sets])
+    apart = np.zeros((len(ids), len(ids)), dtype=np.int32)
+    for w in range(sketches.shape[1]):
+        apart += np.bitwise_count(sketches[:, w, None] ^ sketches[None, :, w])
+    sums, small = n[:, None] + n[None, :], np.minimum(n[:, None], n[None, :])
+    maybe = (apart * (100 + percent) <= (100 - percent) * sums) & (100 * small >= percent * (sums - small))
+    maybe &= comps[:, None] != comps[None, :]
+    if side is not None:
+        maybe &= side[:, None] != side[None, :]
+    root = {int(c): int(c) for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(maybe)))):
+        a, b = find(int(comps[i])), find(int(comps[j]))
+        if a != b:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= percent * (n[i] + n[j] - common):
+                root[max(a, b)] = min(a, b)
+                links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def _links_in_large_groups(groups: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """``a, b``: links that connect components within ``groups`` (family, key, size, id, comp), block pair by block pair."""
+    order = ["family", "key", "x", "y"]
+    blocks = F.ceil(F.col("size") / block)
+    mine = F.pmod(F.xxhash64("id"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(
+        F.least(mine, j).alias("x"), F.greatest(mine, j).alias("y"), (mine > j).alias("side")))
+    tasks = (groups.select("family", "key", "id", "comp", F.explode(pairs).alias("t"))
+             .select("family", "key", "t.x", "t.y", "t.side", "id", "comp")
+             .join(sketches.select("id", "sketch"), "id").join(sets, "id")
+             .repartition(*order).sortWithinPartitions(*order))
+
+    def links(t: pa.Table) -> list[tuple[int, int]]:
+        across = t.column("x")[0].as_py() != t.column("y")[0].as_py()
+        return compare_sets(t.column("id").to_numpy(), t.column("comp").to_numpy(),
+                            np.stack([np.asarray(s.values) for s in t.column("sketch")]).view(_U),
+                            [np.asarray(s.values) for s in t.column("shingles")],
+                            t.column("side").to_numpy() if across else None, percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, order):
+            if found := links(group):
+                a, b = zip(*found)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return tasks.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
-                       percent: int = 85, growth: int = 16) -> DataFrame:
+                       percent: int = 85, hot: int = 16, block: int = 512) -> DataFrame:
     """``id, n_shingles, component_id`` for every row of ``docs``."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     feats = keep_table(features(d, words, percent), "jaccard-features")
     sized = feats.where("n > 0 and id is not null")
     reps = keep_table(sized.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "jaccard-classes")
-    members = _repeated_members(sized, reps)
-    sets = _candidate_sets(d.where("id is not null"), members, words)
-    sketches = keep_table(sized.select("id", "n", "sketch").join(
-        sets.select("id").distinct(), "id", "left_semi").distinct(), "jaccard-sketches")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return keep_table(_verified(keep_table(pairs.distinct(), "jaccard-pairs"), sketches, sets, percent), "jaccard-links")
-
-    edges = [linked(members.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")))]
-    comps = components(edges[0])
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1
-    left, start = members, 1
-    while True:
-        now = (left.join(comps, left["id"] == comps["node"], "left")
-               .withColumn("comp", F.coalesce("component", "id")).drop("node", "component"))
-        mixed = (now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"))
-                 .where((F.col("c0") < F.col("c1")) & (F.col("size") > start + 1)).select("key"))
-        now = now.join(mixed, "key", "left_semi")
-        left = keep_table(now.withColumn("rank", rank) if start == 1 else now, "jaccard-mixed")
-        if left.isEmpty():
-            break
-        centre = left.where((F.col("rank") >= start) & (F.col("rank") < start * growth)).select(
-            "key", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("rank").alias("rank_a"))
-        pairs = (left.join(centre, "key").where(
-            (F.col("rank") > F.col("rank_a")) & (F.col("comp") != F.col("comp_a"))
-            & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))).select("a", F.col("id").alias("b")))
-        edges.append(linked(pairs))
-        comps = components(reduce(DataFrame.unionByName, edges))
-        left, start = left.drop("comp"), start * growth
+    members = _members(sized, reps, percent, hot)
+    ided = d.where("id is not null")
+    sketches = keep_table(sized.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi")
+                          .distinct(), "jaccard-sketches")
+
+    near = _near(members.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")), sketches, percent)
+    stars = _linked(near, _sets(ided, _ends(near), words), percent)
+    comps = components(stars)
+    now = (members.join(comps, members["id"] == comps["node"], "left")
+           .withColumn("comp", F.coalesce("component", "id")).drop("node", "component"))
+    mixed = (now.groupBy("family", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+             .where("c0 < c1").select("family", "key"))
+    mixed = keep_table(now.where("size > 2").join(mixed, ["family", "key"], "left_semi"), "jaccard-mixed")
+    small, large = mixed.where(F.col("size") <= hot), mixed.where(F.col("size") > hot)
+    centre = small.where("id > low").select("family", "key", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
+    near = _near(small.join(centre, ["family", "key"]).where(
+        (F.col("id") > F.col("a")) & (F.col("comp") != F.col("comp_a"))
+        & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))).select("a", F.col("id").alias("b")), sketches, percent)
+    sets = _sets(ided, _ends(near).unionByName(large.select("id")).distinct(), words)
+    more = keep_table(_links_in_large_groups(large, sketches, sets, percent, block), "jaccard-links")
+    comps = components(stars.unionByName(_linked(near, sets, percent)).unionByName(more))
     named = keep_table(reps.join(comps, F.col("rep") == F.col("node"), "left")
                        .select("n", "s1", "s2", F.coalesce("component", "rep").alias("component")), "jaccard-named")
     rows = feats.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
