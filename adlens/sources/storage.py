@@ -7,12 +7,14 @@ system of the path, so the folder can be in any store that Spark reaches.
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 from adlens.session import checkpoint_dir
 
 FOLDER = "adlens-tables"
+_STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # paths of the tables that keep_table returned
 
 
 def _path(spark: SparkSession, path: str):
@@ -58,7 +60,15 @@ def keep_table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{FOLDER}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STORED[stored] = path
+    return stored
+
+
+def drop_table(stored: DataFrame) -> None:
+    """Remove a table that ``keep_table`` returned; nothing lazy may still read it."""
+    p, fs = _path(stored.sparkSession, _STORED.pop(stored))
+    fs.delete(p, True)
 
 
 def drop_tables(spark: SparkSession) -> None:

@@ -52,6 +52,14 @@ def test_shared_folder_is_required_off_a_local_master(monkeypatch):
         session.checkpoint_dir(Session())
 
 
+def test_one_stored_table_can_be_dropped(spark):
+    one, two = storage.keep_table(spark.range(5), "t"), storage.keep_table(spark.range(6), "t")
+    storage.drop_table(one)
+    assert two.count() == 6
+    with pytest.raises(KeyError):
+        storage.drop_table(one)
+
+
 def test_stored_tables_can_be_dropped(spark):
     kept = storage.keep_table(spark.range(5), "t")
     assert kept.count() == 5
