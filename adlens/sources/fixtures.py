@@ -166,6 +166,8 @@ class TestWarehouse:
     part of one. With ``materialize=False`` everything stays a lazy expression.
     """
 
+    __test__ = False  # not a pytest class
+
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir

@@ -35,6 +35,14 @@ def fingerprint(spark: SparkSession, path: str) -> list[str]:
     return sorted(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(p))
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file, replacing one that is there."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def publish(spark: SparkSession, written: str, final: str) -> bool:
     """Rename a finished table to its final path; False if another copy was first."""
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
