@@ -32,6 +32,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlens.llm.common import by_size, ready
+
 _SAFE = regex.compile(r"(?<=[!-~])(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _ENCODERS: dict[str, tiktoken.Encoding] = {}  # one per worker process and rank file
 
@@ -73,33 +75,39 @@ def decode_ids(enc: tiktoken.Encoding, packed: bytes) -> bytes:
     return enc.decode_bytes(np.frombuffer(packed, dtype="<u4").tolist())
 
 
-def _with_column(df: DataFrame, of: str, out: str, make) -> DataFrame:
-    """``df`` with the binary column ``out`` that ``make()`` computes from each value of column ``of``."""
-    base = df.drop(out) if out != of else df
+def _with_columns(df: DataFrame, of: str, outs: list[str], make) -> DataFrame:
+    """``df`` with the binary columns ``outs``, which ``make()`` computes from each value of column ``of``."""
+    base = ready(df).drop(*(c for c in outs if c != of))
     schema = base.schema
     at_col = schema.names.index(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                yield pa.record_batch([*b.columns, pa.array([f(x.as_py()) for x in b.column(at_col)], pa.binary())],
-                                      names=[*schema.names, out])
+        for b in by_size(batches, of):
+            values = zip(*[f(x.as_py()) for x in b.column(at_col)])
+            yield pa.record_batch([*b.columns, *(pa.array(v, pa.binary()) for v in values)], names=[*schema.names, *outs])
 
-    return base.mapInArrow(run, type(schema)(list(schema.fields)).add(out, "binary"))
+    out = type(schema)(list(schema.fields))
+    for c in outs:
+        out = out.add(c, "binary")
+    return base.mapInArrow(run, out)
 
 
 def encode(docs: DataFrame, *, rank_path: str, pattern: str, text_col: str = "text", out_col: str = "ids",
-           piece_chars: int = 1 << 16) -> DataFrame:
-    """``docs`` with ``out_col``: each text's ids, packed as little-endian uint32. A column of that name is replaced."""
+           decoded_col: str | None = None, piece_chars: int = 1 << 16) -> DataFrame:
+    """``docs`` with ``out_col``: each text's ids, packed as little-endian uint32; with ``decoded_col`` also the
+    raw bytes that these ids decode to, in the same pass. Columns of these names are replaced."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(rank_path))
 
     def make():
         enc = encoder(ranks.value, pattern)
-        return lambda text: encode_text(enc, text or "", piece_chars).tobytes()
 
-    return _with_column(docs, text_col, out_col, make)
+        def both(text: str | None) -> tuple[bytes, ...]:
+            ids = encode_text(enc, text or "", piece_chars).tobytes()
+            return (ids, decode_ids(enc, ids)) if decoded_col else (ids,)
+        return both
+
+    return _with_columns(docs, text_col, [out_col, decoded_col] if decoded_col else [out_col], make)
 
 
 def decode(tokens: DataFrame, *, rank_path: str, pattern: str, ids_col: str = "ids",
@@ -110,15 +118,15 @@ def decode(tokens: DataFrame, *, rank_path: str, pattern: str, ids_col: str = "i
 
     def make():
         enc = encoder(ranks.value, pattern)
-        return lambda ids: None if ids is None else decode_ids(enc, ids)
+        return lambda ids: (None if ids is None else decode_ids(enc, ids),)
 
-    return _with_column(tokens, ids_col, out_col, make)
+    return _with_columns(tokens, ids_col, [out_col], make)
 
 
 def token_digests(docs: DataFrame, *, rank_path: str, pattern: str, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """Encode, decode, and digest both: ``id, n_tokens, ids_sha256, decoded_sha256``."""
-    tokens = encode(docs.select(id_col, text_col), rank_path=rank_path, pattern=pattern, text_col=text_col)
-    both = decode(tokens.select(id_col, "ids"), rank_path=rank_path, pattern=pattern)
+    both = encode(docs.select(id_col, text_col), rank_path=rank_path, pattern=pattern, text_col=text_col,
+                  decoded_col="decoded")
     return both.select(id_col, (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

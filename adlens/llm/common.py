@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import io
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +14,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.sources.storage import keep_table
+import adlens
+from adlens.session import checkpoint_dir
+from adlens.sources.storage import drop_table, keep_table, write_file
 
 #: ASCII white space that separates words: blank, tab, line feed, vertical tab,
 #: form feed and carriage return (``bytes.split()`` splits on exactly these).
@@ -21,11 +27,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Unless the session says otherwise: texts are long, and a batch is held by the JVM and by Python.
+ARROW_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+_SHIPPED: set[str] = set()
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """``df``, after its application's Python workers have been given this package and
+    the session a size of Arrow batches (if it has none of its own)."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root, packed = Path(adlens.__file__).parent, io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        path = f"{checkpoint_dir(spark).rstrip('/')}/adlens-{app}.zip"
+        write_file(spark, path, packed.getvalue())
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(app)
+    if spark.conf.get(ARROW_BATCH_BYTES[0], None) is None:
+        spark.conf.set(*ARROW_BATCH_BYTES)
+    return df
+
+
 def id_crc(id_col: str) -> F.Column:
     """crc32 of the id written as text; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 
 
+def release_memory() -> None:
+    """Give a Python worker's freed memory back to the machine: idle workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def by_size(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 21,
             most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of bounded size: of ``most_rows`` rows and about ``most_bytes`` bytes of
@@ -37,6 +75,7 @@ def by_size(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1
             end = min(max(at + 1, int(np.searchsorted(ends, done + most_bytes, side="right"))), at + most_rows)
             yield b.slice(at, end - at)
             at, done = end, int(ends[end - 1])
+    release_memory()
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -58,6 +97,8 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
             last = key
     if held:
         yield pa.concat_tables(held)
+    del held
+    release_memory()
 
 
-__all__ = ["WORD", "by_size", "id_crc", "keep_table", "read", "sorted_groups"]
+__all__ = ["WORD", "by_size", "drop_table", "id_crc", "keep_table", "read", "ready", "sorted_groups"]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlens.llm.common import id_crc, keep_table
+from adlens.llm.common import by_size, id_crc, keep_table, ready
 
 SYMBOLS = 128
 UNDETERMINED = "und"
@@ -72,7 +72,7 @@ def _pieces(texts: list[str], size: int) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def gram_counts(texts: list[str], size: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_counts(texts: list[str], size: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse counts of all n-grams: (row, n-gram, count)."""
     keys, counts = [], []
     for held in _pieces(texts, size):
@@ -121,21 +121,19 @@ def learn_prototypes(labelled: DataFrame, *, text_col: str = "text", lang_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_vectors(width, seed)
         sums: dict[str, np.ndarray] = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
-                langs, code = np.unique(np.array(b.column(0).to_pylist(), dtype=object), return_inverse=True)
-                row, gram, n = gram_counts([t or "" for t in b.column(1).to_pylist()])
-                k, inv = np.unique(code[row] * SYMBOLS**3 + gram, return_inverse=True)
-                total = np.bincount(inv, n)
-                for i, lang in enumerate(langs):
-                    own = k // SYMBOLS**3 == i
-                    sums[lang] = sums.get(lang, 0) + _bundle(k[own] % SYMBOLS**3, total[own], letters)
+        for b in by_size(batches, "text", 1 << 22, 4096):
+            langs, code = np.unique(np.array(b.column(0).to_pylist(), dtype=object), return_inverse=True)
+            row, gram, n = gram_counts([t or "" for t in b.column(1).to_pylist()])
+            k, inv = np.unique(code[row] * SYMBOLS**3 + gram, return_inverse=True)
+            total = np.bincount(inv, n)
+            for i, lang in enumerate(langs):
+                own = k // SYMBOLS**3 == i
+                sums[lang] = sums.get(lang, 0) + _bundle(k[own] % SYMBOLS**3, total[own], letters)
         if sums:
             yield pa.record_batch([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.float64()))],
                                   names=["lang", "vec"])
 
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = ready(labelled).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     parts = rows.where("lang is not null and lang <> ''").mapInArrow(run, "lang string, vec array<double>")
     sums = (parts.select("lang", F.posexplode("vec").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")))
     return sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))),
@@ -153,7 +151,7 @@ def predict(docs: DataFrame, prototypes: DataFrame, *, id_col: str = "doc_id", t
     table = np.array([x[1] for x in learned], dtype=np.float64).reshape(len(langs), width)
     table /= np.maximum(np.sqrt((table ** 2).sum(axis=1, keepdims=True)), 1e-300)
     shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))
-    base = docs.drop("lang_pred", "score")
+    base = ready(docs).drop("lang_pred", "score")
     names = base.columns
     at_text = names.index(text_col)
 
@@ -176,13 +174,11 @@ def predict(docs: DataFrame, prototypes: DataFrame, *, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, protos = letter_vectors(width, seed), shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                best, score = scores([t or "" for t in b.column(at_text).to_pylist()], letters, protos)
-                found = [langs[i] if i >= 0 else UNDETERMINED for i in best.tolist()]
-                yield pa.record_batch([*b.columns, pa.array(found, pa.string()), pa.array(score)],
-                                      names=[*names, "lang_pred", "score"])
+        for b in by_size(batches, text_col, most_rows=512):
+            best, score = scores([t or "" for t in b.column(at_text).to_pylist()], letters, protos)
+            found = [langs[i] if i >= 0 else UNDETERMINED for i in best.tolist()]
+            yield pa.record_batch([*b.columns, pa.array(found, pa.string()), pa.array(score)],
+                                  names=[*names, "lang_pred", "score"])
 
     schema = base.schema
     return base.mapInArrow(run, type(schema)(list(schema.fields)).add("lang_pred", "string").add("score", "double"))

@@ -16,8 +16,9 @@ cosine shares a bucket somewhere is at least ``recall``; closer pairs have more.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are components of their own; vectors of
-different lengths never link; equal rows link with each other; rows that share
-an id are one node; a null id takes no part (component null, not kept); an
+different lengths never link; equal rows link with each other; of rows that share
+an id, each has the links of its own vector (vectors whose smallest id is the
+same are one node); a null id takes no part (component null, not kept); an
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlens.llm.common import keep_table
+from adlens.llm.common import keep_table, ready
 from adlens.llm.components import components
 from adlens.llm.vectors import matrix, usable
 
@@ -72,7 +73,7 @@ def compare(vecs: np.ndarray, sigs: np.ndarray, rows: np.ndarray, ids: np.ndarra
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding",
                     recall: float = 0.995, seed: int = 5, block_rows: int = 1024) -> DataFrame:
     """``id, n_links, component_id, kept`` for every row."""
-    all_rows = vectors.select(F.col(id_col).cast("long").alias("id"),
+    all_rows = ready(vectors).select(F.col(id_col).cast("long").alias("id"),
                               F.col(vec_col).cast("array<double>").alias("vec"))
     nonzero = F.exists("vec", lambda x: x != 0)
     good = usable("vec") & nonzero & F.col("id").isNotNull()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adlens.llm.common import keep_table
+from adlens.llm.common import keep_table, ready
 from adlens.llm.vectors import usable
 
 _OUT = "query_id long, vec_id long, score long"
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: float = 1
           ) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors`` that satisfy ``is_query``, against all rows."""
     ints = F.transform("vec", lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
-    v = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
+    v = (ready(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
                         F.coalesce(is_query, F.lit(False)).alias("asks"))
          .where(F.col("id").isNotNull() & usable("vec"))
          .groupBy("id").agg(F.min("vec").alias("vec"), F.max("asks").alias("asks"))
