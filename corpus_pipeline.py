@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import bpe, jaccard, langid, mixing, secrets
+from adlens.llm import bloom, bpe, jaccard, langid, mixing, secrets
 from adlens.llm.common import keep_table, read
 
 MIN_SCORE = 0.05
@@ -35,10 +35,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.jaccard_components(docs, words=5, percent=80)
+    groups = keep_table(jaccard.jaccard_components(docs, words=5, percent=80), "pipeline-groups")
     stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    doubtful = (groups.where("doc_id <> component_id").select("doc_id")
+                .unionByName(groups.groupBy("doc_id").count().where("count > 1").select("doc_id")))
+    marked = bloom.tagged(docs, "doc_id", doubtful, "doc_id", "__maybe")  # the others stay without a join
+    chosen = marked.where("__maybe").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return marked.where("not __maybe").unionByName(chosen).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +53,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    how = {"rank_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    both = bpe.decode(bpe.encode(docs, **how), **how)
+    both = bpe.encode(docs, rank_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                      pattern=public_tokenizers.PATTERN, decoded_col="decoded")
     whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.select(*docs.columns, "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), whole.alias("round_trip"))
 
