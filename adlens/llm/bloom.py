@@ -48,3 +48,16 @@ def might_hold(words: np.ndarray, longs: np.ndarray) -> np.ndarray:
 
 
 
+
+
+def tagged(df: DataFrame, col: str, longs: DataFrame, id_col: str, out: str, bits: int = 1 << 22) -> DataFrame:
+    """``df`` with the boolean ``out``: False only if ``col`` is null or surely not in ``longs.id_col``.
+    The bitmap is joined as a broadcast table of at most ``bits / 64`` rows."""
+    bit = F.pmod(F.xxhash64(F.col(id_col)), F.lit(bits))
+    words = F.broadcast(longs.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("__word"))
+                        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("__mask")))
+    own = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
+    hit = F.expr("(shiftrightunsigned(__mask, cast(__bit & 63 as int)) & 1) = 1")
+    return (df.withColumn("__bit", own).join(words, F.shiftright("__bit", 6) == F.col("__word"), "left")
+            .withColumn(out, F.coalesce(hit, F.lit(False)) & F.col(col).isNotNull())
+            .drop("__bit", "__word", "__mask"))

@@ -17,16 +17,17 @@ of a large group of near copies) emits all of them and, in a family of keys that
 only such texts join on, its first ``D + 1`` parts of any kind; two texts of which
 one has enough others agree in one of its others, two that have not meet in the family.
 
-Candidates are verified: by size, by the Hamming distance of 512-bit
+Candidates are verified: by size, by the Hamming distance of 2048-bit
 parity sketches (again a lower bound of the difference), then by exact
 intersection of the shingle sets.
 
 No group is expanded into all its pairs. Equal sets are one class first. Of
-the texts that share a key, each is paired with the smallest; what these links
-connect needs no further test. In groups that still hold several components,
+the texts that share a key, each is paired with the smallest, then, where
+components still differ, with the next in an order that is hashed anew for each key; what these
+links connect needs no further test. In groups that still hold several components,
 members of different components are compared: in small groups as pairs, in groups above
-``hot`` block by block in numpy, emitting only links that connect. Keys that occur
-once are dropped after a map-side-combined aggregate, and a bounded bitmap of
+``hot`` block by block in numpy, first by bit sketches alone, then, for members that
+may link, by their sets, emitting only links that connect. Keys that occur once are dropped after a map-side-combined aggregate, and a bounded bitmap of
 the others keeps the rest out of the joins.
 
 Shingles of A-Z lower-cased words; a text with fewer words than a shingle is
@@ -43,17 +44,17 @@ table; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adlens.llm.bloom import bitmap, might_hold
-from adlens.llm.common import by_size, keep_table, sorted_groups
+from adlens.llm.common import by_size, drop_table, keep_table, ready, sorted_groups
 from adlens.llm.components import components
 from adlens.llm.words import mix, windows, word_hashes
 
@@ -75,11 +76,11 @@ def band(size: int) -> int:
 @cache
 def parts_of(band_no: int, percent: int) -> int:
     """Parts of a band's sketches: as few as leave the largest sets of the band, in the
-    mean, a tenth more non-empty parts than they need, and 8 more; many for small sets."""
+    mean, a fiftieth more non-empty parts than they need, and 8 more; many for small sets."""
     top = 2 ** ((band_no + 1) / 2)
     if top <= 16.1:
         return 4096 if top <= 8.1 else 64
-    share = min(0.99, 1.1 * (100 - percent) / percent)
+    share = min(0.99, 1.02 * (100 - percent) / percent)
     low, high = 1e-3, 1e3  # elements per part; the non-empty share of parts per element falls with it
     for _ in range(60):
         mid = (low + high) / 2
@@ -105,12 +106,18 @@ def part_keys(shingles: np.ndarray, percent: int) -> list[np.ndarray]:
     return keys
 
 
-def bit_sketch(shingles: np.ndarray, bits: int = 512) -> np.ndarray:
+def bit_sketch(shingles: np.ndarray, bits: int = 2048) -> np.ndarray:
     """Parity of the number of shingles at each of ``bits`` places, as signed 64-bit words."""
     odd = (np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def folded(sketch: Column, words: int = 8) -> Column:
+    """A bit sketch folded to ``words`` words: the parity sketch of as many places."""
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.aggregate(
+        F.filter(sketch, lambda _, at: at % words == i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x)))
+
+
 def features(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``id, n, s1, s2, sketch, keys, sizes`` of ``docs`` (id, text); s1 and s2 identify the set,
     sizes are the lengths of the lists that make up keys."""
@@ -148,7 +155,8 @@ def _of_representatives(feats: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _members(feats: DataFrame, reps: DataFrame, percent: int, hot: int) -> DataFrame:
-    """``family, key, id, n, low, size``: texts that share a key they emit, the smallest of them, and their number."""
+    """``family, key, id, n, size, low, low_n``: texts that share a key they emit, their number, and the one
+    with the smallest id."""
     cols = ["id", "s1", "s2"]
     reps = reps.select(F.col("rep").alias("id"), "s1", "s2")
     shared = keep_table(_of_representatives(feats, reps).select("id", F.explode("keys").alias("key"))
@@ -174,20 +182,20 @@ def _members(feats: DataFrame, reps: DataFrame, percent: int, hot: int) -> DataF
 
     likely = feats.select(*cols, "n", "keys", "sizes").mapInArrow(
         passing, "key long, id long, n long, s1 long, s2 long, list int, place int, parts int")
-    rows = likely.join(reps, cols, "left_semi").join(shared, "key").distinct()
+    # rows that repeat an id and its text only make the counts of hot parts larger, and so the lists longer
+    rows = likely.join(shared, "key").join(reps, cols, "left_semi")
     of_list = Window.partitionBy(*cols, "list")
     is_hot = F.col("hot").cast("int")
     need = F.floor(F.lit(100 - percent) * F.col("n") / percent) + 1
     placed = (rows.withColumn("need", need)
               .withColumn("before", F.sum(is_hot).over(of_list.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("short", F.col("parts") - F.sum(is_hot).over(of_list) < F.col("need")))
-    emitted = keep_table(
-        placed.where(~F.col("hot") & (F.col("place") - F.col("before") < F.col("need")))
-        .select(F.lit(0).alias("family"), "key", "id", "n")
-        .unionByName(placed.where(F.col("short") & (F.col("place") < F.col("need")))
-                     .select(F.lit(1).alias("family"), "key", "id", "n")).distinct(), "jaccard-emitted")
-    groups = (emitted.groupBy("family", "key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("size"))
-              .where("size > 1"))
+    family = F.filter(F.array(
+        F.when(~F.col("hot") & (F.col("place") - F.col("before") < F.col("need")), F.lit(0)),
+        F.when(F.col("short") & (F.col("place") < F.col("need")), F.lit(1))), lambda x: x.isNotNull())
+    emitted = keep_table(placed.select(F.explode(family).alias("family"), "key", "id", "n").distinct(), "jaccard-emitted")
+    groups = (emitted.groupBy("family", "key").agg(F.min(F.struct("id", "n")).alias("low"), F.count(F.lit(1)).alias("size"))
+              .where("size > 1").select("family", "key", "size", F.col("low.id").alias("low"), F.col("low.n").alias("low_n")))
     return keep_table(emitted.join(groups, ["family", "key"]), "jaccard-members")
 
 
@@ -215,13 +223,17 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bit sketches allow a link, stored."""
-    both = pairs.distinct().join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                        F.lit(0), lambda acc, x: acc + x)
-    return keep_table(both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                                 & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
-                      .select("a", "b"), "jaccard-near")
+    """The pairs (a, b) whose sizes and bit sketches, first folded, then whole, allow a link, stored."""
+    near = pairs.distinct()
+    for col in ("small", "sketch"):
+        own = sketches.select("id", "n", F.col(col).alias("s"))
+        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                            F.lit(0), lambda acc, x: acc + x)
+        near = (near.join(_side(own, "a"), "a").join(_side(own, "b"), "b")
+                .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+                       & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+                .select("a", "b"))
+    return keep_table(near, "jaccard-near")
 
 
 def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,18 +244,28 @@ def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                       .where(100 * common >= percent * (sizes - common)).select("a", "b").distinct(), "jaccard-links")
 
 
-def compare_sets(ids: np.ndarray, comps: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray],
-                 side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Links between texts of one group that connect its components. ``side``: only pairs across count."""
-    n = np.array([len(s) for s in sets])
-    apart = np.zeros((len(ids), len(ids)), dtype=np.int32)
-    for w in range(sketches.shape[1]):
-        apart += np.bitwise_count(sketches[:, w, None] ^ sketches[None, :, w])
-    sums, small = n[:, None] + n[None, :], np.minimum(n[:, None], n[None, :])
-    maybe = (apart * (100 + percent) <= (100 - percent) * sums) & (100 * small >= percent * (sums - small))
-    maybe &= comps[:, None] != comps[None, :]
-    if side is not None:
-        maybe &= side[:, None] != side[None, :]
+def may_link(comps: np.ndarray, sketches: np.ndarray, n: np.ndarray, side: np.ndarray | None,
+             percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j) of one group, each once, that are in different components and may link,
+    by sizes and bit sketches; a few rows at a time. ``side``: only pairs across count."""
+    left = np.arange(len(n)) if side is None else np.flatnonzero(~side)
+    right = left if side is None else np.flatnonzero(side)
+    for at in range(0, len(left), 256):
+        i = left[at:at + 256]
+        apart = np.zeros((len(i), len(right)), dtype=np.int64)
+        for w in range(sketches.shape[1]):
+            apart += np.bitwise_count(sketches[i, w][:, None] ^ sketches[right, w][None, :])
+        sums, small = n[i][:, None] + n[right][None, :], np.minimum(n[i][:, None], n[right][None, :])
+        maybe = (apart * (100 + percent) <= (100 - percent) * sums) & (100 * small >= percent * (sums - small))
+        maybe &= comps[i][:, None] != comps[right][None, :]
+        if side is None:
+            maybe &= i[:, None] < right[None, :]
+        x, y = np.nonzero(maybe)
+        yield i[x], right[y]
+
+
+def connecting_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], pairs: Iterable, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs that connect their components."""
     root = {int(c): int(c) for c in comps}
 
     def find(c: int) -> int:
@@ -252,74 +274,123 @@ def compare_sets(ids: np.ndarray, comps: np.ndarray, sketches: np.ndarray, sets:
         return c
 
     links = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(maybe)))):
-        a, b = find(int(comps[i])), find(int(comps[j]))
-        if a != b:
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (n[i] + n[j] - common):
-                root[max(a, b)] = min(a, b)
-                links.append((int(ids[i]), int(ids[j])))
+    for left, right in pairs:
+        for i, j in zip(left.tolist(), right.tolist()):
+            a, b = find(int(comps[i])), find(int(comps[j]))
+            if a != b:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    root[max(a, b)] = min(a, b)
+                    links.append((int(ids[i]), int(ids[j])))
     return links
 
 
-def _links_in_large_groups(groups: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """``a, b``: links that connect components within ``groups`` (family, key, size, id, comp), block pair by block pair."""
-    order = ["family", "key", "x", "y"]
+_GROUP = ["family", "key"]
+_TASK = [*_GROUP, "x", "y"]
+
+
+def _block_pairs(groups: DataFrame, block: int) -> DataFrame:
+    """``groups`` (family, key, size, id, comp) with a row for each pair of blocks of its group that a member is in."""
     blocks = F.ceil(F.col("size") / block)
     mine = F.pmod(F.xxhash64("id"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(
         F.least(mine, j).alias("x"), F.greatest(mine, j).alias("y"), (mine > j).alias("side")))
-    tasks = (groups.select("family", "key", "id", "comp", F.explode(pairs).alias("t"))
-             .select("family", "key", "t.x", "t.y", "t.side", "id", "comp")
-             .join(sketches.select("id", "sketch"), "id").join(sets, "id")
-             .repartition(*order).sortWithinPartitions(*order))
-
-    def links(t: pa.Table) -> list[tuple[int, int]]:
-        across = t.column("x")[0].as_py() != t.column("y")[0].as_py()
-        return compare_sets(t.column("id").to_numpy(), t.column("comp").to_numpy(),
-                            np.stack([np.asarray(s.values) for s in t.column("sketch")]).view(_U),
-                            [np.asarray(s.values) for s in t.column("shingles")],
-                            t.column("side").to_numpy() if across else None, percent)
+    return (groups.select(*_GROUP, "id", "comp", F.explode(pairs).alias("t"))
+            .select(*_GROUP, "t.x", "t.y", "t.side", "id", "comp"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, order):
-            if found := links(group):
+
+def _task_columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    across = t.column("x")[0].as_py() != t.column("y")[0].as_py()
+    sketches = np.stack([np.asarray(s.values) for s in t.column("sketch")]).view(_U)
+    return t.column("comp").to_numpy(), sketches, t.column("n").to_numpy(), np.asarray(t.column("side")) if across else None
+
+
+def _links_in_large_groups(groups: DataFrame, sketches: DataFrame, percent: int, block: int, sets_of) -> DataFrame:
+    """``a, b``: links that connect components within ``groups``, block pair by block pair.
+    ``sets_of``: the stored shingle sets of the given ids."""
+
+    def dealt(tasks: DataFrame) -> DataFrame:
+        return tasks.repartition(*_TASK).sortWithinPartitions(*_TASK)
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, _TASK):
+            some = np.zeros(t.num_rows, dtype=bool)
+            for i, j in may_link(*_task_columns(t), percent):
+                some[i] = some[j] = True
+            yield from t.select([*_TASK, "side", "id", "comp"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    schema = "family int, key long, x long, y long, side boolean, id long, comp long"
+    sketches = sketches.select("id", "n", "sketch")
+    tasks = keep_table(dealt(_block_pairs(groups, block).join(sketches, "id")).mapInArrow(hopeful, schema), "jaccard-hopeful")
+    sets = sets_of(tasks.select("id").distinct())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, _TASK):
+            comps, sk, n, side = _task_columns(t)
+            found = connecting_links(t.column("id").to_numpy(), comps, [np.asarray(s.values) for s in t.column("shingles")],
+                                     may_link(comps, sk, n, side, percent), percent)
+            if found:
                 a, b = zip(*found)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return tasks.mapInArrow(run, "a long, b long")
+    return keep_table(dealt(tasks.join(sketches, "id").join(sets, "id")).mapInArrow(compare, "a long, b long"), "jaccard-links")
+
+
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members, with ``comp``, of those groups that the links leave in several components, stored."""
+    comps = components(links)
+    now = (members.join(comps, members["id"] == comps["node"], "left")
+           .withColumn("comp", F.coalesce("component", "id")).drop("node", "component"))
+    mixed = (now.groupBy(*_GROUP).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+             .where("c0 < c1").select(*_GROUP))
+    return keep_table(now.join(mixed, _GROUP, "left_semi"), "jaccard-mixed")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
-                       percent: int = 85, hot: int = 16, block: int = 512) -> DataFrame:
+                       percent: int = 85, hot: int = 16, block: int = 2048) -> DataFrame:
     """``id, n_shingles, component_id`` for every row of ``docs``."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    d = ready(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     feats = keep_table(features(d, words, percent), "jaccard-features")
     sized = feats.where("n > 0 and id is not null")
     reps = keep_table(sized.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "jaccard-classes")
     members = _members(sized, reps, percent, hot)
     ided = d.where("id is not null")
-    sketches = keep_table(sized.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi")
+    sized_rows = keep_table(feats.select("id", "n", "s1", "s2"), "jaccard-rows")
+    sketches = keep_table(sized.select("id", "n", "sketch", folded(F.col("sketch")).alias("small")).join(members.select("id").distinct(), "id", "left_semi")
                           .distinct(), "jaccard-sketches")
-
-    near = _near(members.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")), sketches, percent)
-    stars = _linked(near, _sets(ided, _ends(near), words), percent)
-    comps = components(stars)
-    now = (members.join(comps, members["id"] == comps["node"], "left")
-           .withColumn("comp", F.coalesce("component", "id")).drop("node", "component"))
-    mixed = (now.groupBy("family", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-             .where("c0 < c1").select("family", "key"))
-    mixed = keep_table(now.where("size > 2").join(mixed, ["family", "key"], "left_semi"), "jaccard-mixed")
+    drop_table(feats)  # the wide table is done with
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return _sets(ided, ids, words)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = _near(pairs, sketches, percent)
+        sets = sets_of(_ends(near))
+        found = _linked(near, sets, percent)
+        drop_table(sets)
+        return found
+
+    alike = 100 * F.least("n", "low_n") >= percent * F.greatest("n", "low_n")
+    links = linked(members.where(F.col("id") > F.col("low")).where(alike).select(F.col("low").alias("a"), F.col("id").alias("b")))
+    mixed = _mixed(members.where("size > 2"), links)
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / 4096))
+    chain = Window.partitionBy(*_GROUP, "part").orderBy(F.xxhash64("id", "key"))
+    follows = (mixed.withColumn("part", part).withColumn("b", F.lead("id").over(chain))
+               .withColumn("comp_b", F.lead("comp").over(chain)).withColumn("low_n", F.lead("n").over(chain))
+               .where("comp <> comp_b").where(alike)
+               .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")))
+    links = links.unionByName(linked(follows))
+    mixed = _mixed(mixed.drop("comp"), links)
     small, large = mixed.where(F.col("size") <= hot), mixed.where(F.col("size") > hot)
-    centre = small.where("id > low").select("family", "key", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
-    near = _near(small.join(centre, ["family", "key"]).where(
+    centre = small.select(*_GROUP, F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
+    pairs = small.join(centre, _GROUP).where(
         (F.col("id") > F.col("a")) & (F.col("comp") != F.col("comp_a"))
-        & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))).select("a", F.col("id").alias("b")), sketches, percent)
-    sets = _sets(ided, _ends(near).unionByName(large.select("id")).distinct(), words)
-    more = keep_table(_links_in_large_groups(large, sketches, sets, percent, block), "jaccard-links")
-    comps = components(stars.unionByName(_linked(near, sets, percent)).unionByName(more))
+        & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))).select("a", F.col("id").alias("b"))
+    links = links.unionByName(linked(pairs)).unionByName(
+        _links_in_large_groups(large, sketches, percent, block, sets_of))
+    comps = components(links)
     named = keep_table(reps.join(comps, F.col("rep") == F.col("node"), "left")
                        .select("n", "s1", "s2", F.coalesce("component", "rep").alias("component")), "jaccard-named")
-    rows = feats.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    rows = sized_rows.join(named, ["n", "s1", "s2"], "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
