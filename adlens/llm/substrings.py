@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.llm.bloom import bitmap, might_hold
-from adlens.llm.common import by_size, keep_table
+from adlens.llm.common import by_size, keep_table, ready
 from adlens.llm.words import batch_hashes, windows
 
 SHINGLE = 8
@@ -298,7 +298,7 @@ def covered(statistics: list[int], size: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 35,
                    shard_runs: int = 4096) -> DataFrame:
     """``id, n_words, n_removed, kept`` (the kept words joined by one blank) for every row."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    d = ready(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     repeated = bitmap(_anchors(d, size), "anchor")
     runs = _runs(_candidates(d, size, repeated), size)
     proven = _proven(d, runs, size, shard_runs)

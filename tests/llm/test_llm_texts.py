@@ -47,6 +47,13 @@ def test_bpe_digests_and_round_trip(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_decode_alone(spark):
+    tokens = bpe.encode(_docs(spark, ODD).drop("n_chars"), **HOW).withColumn("decoded", F.lit("clash"))
+    tokens = tokens.unionByName(tokens.limit(1).withColumn("ids", F.lit(None).cast("binary")))
+    got = sorted((bytes(r.decoded) if r.decoded is not None else b"null") for r in bpe.decode(tokens, **HOW).collect())
+    assert got == sorted([*((t or "").encode() for t in ODD), b"null"])
+
+
 def test_bpe_pieces_are_cut_at_safe_places():
     enc, rng = _reference_encoder(), random.Random(4)
     for _ in range(300):
