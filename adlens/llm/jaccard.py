@@ -26,7 +26,7 @@ the texts that share a key, each is paired with the smallest, then, where
 components still differ, with the next in an order that is hashed anew for each key; what these
 links connect needs no further test. In groups that still hold several components,
 members of different components are compared: in small groups as pairs, in groups above
-``hot`` block by block in numpy, first by bit sketches alone, then, for members that
+``hot`` block by block in numpy, first by bit sketches alone (2,048, then 16,384 bits), then, for members that
 may link, by their sets, emitting only links that connect. Keys that occur once are dropped after a map-side-combined aggregate, and a bounded bitmap of
 the others keeps the rest out of the joins.
 
@@ -222,18 +222,35 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
+def _pruned(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bit sketches (id, n, sketch) allow a link."""
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                        F.lit(0), lambda acc, x: acc + x)
+    return (pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
+            .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+                   & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+            .select("a", "b"))
+
+
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and bit sketches, first folded, then whole, allow a link, stored."""
-    near = pairs.distinct()
-    for col in ("small", "sketch"):
-        own = sketches.select("id", "n", F.col(col).alias("s"))
-        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                            F.lit(0), lambda acc, x: acc + x)
-        near = (near.join(_side(own, "a"), "a").join(_side(own, "b"), "b")
-                .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                       & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
-                .select("a", "b"))
-    return keep_table(near, "jaccard-near")
+    near = _pruned(pairs.distinct(), sketches.select("id", "n", F.col("small").alias("sketch")), percent)
+    return keep_table(_pruned(near, sketches.select("id", "n", "sketch"), percent), "jaccard-near")
+
+
+def _wide(sets: DataFrame, bits: int = 1 << 14) -> DataFrame:
+    """``id, n, sketch``: wide bit sketches, which still tell sets of tens of thousands of shingles apart, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                own = [np.asarray(s.values).view(_U) for s in b.column("shingles")]
+                yield pa.record_batch([b.column("id"), pa.array([len(s) for s in own], pa.int64()),
+                                       pa.array([bit_sketch(s, bits) for s in own], pa.list_(pa.int64()))],
+                                      names=["id", "n", "sketch"])
+
+    return keep_table(sets.mapInArrow(run, "id long, n long, sketch array<long>"), "jaccard-wide")
 
 
 def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -323,6 +340,8 @@ def _links_in_large_groups(groups: DataFrame, sketches: DataFrame, percent: int,
     sketches = sketches.select("id", "n", "sketch")
     tasks = keep_table(dealt(_block_pairs(groups, block).join(sketches, "id")).mapInArrow(hopeful, schema), "jaccard-hopeful")
     sets = sets_of(tasks.select("id").distinct())
+    sketches = _wide(sets)
+    tasks = keep_table(dealt(tasks.join(sketches, "id")).mapInArrow(hopeful, schema), "jaccard-hopeful")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, _TASK):
@@ -363,15 +382,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def sets_of(ids: DataFrame) -> DataFrame:
         return _sets(ided, ids, words)
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, wide: bool = True) -> DataFrame:
         near = _near(pairs, sketches, percent)
         sets = sets_of(_ends(near))
-        found = _linked(near, sets, percent)
+        found = _linked(_pruned(near, _wide(sets), percent) if wide else near, sets, percent)
         drop_table(sets)
         return found
 
     alike = 100 * F.least("n", "low_n") >= percent * F.greatest("n", "low_n")
-    links = linked(members.where(F.col("id") > F.col("low")).where(alike).select(F.col("low").alias("a"), F.col("id").alias("b")))
+    links = linked(members.where(F.col("id") > F.col("low")).where(alike).select(F.col("low").alias("a"), F.col("id").alias("b")), wide=False)
     mixed = _mixed(members.where("size > 2"), links)
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / 4096))
     chain = Window.partitionBy(*_GROUP, "part").orderBy(F.xxhash64("id", "key"))
