@@ -217,6 +217,45 @@ def test_lm_gradients_and_learning():
     assert np.mean(losses[-10:]) < 0.3 * np.mean(losses[:5])
 
 
+def test_lm_learns_from_every_window(spark):
+    enc, rng = _reference_encoder(), random.Random(12)
+    texts = [" ".join(rng.choice(["red", "blue", "green", "shape"]) for _ in range(n)) for n in [0, 1, 40, 70, 300] * 6] + ["same"] * 9
+    docs = _docs(spark, texts).select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7 == 0).alias("held_out"), "text")
+    prepared = lm._prepared(docs, np.array([], np.int64), lm.load_ranks(RANKS), public_tokenizers.PATTERN, 4)
+    end = enc.max_token_value + 1
+    subs, near = lm._counts(prepared, 0, end, "<u2")[1:]
+    ids = [enc.encode_ordinary(t) for i, t in enumerate(texts) if i % 7]
+    want = Counter(x for d in ids for x in [*d, end])
+    assert subs.sum() == sum(want.values()) and all(subs[x] == n for x, n in want.items())
+    pairs = Counter(p for d in ids for p in zip([end, *d], [*d, end]))
+    counted = np.zeros_like(near)
+    for (x, y), n in pairs.items():
+        counted[y, x * 7919 % lm.SIDE] += n
+        counted[x, lm.SIDE + y * 7919 % lm.SIDE] += n
+    assert (near == counted).all()
+    model = lm.Model(lm.subword_classes(near, 8), 8)
+    total, n = {k: np.zeros(v.shape) for k, v in model.p.items()}, 0
+    for piece in range(4):
+        size = sum(len(r.ids) // 2 + 1 for r in prepared.where(F.col("slice") == piece).select("ids").collect())
+        for k, g in (lm._gradients(prepared, model, piece, "<u2") or {}).items():
+            total[k] += g * size
+        n += size
+    assert n == sum(want.values())
+    _, grads, count = model.sums(np.concatenate([lm.text_windows(np.array(d, dtype=np.int64), end) for d in ids]))
+    assert count == n
+    for k, g in grads.items():
+        assert total[k] == pytest.approx(g, rel=1e-3, abs=1e-2), k
+
+
+def test_lm_learns_from_short_texts(spark):
+    docs = _docs(spark, [f"one two three four {'five' if i % 2 else 'six'}" for i in range(60)])
+
+    def mean(steps):
+        return lm.score_texts(docs, langid.held_out("doc_id", 10, 0), steps=steps, **HOW).where("held_out").agg(F.avg("score")).first()[0]
+
+    assert mean(24) > mean(0) + 2
+
+
 # -- secrets -------------------------------------------------------------------------
 def _brute_spans(text):
     found = []
