@@ -7,6 +7,7 @@ system of the path, so the folder can be in any store that Spark reaches.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,12 +63,13 @@ def publish(spark: SparkSession, written: str, final: str) -> bool:
         raise
 
 
-def keep_table(df: DataFrame, tag: str) -> DataFrame:
+def keep_table(df: DataFrame, tag: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and return the stored table: cuts lineage, survives
-    lost executors, and gives the optimizer the real size and columns to prune."""
+    lost executors, and gives the optimizer the real size and columns to prune
+    (and with ``partition_by`` the folders)."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{FOLDER}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     _STORED[stored] = path
     return stored

@@ -67,3 +67,9 @@ def test_stored_tables_can_be_dropped(spark):
     assert storage.exists(spark, folder)
     storage.drop_tables(spark)
     assert not storage.exists(spark, folder)
+
+
+def test_stored_tables_can_be_partitioned(spark):
+    kept = storage.keep_table(spark.range(10).selectExpr("id", "id % 2 as part"), "t", ["part"])
+    assert kept.where("part = 1").count() == 5 and len([f for f in kept.inputFiles() if "part=" in f]) > 0
+    storage.drop_table(kept)
