@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import bpe, chat, jaccard, langid, lm, mixing, neardup, secrets, substrings, topk
+from adlens.llm import bpe, chat, jaccard, langid, lines, lm, mixing, neardup, periods, phrases, secrets, substrings, topk
 from adlens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,4 +226,91 @@ def op10(spark, sf_dir):
                              pattern=public_tokenizers.PATTERN)
 
 
+@query("op11_phrase_collocations")
+def op11(spark, sf_dir):
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (SELECT lang, unnest(pieces) AS piece FROM p)),
+grams AS (
+  SELECT lang, 1 AS size, unnest(words) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) FROM w
+  UNION ALL SELECT lang, 3, unnest([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)]) FROM w),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT *, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:size], ' ') AS tail
+  FROM (SELECT lang, size, phrase, a, ws, unnest(range(1, size)) AS k FROM cand)),
+scored AS (
+  SELECT cuts.lang, cuts.size, cuts.phrase, a, k, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase FROM cand WHERE size = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest LEFT JOIN inside USING (lang, phrase) JOIN total USING (lang)
+WHERE NOT coalesce(100 * longer >= 50 * a, FALSE)
+QUALIFY rank <= 2000
+"""
+
+
+def _planted_periods(id_col: str, text_col: str) -> F.Column:
+    """The text whose words from some place on repeat with a period, for one id in ten."""
+    text = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(lines.SPACE))
+    h = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def cycled(words, a, p):
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 1),
+                           lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
+
+    # names of a lambda hold each value once: the words, where the repetition starts, its period
+    words = F.split(text, r"[\x20\x09-\x0D]+", -1)
+    with_a = F.transform(F.array(F.struct(words.alias("w"), g.alias("g"))),
+                         lambda s: F.struct(s["w"].alias("w"), (s["g"] % F.size(s["w"])).cast("int").alias("a"), s["g"].alias("g")))
+    with_p = F.transform(with_a, lambda s: F.struct(s["w"].alias("w"), s["a"].alias("a"), (
+        1 + F.floor((F.size(s["w"]) - s["a"]) / (3 + s["g"] % 8))).cast("int").alias("p")))
+    planted = F.element_at(F.transform(with_p, lambda s: F.array_join(cycled(s["w"], s["a"], s["p"]), " ")), 1)
+    return F.when((h % 10 == 0) & (text != ""), planted).otherwise(F.col(text_col))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", _planted_periods("doc_id", "text").alias("text"))
+    found = periods.periodic_runs(docs)
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_line_dedup")
+def op13(spark, sf_dir):
+    kept = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op13_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+owners AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT k.*, coalesce(owner <> doc_id, FALSE) AS gone FROM k LEFT JOIN owners USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
