@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import inspect
+import json
 import sys
 import uuid
 from functools import cached_property
@@ -30,6 +31,7 @@ from adlens.sources.tables import read_table, table_path
 WAREHOUSE_ROOT_CONF = "spark.adlens.warehouse.root"   # optional; defaults under spark.checkpoint.dir
 MATERIALIZED = ("delivery", "matched_transactions", "site_events", "site_events_rich",
                 "identity", "catalog_stats", "test_users", "order_site_events")
+SCHEMA_FILE = "_schema.json"     # published with a table
 
 # Fixed values of the test-data adapters.
 ANONYMOUS_USER = 0               # sentinel user id in the test data
@@ -193,19 +195,24 @@ class TestWarehouse:
             getattr(self, name)
 
     def _stored(self, name: str, build, partition_by: tuple[str, ...] = ("day",)) -> DataFrame:
-        df = build()
+        """The derived table ``name``: read back if it is stored (its schema lies beside it, so
+        nothing is planned or derived for it), else built and stored first."""
         if not self.materialize:
-            return df
+            return build()
         path = f"{self.root}/{name}"
-        if not storage.exists(self.spark, f"{path}/_SUCCESS"):
+        schema = storage.read_file(self.spark, f"{path}/{SCHEMA_FILE}")
+        if schema is None:
+            df = build()
             # rebalancing by day makes files of the advisory size: small days share a
             # task, a large day is split over several
             rows = df.hint("rebalance", *partition_by) if partition_by else df
             written = f"{self.root}/.{name}-{uuid.uuid4().hex}"
             rows.write.partitionBy(*partition_by).parquet(written)
+            schema = df.schema.json().encode()
+            storage.write_file(self.spark, f"{written}/{SCHEMA_FILE}", schema)
             storage.publish(self.spark, written, path)
         # the schema also types the partition columns on read-back
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(path)
 
     @cached_property
     def base(self) -> DataFrame:
