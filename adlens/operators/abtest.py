@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.money import money_sum
@@ -36,37 +36,63 @@ def ab_event_measures(site_events: DataFrame, *, partners: Sequence[int], modulu
                                 F.count(F.lit(1)).alias("events"))
 
 
-def ab_delivery_measures(clicks: DataFrame, displays: DataFrame, *, partners: Sequence[int],
-                         modulus: int | None, start: dt.date, end: dt.date,
-                         platform: str = "EU", sentinel=None) -> DataFrame:
-    """Clicks, displays and spend (click revenue + display revenue / 1000).
-
-    Display revenue is summed first and divided once, so no row is rounded.
-    """
+def delivery_rows(clicks: DataFrame, displays: DataFrame, *, partners: Sequence[int], modulus: int | None,
+                  start: dt.date, end: dt.date, platform: str = "EU", sentinel=None) -> DataFrame:
+    """The clicks and displays in scope as one table of rows with both kinds' amounts."""
     none = F.lit(None).cast("double")
     c = (clicks.where(partner_scope(partners, modulus) & day_between("day", start, end)
                       & not_anonymous("user_id", sentinel))
-         .select(*KEYS, F.lit(1).alias("clicks"), F.col("revenue_local").alias("click_revenue"),
+         .select("day", *KEYS, F.lit(1).alias("clicks"), F.col("revenue_local").alias("click_revenue"),
                  none.alias("display_revenue"), F.lit(0).alias("displays")))
     d = (displays.where((F.col("host_platform") == platform)
                         & F.col("merchant_id").isin(list(partners))
                         & day_between("day", start, end) & not_anonymous("user_id", sentinel))
-         .select("user_id", F.col("merchant_id").alias("partner_id"), F.lit(0).alias("clicks"),
+         .select("day", "user_id", F.col("merchant_id").alias("partner_id"), F.lit(0).alias("clicks"),
                  none.alias("click_revenue"), F.col("sum_display_revenue_local").alias("display_revenue"),
                  F.lit(1).alias("displays")))
-    both = c.unionByName(d).groupBy(*KEYS).agg(
+    return c.unionByName(d)
+
+
+def spend_of(click_revenue: str, display_revenue: str) -> Column:
+    """Click revenue + display revenue / 1000, of summed amounts; null only if there is neither."""
+    cr, per_mille = F.col(click_revenue), F.col(display_revenue) / DISPLAY_REVENUE_DIVISOR
+    return F.when(cr.isNull(), per_mille).otherwise(cr + F.coalesce(per_mille, F.lit(0.0)))
+
+
+def ab_delivery_measures(clicks: DataFrame, displays: DataFrame, *, partners: Sequence[int],
+                         modulus: int | None, start: dt.date, end: dt.date,
+                         platform: str = "EU", sentinel=None) -> DataFrame:
+    """Clicks, displays and spend (click revenue + display revenue / 1000).
+
+    Display revenue is summed first and divided once, so no row is rounded.
+    """
+    rows = delivery_rows(clicks, displays, partners=partners, modulus=modulus, start=start, end=end,
+                         platform=platform, sentinel=sentinel)
+    both = rows.groupBy(*KEYS).agg(
         F.sum("clicks").cast("bigint").alias("clicks"), F.sum("displays").cast("bigint").alias("displays"),
         money_sum("click_revenue").alias("cr"), money_sum("display_revenue").alias("dr"))
-    per_mille = F.col("dr") / DISPLAY_REVENUE_DIVISOR
-    spend = F.when(F.col("cr").isNull(), per_mille).otherwise(F.col("cr") + F.coalesce(per_mille, F.lit(0.0)))
-    return both.select(*KEYS, "clicks", spend.alias("spend"), "displays")
+    return both.select(*KEYS, "clicks", spend_of("cr", "dr").alias("spend"), "displays")
+
+
+def ab_delivery_sides(clicks: DataFrame, displays: DataFrame, *, partners: Sequence[int], modulus: int | None,
+                      start: dt.date, end: dt.date, platform: str = "EU", sentinel=None) -> tuple[DataFrame, DataFrame]:
+    """A19's two sides, each aggregated where it lies: ``clicks, cr`` and ``displays, dr`` per user and partner."""
+    c = (clicks.where(partner_scope(partners, modulus) & day_between("day", start, end) & not_anonymous("user_id", sentinel))
+         .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("clicks"), money_sum("revenue_local").alias("cr")))
+    # the displays' merchant is their partner, which also names their storage folder
+    d = (displays.where((F.col("host_platform") == platform) & partner_scope(partners, modulus, partner_col="merchant_id")
+                        & day_between("day", start, end) & not_anonymous("user_id", sentinel))
+         .groupBy("user_id", F.col("merchant_id").alias("partner_id"))
+         .agg(F.count(F.lit(1)).alias("displays"), money_sum("sum_display_revenue_local").alias("dr")))
+    return c, d
 
 
 SITE_EVENT_COLS = ("partner_id", "partner_partition", "day", "user_id", "unixtime", "event_name",
                    "persistent_user", "transaction_id", "products")
 
 
-def _sales(site_events: DataFrame, partners, modulus, start, end, sentinel) -> DataFrame:
+def sales_events(site_events: DataFrame, partners, modulus, start, end, sentinel) -> DataFrame:
+    """The sales events of persistent users in scope."""
     require_columns(site_events, SITE_EVENT_COLS, "order value")
     return site_events.where(partner_scope(partners, modulus) & day_between("day", start, end)
                              & not_anonymous("user_id", sentinel) & F.col("persistent_user")
@@ -79,13 +105,25 @@ def order_value_max(site_events: DataFrame, *, partners: Sequence[int], modulus:
 
     Emissions without products vanish (inner explode).
     """
-    x = (_sales(site_events, partners, modulus, start, end, sentinel)
+    x = (sales_events(site_events, partners, modulus, start, end, sentinel)
          .select(*KEYS, "transaction_id", "unixtime", F.explode("products").alias("b")))
     per_emission = x.groupBy(*KEYS, "transaction_id", "unixtime").agg(
         money_sum(F.col("b.price") * F.col("b.quantity")).alias("order_value"))
     return per_emission.groupBy(*KEYS, "transaction_id").agg(F.max("order_value").alias("order_value"))
 
 
+def transaction_values(emissions: DataFrame, rule: str) -> DataFrame:
+    """The value of each transaction from its emissions (``unixtime, order_value, has_products``): the
+    largest of those with products (``max``), or the latest one's if that has products (``latest``)."""
+    if rule == "max":
+        return (emissions.where("has_products").groupBy(*KEYS, "transaction_id")
+                .agg(F.max("order_value").alias("order_value")))
+    latest = emissions.groupBy(*KEYS, "transaction_id").agg(
+        F.max_by(F.struct("has_products", "order_value"), "unixtime").alias("l"))
+    return latest.where(F.col("l.has_products")).select(
+        *KEYS, "transaction_id", F.col("l.order_value").alias("order_value"))
+
+
 def order_value_latest(site_events: DataFrame, *, partners: Sequence[int], modulus: int | None,
                        start: dt.date, end: dt.date, sentinel=None) -> DataFrame:
     """Value of a transaction = value of its *latest* emission.
@@ -96,16 +134,13 @@ def order_value_latest(site_events: DataFrame, *, partners: Sequence[int], modul
     to be compared with and drop. One pass: per-emission sums with an outer
     explode, then ``max_by`` on time.
     """
-    x = (_sales(site_events, partners, modulus, start, end, sentinel)
+    x = (sales_events(site_events, partners, modulus, start, end, sentinel)
          .where(F.col("transaction_id").isNotNull())
          .select(*KEYS, "transaction_id", "unixtime", F.posexplode_outer("products").alias("pos", "b")))
     per_emission = x.groupBy(*KEYS, "transaction_id", "unixtime").agg(
         money_sum(F.col("b.price") * F.col("b.quantity")).alias("order_value"),
         (F.count("pos") > 0).alias("has_products"))
-    latest = per_emission.groupBy(*KEYS, "transaction_id").agg(
-        F.max_by(F.struct("has_products", "order_value"), "unixtime").alias("l"))
-    return latest.where(F.col("l.has_products")).select(
-        *KEYS, "transaction_id", F.col("l.order_value").alias("order_value"))
+    return transaction_values(per_emission, "latest")
 
 
 def ab_transaction_measures(order_values: DataFrame) -> DataFrame:
@@ -139,3 +174,24 @@ def ab_user_measures(event_measures: DataFrame, delivery_measures: DataFrame,
              *((money_sum(m) if m in ("spend", "order_value") else F.sum(m)).alias(m) for m in MEASURES[1:])))
     u = with_population(u, test_id, n_populations)
     return u.select(*KEYS, "population", *MEASURES)
+
+
+def ab_user_measures_joined(spine: DataFrame, event_measures: DataFrame, click_side: DataFrame, display_side: DataFrame,
+                            transaction_measures: DataFrame, *, test_id: int, n_populations: int = 2) -> DataFrame:
+    """A23 for tables that are dealt by user already (``sources.buckets``): left joins from ``spine``, which holds
+    every user and partner once and is dealt likewise. Nothing is shuffled if
+    ``spark.sql.requireAllClusterKeysForCoPartition`` is off (the keys are user and partner, the tables are
+    dealt by user); a union or a full join would have to be dealt again. The same rows as ``ab_user_measures``:
+    an amount is null only if its branch alone has the user, with a null amount."""
+    sides = {"e": event_measures, "c": click_side, "d": display_side, "t": transaction_measures}
+    j = spine.select(*KEYS)
+    for mark, side in sides.items():
+        j = j.join(side.withColumn(mark, F.lit(True)), KEYS, "left")
+    e, c, d, t = (F.col(m).isNotNull() for m in sides)
+    zero = F.lit(0).cast("bigint")
+    spend, value = spend_of("cr", "dr"), F.col("order_value")
+    u = j.where(e | c | d | t).select(
+        *KEYS, "first_day_seen", *(F.coalesce(F.col(n), zero).alias(n) for n in ("events", "clicks", "transactions", "displays")),
+        F.when(e | t, F.coalesce(spend, F.lit(0.0))).otherwise(spend).alias("spend"),
+        F.when(~t | e | c | d, F.coalesce(value, F.lit(0.0))).otherwise(value).alias("order_value"))
+    return with_population(u, test_id, n_populations).select(*KEYS, "population", *MEASURES)

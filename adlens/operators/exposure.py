@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.bands import DEFAULT_EXPOSURE_EDGES, band_by_edges, hour_ladder
+from adlens.functions.distinct import distinct_count
 from adlens.functions.money import money_sum
 from adlens.functions.predicates import day_between, not_anonymous, partner_scope
 from adlens.sources.schemas import require_columns
@@ -18,14 +19,15 @@ DISPLAY_COLS = ("merchant_id", "day", "user_id", "host_platform", "days_last_vis
 
 def display_reach(displays: DataFrame, *, start: dt.date, end: dt.date | None = None,
                   campaign_id: int, client_id: int, partner_partition: int,
-                  sentinel=None) -> DataFrame:
-    """A1: distinct users and displays of one campaign/client (open-ended range by default)."""
+                  sentinel=None, approx: bool = False) -> DataFrame:
+    """A1: distinct users (``approx``: their HLL estimate) and displays of one campaign/client
+    (open-ended range by default)."""
     d = displays.where(day_between("day", start, end)
                        & (F.col("campaign_id") == campaign_id)
                        & (F.col("client_id") == client_id)
                        & (F.col("partner_partition") == partner_partition)
                        & not_anonymous("user_id", sentinel))
-    return d.agg(F.count_distinct("user_id").alias("unique_users"),
+    return d.agg(distinct_count("user_id", approx).alias("unique_users"),
                  F.count(F.lit(1)).alias("displays"))
 
 
@@ -77,21 +79,16 @@ def frequency_by_hour(cells: DataFrame) -> DataFrame:
         F.avg("fbx_displays").alias("avg_fbx_displays"))
 
 
-def response_by_exposure_bucket(displays: DataFrame, clicks: DataFrame, sales: DataFrame,
-                                cells: DataFrame, *, partners: Sequence[int], modulus: int | None,
-                                start: dt.date, end: dt.date, sentinel=None,
-                                edges: Sequence[float] = DEFAULT_EXPOSURE_EDGES,
-                                by_partner: bool = False,
-                                bucket_col: str | None = None) -> DataFrame:
-    """Users bucketed by mean displays per cell; displays, clicks, sales, revenue per bucket.
+def response_per_user(displays: DataFrame, clicks: DataFrame, sales: DataFrame, cells: DataFrame, *,
+                      partners: Sequence[int], modulus: int | None, start: dt.date, end: dt.date,
+                      sentinel=None, by_partner: bool = False) -> DataFrame:
+    """The per-user half of A6: mean and sum of displays, clicks, revenue and sales of every exposed user.
 
-    ``cells`` is A2 output (user grain) or A4 output (``by_partner=True``).
     Every side is reduced to one row per key before the joins, so the joins
-    never see fact-sized inputs and a hot user cannot skew them.
+    never see fact-sized inputs and a hot user cannot skew them. On tables that
+    are bucketed by user (``sources.buckets``) nothing here is shuffled.
     """
     keys = ["partner_id", "user_id"] if by_partner else ["user_id"]
-    bucket_col = bucket_col or ("avg_display_per_user_day_hour" if by_partner
-                                else "avg_display_per_user_per_day")
     scope = (partner_scope(partners, modulus) & day_between("day", start, end)
              & not_anonymous("user_id", sentinel))
     exposed = displays.where(scope).select(*keys).distinct()
@@ -106,15 +103,37 @@ def response_by_exposure_bucket(displays: DataFrame, clicks: DataFrame, sales: D
     # dropped: one scan of the exposure set instead of two.
     sls = (sales.where(F.col("partner_id").isin(list(partners)) & day_between("day", start, end))
            .groupBy(*keys).agg(F.count(F.lit(1)).alias("sales")))
-    j = (exposed.join(per_user, keys).join(clk, keys, "left").join(sls, keys, "left"))
+    return exposed.join(per_user, keys).join(clk, keys, "left").join(sls, keys, "left")
+
+
+def by_exposure_bucket(per_user: DataFrame, *, edges: Sequence[float] = DEFAULT_EXPOSURE_EDGES,
+                       by_partner: bool = False, bucket_col: str | None = None) -> DataFrame:
+    """The second half of A6: users banded by their mean displays, with the bands' totals."""
+    bucket_col = bucket_col or ("avg_display_per_user_day_hour" if by_partner
+                                else "avg_display_per_user_per_day")
     group = (["partner_id"] if by_partner else []) + [band_by_edges("avg_displays", edges).alias(bucket_col)]
-    return j.groupBy(*group).agg(
+    return per_user.groupBy(*group).agg(
         F.sum("sum_displays").alias("sum_displays"),
         F.coalesce(F.sum("clicks"), F.lit(0).cast("bigint")).alias("sum_clicks"),
         F.coalesce(F.sum("sales"), F.lit(0).cast("bigint")).alias("sum_sales"),
         F.coalesce(money_sum("rev"), F.lit(0.0)).alias("rev"))
 
 
+def response_by_exposure_bucket(displays: DataFrame, clicks: DataFrame, sales: DataFrame,
+                                cells: DataFrame, *, partners: Sequence[int], modulus: int | None,
+                                start: dt.date, end: dt.date, sentinel=None,
+                                edges: Sequence[float] = DEFAULT_EXPOSURE_EDGES,
+                                by_partner: bool = False,
+                                bucket_col: str | None = None) -> DataFrame:
+    """Users bucketed by mean displays per cell; displays, clicks, sales, revenue per bucket.
+
+    ``cells`` is A2 output (user grain) or A4 output (``by_partner=True``).
+    """
+    per_user = response_per_user(displays, clicks, sales, cells, partners=partners, modulus=modulus, start=start,
+                                 end=end, sentinel=sentinel, by_partner=by_partner)
+    return by_exposure_bucket(per_user, edges=edges, by_partner=by_partner, bucket_col=bucket_col)
+
+
 def hourly_response_detail(cells: DataFrame, clicks: DataFrame, sales: DataFrame, *,
                            merchants: Sequence[int], start: dt.date, end: dt.date,
                            platform: str = "EU", sentinel=None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.bands import matched_band
+from adlens.functions.distinct import distinct_count
 from adlens.functions.money import money_sum
 from adlens.functions.predicates import day_between
 
@@ -16,18 +17,19 @@ PLATFORM_PROVIDER_TYPES = ("DATA_PROVIDER", "APP_CK")
 PARTNER_PROVIDER_TYPE = "PARTNER_ID"
 
 
-def matched_cookies(identity: DataFrame, *, day: dt.date, platform: str = "EU") -> DataFrame:
-    """Distinct linked uids per (uid, users) row of the graph snapshot."""
+def matched_cookies(identity: DataFrame, *, day: dt.date, platform: str = "EU", approx: bool = False) -> DataFrame:
+    """Distinct linked uids (``approx``: their HLL estimate) per (uid, users) row of the graph snapshot."""
     return (identity.where((F.col("host_platform") == platform) & (F.col("day") == F.lit(day)))
             .select("uid", "users", F.explode("events").alias("e"))
             .groupBy("uid", "users")
-            .agg(F.count_distinct("e.uid").alias("matched_cookies")))
+            .agg(distinct_count("e.uid", approx).alias("matched_cookies")))
 
 
 def performance_by_matched_cookies(displays: DataFrame, clicks: DataFrame, transactions: DataFrame,
                                    identity: DataFrame, *, partner: int, partition: int,
                                    start: dt.date, end: dt.date, trans_end: dt.date,
-                                   identity_day: dt.date, platform: str = "EU") -> DataFrame:
+                                   identity_day: dt.date, platform: str = "EU",
+                                   approx: bool = False) -> DataFrame:
     """Users banded by matched cookies (1, 2, 3+; unmatched -> 1) with
     cookies, displays, clicks, spend, transactions and order value.
 
@@ -45,7 +47,7 @@ def performance_by_matched_cookies(displays: DataFrame, clicks: DataFrame, trans
                              & (F.col("attribution_type") == "pc"))
           .groupBy(F.col("impression_id").alias("mt_impression_id"),
                    F.coalesce("clicked_item_id", F.lit(0)).alias("mt_item_id"))
-          .agg(F.count_distinct("transaction_id").alias("transactions"),
+          .agg(distinct_count("transaction_id", approx).alias("transactions"),
                money_sum("order_value").alias("order_value")))
     ids = matched_cookies(identity, day=identity_day, platform=platform).drop("users")
     j = (disp.join(clk, "impression_id", "left")
@@ -59,7 +61,7 @@ def performance_by_matched_cookies(displays: DataFrame, clicks: DataFrame, trans
         money_sum("order_value").alias("order_value"))
     banded = per_user.join(ids, F.col("user_id") == F.col("uid"), "left")
     return banded.groupBy(matched_band("matched_cookies").alias("matched_cookies")).agg(
-        F.count_distinct("user_id").alias("total_cookies"),
+        distinct_count("user_id", approx).alias("total_cookies"),
         F.sum("displays").cast("bigint").alias("displays"),
         F.sum("clicks").alias("clicks"),
         money_sum("spend").alias("spend"),
@@ -72,20 +74,35 @@ def identity_match_flags(identity: DataFrame, *, partner: int, day: dt.date,
     """Per linked uid, three 0/1 flags: platform provider, this partner's
     id, any other provider. A NULL id list counts as ``[0]``; an empty list
     contributes nothing (inner explode)."""
-    x = (identity.where((F.col("day") == F.lit(day)) & (F.col("host_platform") == platform))
-         .select(F.explode("events").alias("e"))
-         .select(F.col("e.uid").alias("uid"), F.explode("e.providers").alias("p"))
-         .select("uid", F.col("p.providertype").alias("providertype"),
-                 F.explode(F.coalesce(F.col("p.providerids"), F.array(F.lit(0)))).alias("providerid")))
-    t, pid = F.col("providertype"), F.col("providerid")
-    flag = lambda cond: F.max(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
-    # MAX is idempotent, so the (uid, type, id) de-duplication of the
-    # original is not needed: partial aggregation collapses repeats map-side.
-    return x.groupBy("uid").agg(
-        flag(t.isin(*PLATFORM_PROVIDER_TYPES)).alias("platform_match"),
-        flag((t == PARTNER_PROVIDER_TYPE) & (pid == partner)).alias("client_match"),
-        flag((t != PLATFORM_PROVIDER_TYPES[0]) & (t != PLATFORM_PROVIDER_TYPES[1])
-             & ((t != PARTNER_PROVIDER_TYPE) | (pid != partner))).alias("other_client_match"))
+    # The nested lists are folded where they are, in three flags a link: one explode
+    # instead of three, and one row a link into the aggregate.
+    def any_of(xs, test):
+        return F.coalesce(F.exists(xs, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
+
+    def ids(p):
+        return F.coalesce(p["providerids"], F.array(F.lit(0)))
+
+    def any_id(p, test=lambda i: F.lit(True)):
+        return any_of(ids(p), test)
+
+    def foreign(p):
+        t = p["providertype"]
+        return ((t != PLATFORM_PROVIDER_TYPES[0]) & (t != PLATFORM_PROVIDER_TYPES[1])
+                & F.when(t != PARTNER_PROVIDER_TYPE, any_id(p)).otherwise(any_id(p, lambda i: i != partner)))
+
+    links = (identity.where((F.col("day") == F.lit(day)) & (F.col("host_platform") == platform))
+             .select(F.explode("events").alias("e"))
+             .select(F.col("e.uid").alias("uid"), F.col("e.providers").alias("providers")))
+    flagged = links.where(any_of(F.col("providers"), any_id)).select(
+        "uid",
+        any_of(F.col("providers"), lambda p: p["providertype"].isin(*PLATFORM_PROVIDER_TYPES) & any_id(p)).alias("platform"),
+        any_of(F.col("providers"), lambda p: (p["providertype"] == PARTNER_PROVIDER_TYPE)
+               & any_id(p, lambda i: i == partner)).alias("client"),
+        any_of(F.col("providers"), foreign).alias("other"))
+    # MAX is idempotent: partial aggregation collapses a uid's links map-side
+    return flagged.groupBy("uid").agg(F.max(F.col("platform").cast("int")).alias("platform_match"),
+                                      F.max(F.col("client").cast("int")).alias("client_match"),
+                                      F.max(F.col("other").cast("int")).alias("other_client_match"))
 
 
 def audience_overlap(displays: DataFrame, dim_client: DataFrame, flags: DataFrame, *,

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlens.functions.distinct import distinct_count
 from adlens.functions.money import money_sum
 from adlens.functions.predicates import day_between
 from adlens.functions.time import epoch_to_day
@@ -56,7 +57,8 @@ def item_display_click_stats(reco_displays: DataFrame, clicks: DataFrame, catalo
 
 def product_performance(catalog_stats: DataFrame, dim_catalog: DataFrame, clicks: DataFrame,
                         transactions: DataFrame, *, partner: int, partition: int,
-                        start: dt.date, end: dt.date, conversion_end: dt.date) -> DataFrame:
+                        start: dt.date, end: dt.date, conversion_end: dt.date,
+                        approx: bool = False) -> DataFrame:
     """Per (partner, day, item): displays, clicks, value coefficient, click
     revenue and distinct deduplicated sales attributed to the *click* day
     (transactions are read up to ``conversion_end``)."""
@@ -76,7 +78,7 @@ def product_performance(catalog_stats: DataFrame, dim_catalog: DataFrame, clicks
                                 & day_between("day", start, conversion_end))
              .groupBy("partner_id", click_day.alias("day"),
                       F.col("click_internal_item_id").alias("internal_item_id"))
-             .agg(F.count_distinct("transaction_id").alias("sales")))
+             .agg(distinct_count("transaction_id", approx).alias("sales")))
     keys = ["partner_id", "day", "internal_item_id"]
     j = (stat.join(cat, ["partner_id", "internal_item_id"])
          .join(clk, keys, "left").join(sales, keys, "left"))

@@ -24,6 +24,16 @@ class TestParams:
     reach_campaign: int = 1
     reach_client: int = 102
     reach_partner: int = 2
+    reach_windows: tuple[tuple[dt.date, dt.date], ...] = (
+        (D(2024, 1, 1), D(2024, 1, 7)), (D(2024, 1, 5), D(2024, 1, 18)), (D(2024, 1, 1), D(2024, 1, 31)))
+    reach_rolling_days: int = 7
+    reach_first_day: dt.date = D(2024, 1, 1)
+    reach_last_day: dt.date = D(2024, 1, 31)
+    # tables bucketed by user
+    user_buckets: int = 8
+    # own output kept by day: covered first up to a day, then to the end, with one day again
+    daily_first_step: dt.date = D(2024, 1, 15)
+    daily_late: dt.date = D(2024, 1, 12)
     # frequency / exposure (user grain)
     freq_merchants: tuple[int, ...] = (1, 2)
     freq_start: dt.date = D(2024, 1, 1)

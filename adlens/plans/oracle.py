@@ -16,7 +16,21 @@ from __future__ import annotations
 import datetime as dt
 
 from adlens.params import P
-from adlens.sources.fixtures import DEVICE_FIELDS, DEVICE_PROFILES
+
+# The user-agent profile of an event by event_id % 9.
+DEVICE_FIELDS = ("ua_device_family", "ua_os_family", "ua_browser_family", "useragent", "display_env")
+DEVICE_PROFILES = (
+    ("iPad", "iOS", "Mobile Safari", "Mozilla/5.0 (iPad; CPU OS 10_0) Mobile/14A", "web"),
+    ("iPhone", "iOS", "Mobile Safari", "Mozilla/5.0 (iPhone; CPU iPhone OS 10_0) Mobile/14A", "web"),
+    ("Samsung SM-G930F", "Android", "Chrome Mobile", "Mozilla/5.0 (Linux; Android 7.0) Chrome Mobile Safari", "web"),
+    ("Samsung SM-T810", "Android", "Chrome", "Mozilla/5.0 (Linux; Android 7.0; SM-T810) Safari", "web"),
+    ("Generic Smartphone", "Other", "other", "app-sdk/2.1", "app_android"),
+    ("Generic Smartphone", "Other", "other", "app-sdk/2.1", "app_ios"),
+    ("Other", "Mac OS X", "Safari", "Mozilla/5.0 (Macintosh) Safari/602", "web"),
+    (None, "Windows", "Firefox", "Mozilla/5.0 (Windows NT 10.0) Firefox/50", "web"),
+    ("Nokia Lumia", "Windows Phone", "Other", "Mozilla/5.0 (Windows Phone 10.0)", "app_android"),
+)
+
 
 def _d(x: dt.date) -> str:
     return f"DATE '{x.isoformat()}'"
@@ -352,12 +366,11 @@ def _ab_seen() -> str:
 def _ab_delivered(scale: str = "") -> str:
     """Full outer join of the users' clicks and displays; ``scale`` multiplies the display revenue."""
     days = _days(P.ab_measures_start, P.ab_end)
-    only_displays = "AND false" if scale else ""
     return f"""SELECT user_id, partner_id, coalesce(c.n, 0) AS clicks, coalesce(d.n, 0) AS displays,
            CASE WHEN c.paid IS NULL THEN d.paid / 1000 ELSE c.paid + coalesce(d.paid / 1000, 0) END AS spend
     FROM (SELECT user_id, partner_id, COUNT(*) AS n, {_money("revenue_local")} AS paid FROM clicks
           WHERE partner_id IN {_in(P.ab_partners)} AND partner_partition IN {_parts(P.ab_partners)} AND {days}
-            AND {_known_user()} {only_displays} GROUP BY ALL) c
+            AND {_known_user()} GROUP BY ALL) c
     FULL JOIN (
           SELECT user_id, merchant_id AS partner_id, COUNT(*) AS n,
                  {_money("sum_display_revenue_local" + scale)} AS paid FROM displays
@@ -444,17 +457,31 @@ def oracles() -> dict[str, str]:
 SELECT COUNT(DISTINCT user_id) AS unique_users, COUNT(*) AS displays FROM displays
 WHERE day >= {_d(P.reach_start)} AND campaign_id = {P.reach_campaign} AND client_id = {P.reach_client}
   AND partner_partition = {P.reach_partner % P.modulus} AND {_known_user()}""")
+    o["display_reach_daily"] = o["display_reach"]
+    windows = ", ".join(f"({_d(a)}, {_d(z)})" for a, z in P.reach_windows)
+    o["reach_by_window"] = _with(body=f"""
+SELECT window_start, window_end, campaign_id, client_id, COUNT(DISTINCT user_id) AS unique_users, COUNT(*) AS displays
+FROM displays JOIN (VALUES {windows}) w(window_start, window_end) ON day BETWEEN window_start AND window_end
+WHERE {_known_user()} GROUP BY ALL""")
+    o["rolling_reach"] = _with(body=f"""
+SELECT until, campaign_id, client_id, COUNT(DISTINCT user_id) AS unique_users, COUNT(*) AS displays
+FROM displays JOIN (SELECT CAST(unnest(generate_series({_d(P.reach_first_day)}, {_d(P.reach_last_day)}, INTERVAL 1 DAY)) AS DATE) AS until)
+  ON until - day BETWEEN 0 AND {P.reach_rolling_days - 1}
+WHERE {_known_user()} AND {_days(P.reach_first_day, P.reach_last_day)} GROUP BY ALL""")
     o["frequency_cells"] = _with(body=_recency_cells())
+    o["frequency_cells_daily"] = o["frequency_cells"]
     for name, non_fbx in (("frequency_by_recency", False), ("frequency_by_recency_non_fbx", True)):
         o[name] = _with(body=f"""
 SELECT days_last_visit, AVG(total_displays) AS avg_total_displays, AVG(fbx_displays) AS avg_fbx_displays
 FROM ({_recency_cells(non_fbx)}) GROUP BY days_last_visit""")
     o["hourly_recency_cells"] = _with(body=_hour_cells())
+    o["hourly_recency_cells_daily"] = o["hourly_recency_cells"]
     o["frequency_by_hour"] = _with(body=f"""
 SELECT merchant_id, hour_since_last_visit, AVG(total_displays) AS avg_total_displays,
        AVG(fbx_displays) AS avg_fbx_displays
 FROM ({_hour_cells()}) GROUP BY ALL""")
     o["response_by_exposure_bucket"] = _exposure("user")
+    o["response_by_exposure_bucket_bucketed"] = o["response_by_exposure_bucket"]
     o["response_by_exposure_bucket_wide"] = _exposure("wide")
     o["response_by_exposure_bucket_partner"] = _exposure("partner")
     hours = f"merchant_id IN {_in(P.hour_merchants)} AND {_days(P.hour_start, P.hour_end)}"
@@ -568,6 +595,8 @@ GROUP BY 1, 2, 3, 4, 5""")
         o[f"ab_transaction_measures{name}"] = _with(body=f"SELECT *, {_pop()} AS population FROM ({_transactions(values)})")
     o["ab_user_measures"] = _ab_users("max")
     o["ab_user_measures_latest"] = _ab_users("latest")
+    o["ab_user_measures_daily"] = o["ab_user_measures_bucketed"] = o["ab_user_measures"]
+    o["ab_user_measures_latest_daily"] = o["ab_user_measures_latest"]
     start, n = P.funnel_start, P.funnel_mid_days
     cut = _d(start + dt.timedelta(days=n))
     early = f"""
@@ -596,7 +625,7 @@ SELECT partnerid, uid, "timestamp", eventtype, {DEVICE_CASE} AS device_type FROM
         dims = "".join(f"{d}, " for d, _ in P.p2p_dims) if with_dims else ""
         o[name] = _with(*_journey(with_dims), body=f"""
 SELECT {dims}device_sale, device_1, device_2, device_3, COUNT(*) AS "count" FROM sale GROUP BY ALL""")
-    for name in ("replaced_table", "created_table", "exported_csv"):
+    for name in ("replaced_table", "created_table", "exported_csv", "versioned_table"):
         o[name] = o["response_by_exposure_bucket"]
     # a MATERIALIZED CTE: DuckDB otherwise plans SELECT * through the as-of
     # join pathologically on larger inputs (same rows either way)

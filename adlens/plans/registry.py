@@ -6,19 +6,19 @@ and applies one analysis with the frozen parameters of ``params.P``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.functions.predicates import partitions_for
-from adlens.operators import abtest, exposure, funnel, identity, items, journey, preview, response
+from adlens.operators import abtest, daily, exposure, funnel, identity, items, journey, preview, reach, response
 from adlens.params import P
-from adlens.session import checkpoint_dir
 from adlens.sources import sinks
+from adlens.sources.buckets import SPINE, UserBuckets
 from adlens.sources.fixtures import TestWarehouse
-from adlens.sources.storage import FOLDER, keep_table
+from adlens.sources.storage import keep_table, result_path
+from adlens.sources.versions import DailyTable, VersionedTable
 
 Plan = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Plan] = {}
@@ -238,10 +238,10 @@ def q_ab_delivery_measures(spark, sf_dir):
 
 @plan("ab_delivery_measures_small")
 def q_ab_delivery_measures_small(spark, sf_dir):
-    # amounts far below a millionth a display
+    # display amounts far below a millionth
     w = _w(spark, sf_dir)
     tiny = w.displays.withColumn("sum_display_revenue_local", F.col("sum_display_revenue_local") * 1e-6)
-    return abtest.ab_delivery_measures(w.clicks.where("false"), tiny, partners=P.ab_partners, modulus=P.modulus,
+    return abtest.ab_delivery_measures(w.clicks, tiny, partners=P.ab_partners, modulus=P.modulus,
                                        start=P.ab_measures_start, end=P.ab_end, platform=P.platform,
                                        sentinel=P.sentinel)
 
@@ -400,16 +400,151 @@ def q_sequence_distribution_by_dimension(spark, sf_dir):
     return journey.sequence_distribution(seq, dims=dims)
 
 
+# -- states kept by day ---------------------------------------------------------
+def _daily(spark, kind: str, build, start, end) -> DataFrame:
+    """A new daily table, filled in two steps and with one day replaced, as two runs and late data would."""
+    table = DailyTable(spark, result_path(spark, kind))
+    table.extend(build, start, P.daily_first_step)
+    table.extend(build, start, end, replace=[P.daily_late])
+    return table.read(start=start, end=end)
+
+
+def _reach_states(spark, sf_dir, states) -> DataFrame:
+    w = _w(spark, sf_dir)
+    return _daily(spark, "reach", lambda a, z: states(w.displays, start=a, end=z, sentinel=P.sentinel),
+                  P.reach_first_day, P.reach_last_day)
+
+
+@plan("display_reach_daily")
+def q_display_reach_daily(spark, sf_dir):
+    return reach.reach_from_states(
+        _reach_states(spark, sf_dir, reach.daily_reach_states), start=P.reach_start, campaign_id=P.reach_campaign,
+        client_id=P.reach_client, partner_partition=P.reach_partner % P.modulus)
+
+
+@plan("reach_by_window")
+def q_reach_by_window(spark, sf_dir):
+    return reach.reach_by_window(_reach_states(spark, sf_dir, reach.daily_reach_states), P.reach_windows)
+
+
+@plan("rolling_reach")
+def q_rolling_reach(spark, sf_dir):
+    return reach.rolling_reach(_reach_states(spark, sf_dir, reach.daily_reach_states), days=P.reach_rolling_days,
+                               start=P.reach_first_day, end=P.reach_last_day)
+
+
+@plan("estimated_reach_by_window")
+def q_estimated_reach_by_window(spark, sf_dir):
+    return reach.estimated_reach_by_window(_reach_states(spark, sf_dir, reach.daily_reach_sketches), P.reach_windows)
+
+
+@plan("frequency_cells_daily")
+def q_frequency_cells_daily(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    return _daily(spark, "frequency", lambda a, z: exposure.frequency_cells(
+        w.displays, merchants=P.freq_merchants, start=a, end=z, platform=P.platform, sentinel=P.sentinel),
+        P.freq_start, P.freq_end)
+
+
+@plan("hourly_recency_cells_daily")
+def q_hourly_recency_cells_daily(spark, sf_dir):
+    w = _w(spark, sf_dir)
+    return _daily(spark, "hours", lambda a, z: exposure.hourly_recency_cells(
+        w.displays, merchants=P.hour_merchants, start=a, end=z, platform=P.platform, sentinel=P.sentinel),
+        P.hour_start, P.hour_end)
+
+
+def _ab_users_daily(spark, sf_dir, rule):
+    w = _w(spark, sf_dir)
+    scope = dict(partners=P.ab_partners, modulus=P.modulus, sentinel=P.sentinel)
+    events = _daily(spark, "ab-events", lambda a, z: daily.ab_event_states(w.site_events, start=a, end=z, **scope),
+                    P.ab_users_start, P.ab_end)
+    delivery = _daily(spark, "ab-delivery", lambda a, z: daily.ab_delivery_states(
+        w.clicks, w.displays, start=a, end=z, platform=P.platform, **scope), P.ab_measures_start, P.ab_end)
+    emissions = _daily(spark, "ab-emissions", lambda a, z: daily.ab_emission_states(w.site_events, start=a, end=z, **scope),
+                       P.ab_measures_start, P.ab_end)
+    return daily.ab_user_measures_from_states(events, delivery, emissions, test_id=P.test_id, rule=rule,
+                                              users_start=P.ab_users_start, start=P.ab_measures_start, end=P.ab_end)
+
+
+@plan("ab_user_measures_daily")
+def q_ab_user_measures_daily(spark, sf_dir):
+    return _ab_users_daily(spark, sf_dir, "max")
+
+
+@plan("ab_user_measures_latest_daily")
+def q_ab_user_measures_latest_daily(spark, sf_dir):
+    return _ab_users_daily(spark, sf_dir, "latest")
+
+
+# -- tables bucketed by user ------------------------------------------------------
+BUCKETED = {"displays": ["partner_partition"], "clicks": ["partner_partition"], "matched_transactions": ["partner_partition"],
+            "site_events": ["partner_partition"]}
+
+
+def _bucketed(w: TestWarehouse) -> UserBuckets:
+    """The facts bucketed by user, stored once beside the derived inputs."""
+    store = UserBuckets(w.spark, f"{w.root}/by-user-{P.user_buckets}", P.user_buckets)
+    if not all(store.stored(name) for name in [*BUCKETED, SPINE]):
+        store.write({name: getattr(w, name) for name in BUCKETED}, BUCKETED, spine=["user_id", "partner_id"])
+    return store
+
+
+def _per_user(displays, clicks, sales):
+    """Both users' halves of A6 at user grain."""
+    cells = exposure.frequency_cells(displays, merchants=P.freq_merchants, start=P.freq_start, end=P.freq_end,
+                                     platform=P.platform, sentinel=P.sentinel)
+    return exposure.response_per_user(displays, clicks, sales, cells, partners=P.freq_merchants, modulus=P.modulus,
+                                      start=P.freq_start, end=P.freq_end, sentinel=P.sentinel)
+
+
+@plan("response_by_exposure_bucket_bucketed")
+def q_response_by_exposure_bucket_bucketed(spark, sf_dir):
+    store = _bucketed(_w(spark, sf_dir))
+    sides = [_per_user(of("displays"), of("clicks"), of("matched_transactions")) for of in (store.even, store.heavy)]
+    return exposure.by_exposure_bucket(sides[0].unionByName(sides[1]), edges=P.exposure_edges)
+
+
+def _ab_users_of(store, even: bool):
+    """A23 over one side's users: joined where they lie, or shuffled."""
+    of = store.even if even else store.heavy
+    site_events, clicks, displays = of("site_events"), of("clicks"), of("displays")
+    scope = dict(partners=P.ab_partners, modulus=P.modulus, end=P.ab_end, sentinel=P.sentinel)
+    delivery = dict(scope, start=P.ab_measures_start, platform=P.platform)
+    seen = abtest.ab_event_measures(site_events, start=P.ab_users_start, **scope)
+    sold = abtest.ab_transaction_measures(abtest.order_value_max(site_events, start=P.ab_measures_start, **scope))
+    if even:
+        return abtest.ab_user_measures_joined(of(SPINE), seen, *abtest.ab_delivery_sides(clicks, displays, **delivery), sold,
+                                              test_id=P.test_id)
+    return abtest.ab_user_measures(seen, abtest.ab_delivery_measures(clicks, displays, **delivery), sold, test_id=P.test_id)
+
+
+@plan("ab_user_measures_bucketed")
+def q_ab_user_measures_bucketed(spark, sf_dir):
+    store = _bucketed(_w(spark, sf_dir))
+    return _ab_users_of(store, True).unionByName(_ab_users_of(store, False))
+
+
 # -- sinks: write the flagship result, read it back ---------------------------
 def _sink(spark, kind: str) -> tuple[str, str]:
-    name = f"{kind}_{uuid.uuid4().hex[:12]}"
-    return name, f"{checkpoint_dir(spark).rstrip('/')}/{FOLDER}/{name}"
+    path = result_path(spark, kind)
+    return path.rsplit("/", 1)[1].replace("-", "_"), path
+
+
+@plan("versioned_table")
+def q_versioned_table(spark, sf_dir):
+    """The flagship result behind a switched pointer, after an earlier version of it."""
+    table = VersionedTable(spark, result_path(spark, "versioned"))
+    result = keep_table(q_response_by_exposure_bucket(spark, sf_dir), "result")
+    table.replace(result.limit(1))
+    table.replace(result)
+    return table.read()
 
 
 @plan("replaced_table")
 def q_replaced_table(spark, sf_dir):
     name, path = _sink(spark, "replaced")
-    result = q_response_by_exposure_bucket(spark, sf_dir)
+    result = keep_table(q_response_by_exposure_bucket(spark, sf_dir), "result")  # computed once, written twice
     sinks.replace_table(result.limit(1), path, name=name)
     sinks.replace_table(result, path, name=name)
     return spark.table(name)

@@ -63,7 +63,7 @@ def test_one_stored_table_can_be_dropped(spark):
 def test_stored_tables_can_be_dropped(spark):
     kept = storage.keep_table(spark.range(5), "t")
     assert kept.count() == 5
-    folder = f"{session.checkpoint_dir(spark)}/{storage.FOLDER}"
+    folder = f"{session.checkpoint_dir(spark)}/{storage.FOLDER}/{spark.sparkContext.applicationId}"
     assert storage.exists(spark, folder)
     storage.drop_tables(spark)
     assert not storage.exists(spark, folder)
