@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.llm.common import keep_table
-from adlens.session import checkpoint_dir
-from adlens.sources.storage import FOLDER
+from adlens.sources.storage import delete, table_path
 
 SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,7 +72,7 @@ class LineRuns:
     def _write(self, keys: DataFrame) -> str:
         name = f"adlens_lines_{uuid.uuid4().hex[:12]}"
         (keys.repartition(self.buckets, *_KEY).write.format("parquet").bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
-         .option("path", f"{checkpoint_dir(self.spark).rstrip('/')}/{FOLDER}/{name}").saveAsTable(name))
+         .option("path", table_path(self.spark, name)).saveAsTable(name))
         return name
 
     def compact(self) -> None:
@@ -92,10 +91,8 @@ class LineRuns:
             self.levels[i] = []
 
     def _forget(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-            f"{checkpoint_dir(self.spark).rstrip('/')}/{FOLDER}/{name}")
         self.spark.sql(f"DROP TABLE {name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, table_path(self.spark, name))
 
     def close(self) -> None:
         """Remove all runs."""
