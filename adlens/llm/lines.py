@@ -6,7 +6,7 @@ code points or more count. ``LineRuns`` holds one row per key that has been seen
 its 128-bit hash and its owner, the document that keeps the line. The rows lie in
 runs: tables bucketed and sorted by the hash. A batch of documents is reduced
 to one row per key, merge-joined with the runs bucket by bucket (the runs
-are not shuffled again), and what the runs lack becomes a new run. A level that has
+are not shuffled again), and written as a run, in which the keys of older runs are marked. A level that has
 ``fanout`` runs is merged into one run of the next level before the next batch.
 
 ``dedup_lines`` adds a table in ``batches`` ranges of ascending ids, so that a key's owner
@@ -27,9 +27,11 @@ hashes of different keys would be one key: at 10**12 lines the chance is below 1
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlens.llm.common import keep_table
 from adlens.sources.storage import delete, table_path
@@ -62,7 +64,10 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 class LineRuns:
-    """The keys seen so far, as levelled runs in the shared folder."""
+    """The keys seen so far, as levelled runs in the shared folder.
+
+    A batch's table of keys is its run: it is written as the aggregate and the merge joins leave it,
+    dealt by the hash, and marks the keys that older runs hold already (``seen``)."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
@@ -71,21 +76,24 @@ class LineRuns:
 
     def _write(self, keys: DataFrame) -> str:
         name = f"adlens_lines_{uuid.uuid4().hex[:12]}"
-        (keys.repartition(self.buckets, *_KEY).write.format("parquet").bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
+        (keys.write.format("parquet").bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
          .option("path", table_path(self.spark, name)).saveAsTable(name))
         return name
 
+    def _run(self, name: str) -> DataFrame:
+        """The keys that the run owns."""
+        return self.spark.table(name).where("not seen").select(*_KEY, "owner")
+
     def compact(self) -> None:
         """Merge every full level into one run of the next level (keys of runs are disjoint)."""
         for i in range(len(self.levels)):
             if len(self.levels[i]) < self.fanout:
                 continue
-            merged = self.spark.table(self.levels[i][0])
-            for name in self.levels[i][1:]:
-                merged = merged.unionByName(self.spark.table(name))
+            merged = reduce(DataFrame.unionByName, map(self._run, self.levels[i]))
             if i + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[i + 1].append(self._write(merged))
+            self.levels[i + 1].append(self._write(
+                merged.groupBy(*_KEY).agg(F.min("owner").alias("owner")).withColumn("seen", F.lit(False))))
             for name in self.levels[i]:
                 self._forget(name)
             self.levels[i] = []
@@ -109,16 +117,15 @@ class LineRuns:
         held = F.lit(None).cast(dict(lines.dtypes)["id"])
         seen = F.lit(False)
         for name in sum(self.levels, []):  # merge joins: both sides are dealt by the hash already
-            keys = keys.join(self.spark.table(name).select(*_KEY, F.col("owner").alias(f"o_{name}"), F.lit(True).alias(f"s_{name}")),
-                             _KEY, "left")
+            run = self._run(name).select(*_KEY, F.col("owner").alias(f"o_{name}"), F.lit(True).alias(f"s_{name}"))
+            keys = keys.join(run, _KEY, "left")
             held, seen = F.coalesce(held, f"o_{name}"), seen | F.coalesce(f"s_{name}", F.lit(False))
         several = (F.col("first") < F.col("last")) | (F.col("first").isNotNull() & (F.col("without_id") > 0))
-        keys = keep_table(keys.select(*_KEY, "n", seen.alias("seen"), F.coalesce(several, F.lit(False)).alias("several"),
-                                      F.when(seen, held).otherwise(F.col("first")).alias("owner")), "line-keys")
-        self.levels[0].append(self._write(keys.where("not seen").select(*_KEY, "owner")))
-        total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        marks = keys.where("seen or several")
-        frequent = F.col("n") * HOT_SHARE > total
+        name = self._write(keys.select(*_KEY, "n", seen.alias("seen"), F.coalesce(several, F.lit(False)).alias("several"),
+                                       F.when(seen, held).otherwise(F.col("first")).alias("owner")))
+        self.levels[0].append(name)
+        marks = self.spark.table(name).where("seen or several")
+        frequent = F.col("n") * HOT_SHARE > lines.count()
         hot = F.broadcast(marks.where(frequent).select(*_KEY, "owner", F.lit(True).alias("hot")))
         tried = lines.join(hot, _KEY, "left")
         goes = ~F.col("id").eqNullSafe(F.col("owner"))
@@ -129,15 +136,19 @@ class LineRuns:
 
 
 def _starts(docs: DataFrame, id_col: str, batches: int) -> list:
-    """The smallest ids of ``batches`` ranges of about as many ids, as Spark's range partitioning cuts them."""
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    cuts = (ids.repartitionByRange(batches, "id").groupBy(F.spark_partition_id().alias("part"))
+    """The smallest ids of ``batches`` ranges of about as many rows (numbers), or of about as many ids as
+    Spark's range partitioning cuts them (other types)."""
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
+    if isinstance(ids.schema["id"].dataType, T.NumericType):
+        at = F.percentile_approx("id", [i / batches for i in range(batches)], 1000)  # a bounded summary per task
+        return sorted(set(ids.agg(at.alias("at")).first().at or []))[1:]
+    cuts = (ids.distinct().repartitionByRange(batches, "id").groupBy(F.spark_partition_id().alias("part"))
             .agg(F.min("id").alias("id")).collect())  # a row per partition
     return sorted(r.id for r in cuts)[1:]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
-                batches: int = 4, fanout: int = 2) -> DataFrame:
+                batches: int = 3, fanout: int = 2) -> DataFrame:
     """``id_col, n_lines, n_dropped, kept`` for every row of ``docs``; ``kept`` is the text that stays."""
     spark = docs.sparkSession
     starts = _starts(docs, id_col, batches)

@@ -77,10 +77,9 @@ def test_line_runs_take_batches_and_compact(spark):
 
 def test_line_runs_are_joined_without_a_shuffle_of_their_own(spark):
     runs = lines.LineRuns(spark)
-    runs.add(lines.line_rows(spark.range(50).selectExpr("id as doc_id", "concat('a longer line ', id) as text")))
-    name = runs.levels[0][0]
-    table = spark.table(name)
-    joined = table.join(spark.table(name).withColumnRenamed("owner", "o"), ["h1", "h2"])
+    rows_ = lines.line_rows(spark.range(50).selectExpr("id as doc_id", "concat('a longer line ', id) as text"))
+    runs.add(rows_)
+    joined = runs._run(runs.levels[0][0]).join(runs._run(runs.levels[0][0]).withColumnRenamed("owner", "o"), ["h1", "h2"])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
