@@ -181,10 +181,10 @@ def test_top_k_matches_brute_force(spark, levels, shard_numbers, block):
     data += [(None, vecs[0].tolist(), "s"), (10, vecs[10].tolist(), "s")]
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, shard string")
     got = topk.top_k(frame, frame["vec_id"] % 10 == 0, k=7, levels=levels, shard_numbers=shard_numbers, block_queries=block)
-    ints = {i: np.floor(1024.0 * v.astype(np.float64)).astype(np.int64) for i, v in enumerate(vecs)}
+    ints = [(i, np.floor(1024.0 * v.astype(np.float64)).astype(np.int64)) for i, v in [*enumerate(vecs), (10, vecs[10])]]
     want = []
-    for q in (i for i in ints if i % 10 == 0):
-        best = sorted(((-int(ints[q] @ v), i) for i, v in ints.items() if i != q))[:7]
+    for q in range(0, len(vecs), 10):
+        best = sorted((-int(a @ v), i) for j, a in ints if j == q for i, v in ints if i != q)[:7]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert [r for r in rows(got, "query_id", "rank", "vec_id", "score") if r[0] < 2000] == sorted(want, key=repr)
 
@@ -194,3 +194,18 @@ def test_top_k_few_candidates(spark):
     assert topk.top_k(spark.createDataFrame([], schema), F.lit(True)).count() == 0
     two = spark.createDataFrame([(100, [1.0, 2.0]), (1, [0.5, -0.5])], schema)
     assert rows(topk.top_k(two, two["vec_id"] % 100 == 0)) == [(100, 1, 1, 1024 * 512 - 2048 * 512)]
+
+
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    data = [(int(i), np.round(rng.standard_normal(4), 1).tolist()) for i in rng.integers(0, 40, 150)]
+    data += [(1, [0.9] * 4), (1, [0.5] * 4), (10, [0.7] * 4), (10, [0.7] * 4), (10, [-0.7] * 4)] + [(3, [2.0] * 4)] * 30
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    ints = [(i, np.floor(1024.0 * np.array(v)).astype(np.int64)) for i, v in data]
+    want = []
+    for q in sorted({i for i, _ in ints if i % 10 == 0}):
+        scores = sorted((-int(a @ b), j) for i, a in ints if i == q for j, b in ints if j != q)[:7]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    for shard_numbers in (1 << 20, 60):
+        got = topk.top_k(frame, frame["vec_id"] % 10 == 0, k=7, levels=4, shard_numbers=shard_numbers, block_queries=5)
+        assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
