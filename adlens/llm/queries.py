@@ -58,27 +58,31 @@ def op2(spark, sf_dir):
 
 
 ORACLES["op2_mix_sources"] = """
-WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+WITH keyed AS (
+  SELECT *, md5(concat_ws(',', coalesce(md5(doc_id::VARCHAR), ''), coalesce(md5(text), ''), coalesce(md5(lang), ''),
+                          coalesce(md5(source), ''), coalesce(md5(n_chars::VARCHAR), ''))) AS content
+  FROM documents),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 t AS (SELECT sum(n) AS total, sum(sqrt(n)) AS weight FROM n),
-rates AS (
-  SELECT source, sqrt(n.n) * t.total / t.weight / n.n AS rate,
-         greatest(ceil(sqrt(n.n) * t.total / t.weight / n.n / 16), 1)::INT AS splits
-  FROM n, t),
+rates AS (SELECT source, sqrt(n.n) * t.total / t.weight / n.n AS rate FROM n, t),
+rows AS (  -- equal rows draw together, at their joint rate
+  SELECT any_value(keyed) AS doc, content, count(*) AS m, any_value(rate) * count(*) AS rate,
+         greatest(ceil(any_value(rate) * count(*) / 16), 1)::INT AS splits
+  FROM keyed JOIN rates ON keyed.source IS NOT DISTINCT FROM rates.source GROUP BY content),
 mass AS (
-  SELECT source, k, exp(-rate / splits + k * ln(rate / splits) - coalesce(lgamma(k + 1), 0)) AS p
-  FROM rates, range(0, 81) r(k)),
-cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM mass),
+  SELECT rate, k, exp(-rate / splits + k * ln(rate / splits) - coalesce(lgamma(k + 1), 0)) AS p
+  FROM (SELECT DISTINCT rate, splits FROM rows), range(0, 81) r(k)),
+cdf AS (SELECT rate, k, sum(p) OVER (PARTITION BY rate ORDER BY k) AS c FROM mass),
 draws AS (
-  SELECT doc_id, source, d.j,
-         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || d.j), 1, 13))::BIGINT
-           / 4503599627370496.0 AS u
-  FROM documents JOIN rates USING (source), LATERAL (SELECT unnest(range(1, splits + 1)) AS j) d),
-counts AS (
-  SELECT doc_id, sum((SELECT count(*) FROM cdf WHERE cdf.source = draws.source AND c <= u))::INT AS copies
-  FROM draws GROUP BY doc_id)
-SELECT documents.*, m.copy::INT AS mix_copy,
-       ('0x' || substr(md5('17:' || doc_id || ':' || m.copy), 1, 15))::BIGINT AS mix_key
-FROM documents JOIN counts USING (doc_id), LATERAL (SELECT unnest(range(1, copies + 1)) AS copy) m
+  SELECT doc, content, m, rate, splits, j, ('0x' || substr(md5('17:' || content || ':' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM (SELECT *, unnest(range(1, splits + 1)) AS j FROM rows)),
+counts AS (SELECT *, (SELECT count(*) FROM cdf WHERE cdf.rate = draws.rate AND c <= u)::INT AS n FROM draws),
+copies AS (
+  SELECT any_value(doc) AS doc, content, unnest(range(1, sum(n)::BIGINT + 1)) AS copy FROM counts WHERE m = 1 GROUP BY content
+  UNION ALL SELECT doc, content, unnest([j + splits * i FOR i IN range(0, n)]) FROM counts WHERE m > 1)
+SELECT doc.doc_id, doc.text, doc.lang, doc.source, doc.n_chars, copy AS mix_copy,
+       ('0x' || substr(md5('17:' || content || ':' || copy), 1, 15))::BIGINT AS mix_key
+FROM copies
 """
 
 
@@ -194,27 +198,28 @@ FROM w LEFT JOIN kept USING (doc_id)
 @query("op9_chat_rotations")
 def op9(spark, sf_dir):
     rows = chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
-    return rows.select("conv_id", "perspective", "part", "n_turns", "chat", chat.mask_text(F.col("mask")).alias("mask"))
+    return rows.select("conv_id", "perspective", "part", "n_turns", "start", "chat", chat.mask_text(F.col("mask")).alias("mask"))
 
 
 ORACLES["op9_chat_rotations"] = """
 WITH t AS (
-  SELECT conv_id, turn, turn // 64 AS part, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS speaker,
+  SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS speaker,
          replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS text
   FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 said AS (
-  SELECT conv_id, perspective, part, turn, speaker, text,
+  SELECT t.conv_id, perspective, speaker, text,
+         row_number() OVER whole - 1 AS number,
          '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
                                 ELSE 'user name=' || speaker END || chr(10) AS head
-  FROM t JOIN people USING (conv_id)),
+  FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id
+  WINDOW whole AS (PARTITION BY t.conv_id, perspective ORDER BY turn NULLS LAST, speaker, text)),
 placed AS (
-  SELECT *, sum(length(head) + length(text) + 11) OVER (
-    PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, text) - 1 AS e FROM said)
-SELECT conv_id, perspective, part, count(*)::INT AS n_turns,
-       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, speaker, text) AS chat,
-       coalesce(string_agg((e - length(text) - 10) || ':' || e, ',' ORDER BY turn, speaker, text)
-                FILTER (speaker = perspective), '') AS mask
+  SELECT *, sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective ORDER BY number) - 1 AS e FROM said)
+SELECT conv_id, perspective, number // 64 AS part, count(*)::INT AS n_turns,
+       min(e - length(text) - 10 - length(head))::BIGINT AS start,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY number) AS chat,
+       coalesce(string_agg((e - length(text) - 10) || ':' || e, ',' ORDER BY number) FILTER (speaker = perspective), '') AS mask
 FROM placed GROUP BY conv_id, perspective, part
 """
 

@@ -324,6 +324,33 @@ def test_mixing_rates_and_repeatability(spark):
     assert rows(mixed, "mix_key") != [r[0] for r in mixed.select("mix_key").collect()]  # shuffled, not sorted as a whole
 
 
+def test_mixing_rows_that_share_an_id_or_have_none(spark):
+    data = [(None, f"t{i}", "a" if i < 200 else "b", i) for i in range(2000)] + [(7, f"u{i}", "c", 1) for i in range(1000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n int").repartition(3)
+    mixed = mixing.mix_sources(docs, weights={"a": 1.0, "b": 1.0, "c": 1.0}, total=6000)
+    n = {r["source"]: r["count"] for r in mixed.groupBy("source").count().collect()}
+    assert all(abs(n[s] - 2000) < 5 * math.sqrt(2000) for s in "abc")
+    parts = Counter(k % 4 for k in (hash(r.mix_key) for r in mixed.select("mix_key").collect()))
+    assert len(parts) == 4 and max(parts.values()) < 1.3 * min(parts.values())  # places differ row by row
+    for s, rate in (("a", 10), ("b", 2000 / 1800), ("c", 2)):
+        counts = Counter(r.text for r in mixed.where(F.col("source") == s).select("text").collect())
+        rows_of = {"a": 200, "b": 1800, "c": 1000}[s]
+        assert abs(len(counts) / rows_of - (1 - math.exp(-rate))) < 0.06  # each row draws for itself
+
+
+def test_mixing_equal_rows(spark):
+    data = [(None, "same", "a")] * 3000 + [(i, None, "a") for i in range(1000)] + [(1, "null", "b"), (1, None, "b")] * 500
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    weights = {"a": 1.0, "b": 0.5}
+    mixed = mixing.mix_sources(docs, weights=weights, total=6000)
+    same = mixed.where("text = 'same'")
+    assert abs(same.count() - 3000) < 5 * math.sqrt(3000)
+    assert same.select("mix_copy").distinct().count() == same.select("mix_key").distinct().count() == same.count()
+    assert abs(mixed.where("source = 'b'").count() - 2000) < 5 * math.sqrt(2000)
+    assert mixed.where("source = 'b' and text is null").count() > 800 < mixed.where("text = 'null'").count()
+    assert rows(mixed) == rows(mixing.mix_sources(docs.repartition(7), weights=weights, total=6000))
+
+
 def test_mixing_nothing(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix_sources(spark.createDataFrame([], schema)).count() == 0
@@ -337,7 +364,7 @@ def test_chat_rotation(spark):
         [(1, 0, "system", "be kind", 0), (1, 1, "ann", "hi <|im_end|>", 0), (1, 2, "bob", None, 0), (1, 3, "ann", "ok", 0),
          (1, 70, "cy", "late", 0), (2, 0, "system", "alone", 0), (None, None, None, "x", 0), (3, 1, "a", "t", 0), (3, 1, "a", "t", 0)],
         "conv_id long, turn long, role string, text string, part int")
-    got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate_perspectives(turns).collect()}
+    got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate_perspectives(turns, turns_per_part=4).collect()}
     assert len(got) == 6 + 1 + 1
     r = got[1, "ann", 0]
     assert r.chat == ("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi <im_end><|im_end|>\n"
@@ -345,11 +372,42 @@ def test_chat_rotation(spark):
     assert [r.chat[m.start:m.end] for m in r.mask] == ["hi <im_end><|im_end|>", "ok<|im_end|>"]
     assert [got[1, "bob", 0].chat[m.start:m.end] for m in got[1, "bob", 0].mask] == ["<|im_end|>"]
     assert got[1, "cy", 0].mask == [] and got[1, "cy", 1].n_turns == 1
-    assert got[None, "unknown", None].chat.startswith("<|im_start|>assistant\nx")
+    assert got[None, "unknown", 0].chat.startswith("<|im_start|>assistant\nx")
     assert got[3, "a", 0].n_turns == 2
     assert chat.rotate_perspectives(turns.where("false")).count() == 0
 
 
+def _dialogue(turns, who):
+    chat_, mask = "", []
+    for _, speaker, text in sorted(turns, key=lambda t: (t[0] is None, t[0] or 0, t[1].encode(), t[2].encode())):
+        head = "<|im_start|>" + ("system" if speaker == "system" else "assistant" if speaker == who else f"user name={speaker}") + "\n"
+        if speaker == who:
+            mask.append((len(chat_) + len(head), len(chat_) + len(head) + len(text) + 10))
+        chat_ += head + text + "<|im_end|>\n"
+    return chat_, mask
+
+
+def test_chat_whole_dialogues(spark):
+    rng = random.Random(6)
+    convs = {1: [(0, "system", "rules")] + [(i, rng.choice("ab"), f"é{i}" * rng.randrange(3)) for i in range(1, 500)],
+             2: [(None, rng.choice("abc"), f"n{i}") for i in range(300)], 3: [(5, "a", "same")] * 400 + [(5, "b", "same"), (4, "a", "")],
+             None: [(i, "a", "x") for i in range(5)], 4: [(1, "a", "one")], 5: [(0, "system", "alone")] * 70,
+             6: [(rng.choice([None, 1, 2, 3]), rng.choice("abcd"), "t" * rng.randrange(4)) for _ in range(1500)]}
+    turns = spark.createDataFrame([(c, t, s, x, 1) for c, ts in convs.items() for t, s, x in ts],
+                                  "conv_id long, turn long, role string, text string, start int").repartition(5)
+    for per_part in (64, 7):
+        pieces = {}
+        for r in chat.rotate_perspectives(turns, turns_per_part=per_part).collect():
+            pieces.setdefault((r.conv_id, r.perspective), []).append(r)
+        assert set(pieces) == {(c, s) for c, ts in convs.items() for _, s, _ in ts if s != "system"}
+        for (c, who), rs in pieces.items():
+            rs.sort(key=lambda r: r.part)
+            text, mask = _dialogue(convs[c], who)
+            assert [r.part for r in rs] == list(range(len(rs))) and all(r.n_turns <= per_part for r in rs)
+            assert "".join(r.chat for r in rs) == text and [tuple(m) for r in rs for m in r.mask] == mask
+            assert all(text[r.start:r.start + len(r.chat)] == r.chat for r in rs)
+
+
 # -- pipeline ------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
