@@ -179,14 +179,16 @@ def ab_user_measures(event_measures: DataFrame, delivery_measures: DataFrame,
 def ab_user_measures_joined(spine: DataFrame, event_measures: DataFrame, click_side: DataFrame, display_side: DataFrame,
                             transaction_measures: DataFrame, *, test_id: int, n_populations: int = 2) -> DataFrame:
     """A23 for tables that are dealt by user already (``sources.buckets``): left joins from ``spine``, which holds
-    every user and partner once and is dealt likewise. Nothing is shuffled if
-    ``spark.sql.requireAllClusterKeysForCoPartition`` is off (the keys are user and partner, the tables are
-    dealt by user); a union or a full join would have to be dealt again. The same rows as ``ab_user_measures``:
+    every user and partner once and is dealt likewise. Nothing is shuffled: the join's key is the user, by whom
+    the tables are dealt, and the partner is compared inside it, by two inequalities that Spark does not
+    take for a key; a union or a full join would have to be dealt again. The same rows as ``ab_user_measures``:
     an amount is null only if its branch alone has the user, with a null amount."""
     sides = {"e": event_measures, "c": click_side, "d": display_side, "t": transaction_measures}
     j = spine.select(*KEYS)
     for mark, side in sides.items():
-        j = j.join(side.withColumn(mark, F.lit(True)), KEYS, "left")
+        right = side.withColumnsRenamed({"user_id": "__user", "partner_id": "__partner"}).withColumn(mark, F.lit(True))
+        same = (F.col("partner_id") <= F.col("__partner")) & (F.col("partner_id") >= F.col("__partner"))
+        j = j.join(right, (F.col("user_id") == F.col("__user")) & same, "left").drop("__user", "__partner")
     e, c, d, t = (F.col(m).isNotNull() for m in sides)
     zero = F.lit(0).cast("bigint")
     spend, value = spend_of("cr", "dr"), F.col("order_value")

@@ -87,7 +87,8 @@ def with_device_type(df: DataFrame) -> DataFrame:
 
 def lookback_events(buyers_full: DataFrame, site_events_rich: DataFrame, *, calc_date: dt.date,
                     lookback_seconds: int = LOOKBACK_SECONDS,
-                    event_days: int | None = 30, bin_seconds: int = 5 * 86400) -> DataFrame:
+                    event_days: int | None = 30, bin_seconds: int = 5 * 86400, rows_per_task: int = 1_000_000,
+                    max_hot: int = 10_000) -> DataFrame:
     """Site events of any linked uid within ``lookback_seconds`` up to the purchase.
 
     The day bound (``event_days`` days up to ``calc_date``) is pushed into the
@@ -95,21 +96,32 @@ def lookback_events(buyers_full: DataFrame, site_events_rich: DataFrame, *, calc
     (user, partner) pairs, which are pre-aggregated, so Spark broadcasts them if
     their size allows. The interval join is an equi-join on (user, partner, time bin):
     a buyer row meets the few bins its interval touches, and a hot user's
-    events are spread over their bins.
+    events are spread over their bins. A (user, partner, bin) with more than ``rows_per_task`` events is
+    measured and salted: its events are dealt over as many parts as they need, its buyer
+    rows are repeated for each. The ``max_hot`` heaviest are treated so (a broadcast of so many
+    rows at most); any other has less than a ``max_hot``-th of all events.
     """
     ev = site_events_rich
     if event_days is not None:
         ev = ev.where(day_between("day", calc_date - dt.timedelta(days=event_days - 1), calc_date))
     keys = ["user_id", "partner_id"]
-    ev = (ev.withColumnsRenamed({"uid": "user_id", "partnerid": "partner_id"})
-          .join(buyers_full.select(*keys).distinct(), keys, "left_semi")
+    ev = ev.withColumnsRenamed({"uid": "user_id", "partnerid": "partner_id"}).withColumn(
+        "__bin", F.floor(F.col("timestamp") / bin_seconds))
+    hot = (ev.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_task)
+           .orderBy(F.desc("n"), *keys, "__bin").limit(max_hot)
+           .select(*keys, "__bin", F.ceil(F.col("n") / rows_per_task).cast("int").alias("__parts")))
+    ev = (ev.join(buyers_full.select(*keys).distinct(), keys, "left_semi")
           .select(*keys, F.col("timestamp").alias("ev_ts"), classify_device().alias("device_type"),
-                  F.col("eventtype").alias("event_type"),
-                  F.floor(F.col("timestamp") / bin_seconds).alias("__bin")))
+                  F.col("eventtype").alias("event_type"), "__bin"))
+    hot, parts = F.broadcast(hot), F.coalesce("__parts", F.lit(1))
+    salt = F.pmod(F.xxhash64("ev_ts", "device_type", "event_type"), parts).cast("int")  # of the row, so a lost task repeats it
+    ev = ev.join(hot, [*keys, "__bin"], "left").withColumn("__salt", F.when(parts > 1, salt).otherwise(0)).drop("__parts")
     b = buyers_full.withColumnRenamed("timestamp", "buy_ts")
     b = b.withColumn("__bin", F.explode(F.sequence(
         F.floor((F.col("buy_ts") - lookback_seconds) / bin_seconds), F.floor(F.col("buy_ts") / bin_seconds))))
-    j = ev.join(b, [*keys, "__bin"]).where(
+    b = (b.join(hot, [*keys, "__bin"], "left")
+         .withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts"))
+    j = ev.join(b, [*keys, "__bin", "__salt"]).where(
         F.col("ev_ts").between(F.col("buy_ts") - lookback_seconds, F.col("buy_ts")))
     extra = [c for c in buyers_full.columns if c not in ("timestamp", "partner_id", "super_uid", "user_id")]
     return j.select(F.col("ev_ts").alias("timestamp"), "partner_id", *extra, "super_uid", "user_id",

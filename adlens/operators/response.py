@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.predicates import day_between, not_anonymous
+from adlens.functions.rules import first_match
 
 
 def conversion_by_click_recency(clicks: DataFrame, transactions: DataFrame, *,
@@ -44,12 +45,8 @@ def conversion_by_click_recency(clicks: DataFrame, transactions: DataFrame, *,
 
 
 def feed_label(url_col: str, rules: Sequence[tuple[str, str]], default: str = "other"):
-    """First LIKE pattern that matches wins."""
-    expr = None
-    for pattern, label in rules:
-        cond = F.col(url_col).like(pattern)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
+    """First LIKE pattern that matches wins, in one pass whatever the number of rules."""
+    return first_match(url_col, rules, default)
 
 
 def clicks_by_feed(clicks: DataFrame, catalog: DataFrame, *, partner: int, partition: int,

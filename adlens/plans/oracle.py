@@ -508,6 +508,19 @@ FROM catalog, clicks
 WHERE sqlid = item_id AND partnerid = {P.feed_partner} AND partner_id = {P.feed_partner}
   AND catalog.partner_partition = {bucket} AND clicks.partner_partition = {bucket} AND {_days(P.feed_start, P.feed_end)}
 GROUP BY ALL""")
+    o["clicks_by_feed_rules"] = _with(
+        """rule AS (
+        SELECT pattern, label, min(p_partkey) AS priority FROM (
+            SELECT '%' || lower(p_type) || '/' || split_part(p_name, ' ', 1) || '%' AS pattern,
+                   lower(p_type) || ' ' || split_part(p_name, ' ', 1) AS label, p_partkey FROM part
+            UNION ALL SELECT '%_/' || split_part(p_name, ' ', 1) || '/%', split_part(p_name, ' ', 1), p_partkey FROM part)
+        GROUP BY ALL)""",
+        f"""labelled AS (
+        SELECT sqlid, coalesce(arg_min(label, (priority, pattern)), 'other') AS label
+        FROM catalog LEFT JOIN rule ON producturl LIKE pattern
+        WHERE partnerid = {P.feed_partner} AND partner_partition = {bucket} GROUP BY sqlid)""",
+        body=f"""SELECT day, label AS "type", COUNT(*) AS click FROM clicks JOIN labelled ON sqlid = item_id
+WHERE partner_id = {P.feed_partner} AND partner_partition = {bucket} AND {_days(P.feed_start, P.feed_end)} GROUP BY ALL""")
     o["available_days"] = _with(body=f"""
 SELECT day FROM catalog_stats WHERE partner_id IN {_in(P.days_partners)} AND day >= {_d(P.days_start)} GROUP BY day""")
     item_days = _days(P.item_start, P.item_end)

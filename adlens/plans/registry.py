@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.functions.predicates import partitions_for
+from adlens.functions.rules import rules_from
 from adlens.operators import abtest, daily, exposure, funnel, identity, items, journey, preview, reach, response
 from adlens.params import P
 from adlens.sources import sinks
@@ -142,6 +143,19 @@ def q_clicks_by_feed(spark, sf_dir):
                                    end=P.feed_end, rules=P.feed_rules)
 
 
+@plan("clicks_by_feed_rules")
+def q_clicks_by_feed_rules(spark, sf_dir):
+    # some hundred overlapping rules from the catalog itself: a type with a word, and the word alone
+    w = _w(spark, sf_dir)
+    p = w.table("part").select(F.lower("p_type").alias("t"), F.split("p_name", " ")[0].alias("word"), "p_partkey")
+    rules = (p.select(F.concat(F.lit("%"), "t", F.lit("/"), "word", F.lit("%")).alias("pattern"),
+                      F.concat("t", F.lit(" "), "word").alias("label"), "p_partkey")
+             .unionByName(p.select(F.concat(F.lit("%_/"), "word", F.lit("/%")).alias("pattern"), F.col("word").alias("label"), "p_partkey"))
+             .groupBy("pattern", "label").agg(F.min("p_partkey").alias("priority")))
+    return response.clicks_by_feed(w.clicks, w.catalog, partner=P.feed_partner, partition=P.feed_partner % P.modulus,
+                                   start=P.feed_start, end=P.feed_end, rules=rules_from(rules))
+
+
 @plan("available_days")
 def q_available_days(spark, sf_dir):
     return response.available_days(_w(spark, sf_dir).catalog_stats, partners=P.days_partners,

@@ -14,8 +14,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # tables bucketed by user are joined on user and partner where they lie
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

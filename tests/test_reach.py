@@ -102,7 +102,6 @@ def no_broadcast(spark):
 
 def test_per_user_joins_need_no_exchange(spark, no_broadcast):
     store = _bucketed(TestWarehouse(spark, SMOKE_DIR))
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     a6 = _plan(_per_user(store.even("displays"), store.even("clicks"), store.even("matched_transactions")))
     a23 = _plan(_ab_users_of(store, even=True))
     for p, joins in ((a6, 3), (a23, 4)):
