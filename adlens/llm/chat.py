@@ -11,7 +11,7 @@ one dialogue: joined in order they are the whole chat, turns are numbered throug
 ``start`` and the mask count characters from the beginning of the dialogue.
 
 No step holds a conversation together. Turns are sorted by range partitioning (equal
-turns are dealt out by a stored number), counted per conversation and range, and numbered
+turns are numbered, so they are dealt out too), counted per conversation and range, and numbered
 by the running sum of these counts; a piece gathers ``turns_per_part`` turns;
 the lengths of pieces are added up in blocks of 1,024 pieces, then over blocks.
 
@@ -42,7 +42,9 @@ def _defused(text: Column) -> Column:
 def _numbered(turns: DataFrame) -> DataFrame:
     """``turns`` (conv_id, turn, speaker, text) with ``number``: the place in the conversation, from 0."""
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_last("turn"), F.asc("speaker"), F.asc("text"), F.asc("tie")]
-    dealt = turns.withColumn("tie", F.monotonically_increasing_id())
+    # equal turns are counted, then told apart by their number, which a lost task would find again
+    same = turns.groupBy(*turns.columns).agg(F.count(F.lit(1)).alias("n"))
+    dealt = same.select(*turns.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("tie"))
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = keep_table(dealt.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "chat-turns")
     key = ["conv_id", "range"]

@@ -141,8 +141,10 @@ def learn_prototypes(labelled: DataFrame, *, text_col: str = "text", lang_col: s
 
 
 def predict(docs: DataFrame, prototypes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-            width: int = 1024, seed: int = 4, max_prototype_bytes: int = 1 << 28) -> DataFrame:
-    """``docs`` with ``lang_pred, score`` (columns of those names are replaced)."""
+            width: int = 1024, seed: int = 4, max_prototype_bytes: int = 1 << 28, evidence: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred, score`` (columns of those names are replaced). With ``evidence`` also ``n_grams``,
+    the text's distinct n-grams, and ``set_score``, the best cosine of their bundle, each counted once: unlike
+    the score it does not follow what a text repeats."""
     kept = keep_table(prototypes, "langid")
     if kept.count() * width * 8 > max_prototype_bytes:
         raise ValueError("too many languages for a broadcast of their prototypes; raise max_prototype_bytes")
@@ -151,37 +153,47 @@ def predict(docs: DataFrame, prototypes: DataFrame, *, id_col: str = "doc_id", t
     table = np.array([x[1] for x in learned], dtype=np.float64).reshape(len(langs), width)
     table /= np.maximum(np.sqrt((table ** 2).sum(axis=1, keepdims=True)), 1e-300)
     shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))
-    base = ready(docs).drop("lang_pred", "score")
+    outs = ["lang_pred", "score", *(["n_grams", "set_score"] if evidence else [])]
+    base = ready(docs).drop(*outs)
     names = base.columns
     at_text = names.index(text_col)
 
-    def scores(texts: list[str], letters: np.ndarray, protos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def cosines(row, gram, n, letters: np.ndarray, protos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows with n-grams, and their cosines with all prototypes."""
+        grams, col = np.unique(gram, return_inverse=True)
+        rows, at = np.unique(row, return_inverse=True)
+        vecs = np.zeros((len(rows), letters.shape[2]), dtype=np.float32)
+        for g in range(0, len(grams), 4096):  # a slice of the n-grams at a time bounds memory
+            own = (col >= g) & (col < g + 4096)
+            counts = np.zeros((len(rows), min(4096, len(grams) - g)), dtype=np.float32)
+            counts[at[own], col[own] - g] = n[own]
+            vecs += counts @ gram_vectors(grams[g:g + 4096], letters).astype(np.float32)
+        cos = vecs @ protos.T / np.maximum(np.sqrt(np.einsum("ij,ij->i", vecs, vecs)), 1e-30)[:, None]
+        return rows, np.round(np.maximum(cos.astype(np.float64), 0.0), 6)
+
+    def scores(texts: list[str], letters: np.ndarray, protos: np.ndarray) -> list[np.ndarray]:
         row, gram, n = gram_counts(texts)
-        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+        best, score, alike = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
         if len(row) and len(protos):
-            grams, col = np.unique(gram, return_inverse=True)
-            rows, at = np.unique(row, return_inverse=True)
-            vecs = np.zeros((len(rows), letters.shape[2]), dtype=np.float32)
-            for g in range(0, len(grams), 4096):  # a slice of the n-grams at a time bounds memory
-                own = (col >= g) & (col < g + 4096)
-                counts = np.zeros((len(rows), min(4096, len(grams) - g)), dtype=np.float32)
-                counts[at[own], col[own] - g] = n[own]
-                vecs += counts @ gram_vectors(grams[g:g + 4096], letters).astype(np.float32)
-            cos = vecs @ protos.T / np.maximum(np.sqrt(np.einsum("ij,ij->i", vecs, vecs)), 1e-30)[:, None]
-            cos = np.round(np.maximum(cos.astype(np.float64), 0.0), 6)
+            rows, cos = cosines(row, gram, n, letters, protos)
             best[rows], score[rows] = cos.argmax(axis=1), np.minimum(cos.max(axis=1), 1.0)
-        return best, score
+            if evidence:
+                rows, cos = cosines(row, gram, np.ones_like(n), letters, protos)
+                alike[rows] = np.minimum(cos.max(axis=1), 1.0)
+        return [best, score, np.bincount(row, minlength=len(texts)), alike]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, protos = letter_vectors(width, seed), shared.value
         for b in by_size(batches, text_col, most_rows=512):
-            best, score = scores([t or "" for t in b.column(at_text).to_pylist()], letters, protos)
+            best, score, distinct, alike = scores([t or "" for t in b.column(at_text).to_pylist()], letters, protos)
             found = [langs[i] if i >= 0 else UNDETERMINED for i in best.tolist()]
-            yield pa.record_batch([*b.columns, pa.array(found, pa.string()), pa.array(score)],
-                                  names=[*names, "lang_pred", "score"])
+            new = [pa.array(found, pa.string()), pa.array(score), pa.array(distinct), pa.array(alike)]
+            yield pa.record_batch([*b.columns, *new[:len(outs)]], names=[*names, *outs])
 
-    schema = base.schema
-    return base.mapInArrow(run, type(schema)(list(schema.fields)).add("lang_pred", "string").add("score", "double"))
+    schema = type(base.schema)(list(base.schema.fields))
+    for c, kind in zip(outs, ("string", "double", "long", "double")):
+        schema = schema.add(c, kind)
+    return base.mapInArrow(run, schema)
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
@@ -189,9 +201,9 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             fold: tuple[int, int] = (3, 1), width: int = 1024, seed: int = 4) -> DataFrame:
-    """``docs`` with ``lang_pred, score``, learned from labelled rows outside the held-out fold
+             fold: tuple[int, int] = (3, 1), width: int = 1024, seed: int = 4, evidence: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred, score`` (and those of ``evidence``), learned from labelled rows outside the held-out fold
     (crc32 of the id as text, modulo ``fold[0]``, is ``fold[1]``)."""
     learn = docs.where(F.pmod(id_crc(id_col), F.lit(fold[0])) != fold[1])
     prototypes = learn_prototypes(learn, text_col=text_col, lang_col=lang_col, width=width, seed=seed)
-    return predict(docs, prototypes, id_col=id_col, text_col=text_col, width=width, seed=seed)
+    return predict(docs, prototypes, id_col=id_col, text_col=text_col, width=width, seed=seed, evidence=evidence)

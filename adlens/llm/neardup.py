@@ -53,7 +53,8 @@ def compare(vecs: np.ndarray, sigs: np.ndarray, rows: np.ndarray, ids: np.ndarra
     """Of one group: per member, the rows linked directly and first seen in this
     table, and the smallest id reachable by these links. With ``side`` (0/1, two
     blocks of a hot bucket), only pairs across are compared."""
-    unit = vecs / np.sqrt(np.einsum("ij,ij->i", vecs, vecs))[:, None]
+    unit = vecs / np.abs(vecs).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
+    unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
     linked = unit @ unit.T >= threshold
     np.fill_diagonal(linked, False)
     if side is not None:
@@ -90,6 +91,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
                 packed, sigs = [], []
                 for v in b.column(1):
                     x = v.values.to_numpy(zero_copy_only=False)
+                    x = x / np.abs(x).max()
                     if len(x) not in planes:
                         planes[len(x)] = hyperplanes(len(x), bits, tables, seed)
                     up = (planes[len(x)] @ x > 0).reshape(tables, bits)

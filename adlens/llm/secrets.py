@@ -141,24 +141,44 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+_PIECE = 1024  # code points: substring() counts from the start of what it cuts
+
+
+def _kept_ranges(found: DataFrame) -> DataFrame:
+    """Per blob the ranges (``a``, ``z``) of its text between the marks, the last one open (``z`` null). A span
+    that starts inside an earlier one belongs to its mark."""
+    each = found.select("__of", F.posexplode("__spans").alias("pos", "s"))
+    before = Window.partitionBy("__of").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    at = each.withColumn("a", F.coalesce(F.max("s.end").over(before), F.lit(0)))
+    marks = at.where("s.start >= a").select("__of", "a", F.col("s.start").alias("z"))
+    tails = each.groupBy("__of").agg(F.max("s.end").alias("a")).withColumn("z", F.lit(None).cast("int"))
+    order = F.struct(F.col("z").isNull().alias("last"), "a", "z")  # an empty range may start where the tail does
+    return marks.unionByName(tails).groupBy("__of").agg(F.array_sort(F.collect_list(order)).alias("__ranges"))
+
+
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES,
            id_col: str = "doc_id", ledger_path: str | None = None) -> DataFrame:
     """``docs`` with the found spans replaced by ``mark``; texts without findings are unchanged.
-    Overlapping spans become one mark. Texts are joined to findings by content."""
+    Overlapping spans become one mark. Texts are joined to findings by content; a text with very many
+    findings is put together in linear time, from pieces of fixed size."""
     names = docs.columns
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumn("__blob", F.unhex(F.sha2(text.cast("binary"), 256)))
     found = (scan_versions(docs, path_col=id_col, text_col=text_col, rules=rules, ledger_path=ledger_path)
              .where(F.size("spans") > 0).groupBy(F.col("blob").alias("__of")).agg(F.first("spans").alias("__spans")))
-    joined = keyed.join(found, keyed["__blob"] == found["__of"], "left")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = s["start"] - acc["at"]
-        before = F.when(gap >= 0, F.concat(F.substring(F.col(text_col), acc["at"] + 1, gap), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(before)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("__spans", start, step)
-    clean = F.concat(F.array_join(cut["out"], ""), F.substring(F.col(text_col), cut["at"] + 1, F.char_length(text_col)))
-    return joined.select(*(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(clean).alias(c) if c == text_col
+    joined = keyed.join(_kept_ranges(found), F.col("__blob") == F.col("__of"), "left")
+
+    def between(pieces: Column, a: Column, z: Column) -> Column:
+        def cut(k: Column) -> Column:
+            first = F.greatest(a - k * _PIECE, F.lit(0))
+            return F.substring(F.get(pieces, k), first + 1, F.least(z - k * _PIECE, F.lit(_PIECE)) - first)
+        whole = F.transform(F.sequence(F.floor(a / _PIECE).cast("int"), F.floor((z - 1) / _PIECE).cast("int")), cut)
+        return F.when(z > a, F.array_join(whole, "")).otherwise("")
+
+    # the name of a lambda holds the pieces, so they are cut once a text
+    pieces = F.array(F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+    n = F.char_length(text_col)
+    clean = F.element_at(F.transform(pieces, lambda ps: F.array_join(
+        F.transform("__ranges", lambda r: between(ps, r["a"], F.coalesce(r["z"], n))), mark)), 1)
+    return joined.select(*(F.when(F.col("__ranges").isNull(), F.col(c)).otherwise(clean).alias(c) if c == text_col
                            else F.col(c) for c in names))

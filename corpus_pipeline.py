@@ -4,17 +4,20 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and reread as the next stage's ``docs``. All but the last return the
 columns of ``documents``.
 
-1. language_id: texts without a determined language go (no letter, or a cosine
-   with the best language's prototype below ``MIN_SCORE``; single words of a
-   known language score 0.1 and more, so only texts that resemble no language go).
+1. language_id: texts without a determined language go: no letter, or distinct n-grams
+   that resemble no learned language (``PER_GRAM``, ``SURE``, ``SPREAD``), whatever the text repeats.
 2. near_duplicates: of the texts linked by shingles of five words and Jaccard
-   0.8 or more, the one with the smallest id stays; rows that repeat an id are
-   one document. Rows without an id stay.
+   0.8 or more, the one with the smallest id stays. Rows whose id is null or
+   repeated are documents of their own: they link by their texts like others and give
+   way to a row with an id of its own; of equal rows one stays. Rows without words all stay.
 3. secrets: found secrets are replaced by a mark; no document goes.
 4. mixing: rows are replicated to the target weights of their sources (the
    square root of a source's size) and shuffled globally.
 5. byte_bpe: adds packed token ids, their number, and whether they decode to
-   the text's bytes.
+   the text's bytes; columns of the input that are named like these come out as ``<name>_in``.
+
+Columns that have the names an operator uses for its own pass through unchanged
+(names that start with ``__`` are reserved).
 """
 
 from __future__ import annotations
@@ -24,24 +27,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.llm import bloom, bpe, jaccard, langid, mixing, secrets
-from adlens.llm.common import keep_table, read
+from adlens.llm.common import WORD, keep_table, read
+
+#: Distinct n-grams of a learned language add up: a text of k of them has a cosine of about 0.044 * sqrt(k) with
+#: its prototype until it nears 1, other letters one of about 0 +- 0.03. A text is of a learned language from
+#: half that on, and from SURE on in any case.
+PER_GRAM, SURE = 0.02, 0.25
+
 
-MIN_SCORE = 0.05
+def _aside(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns that an operator's own names would replace renamed, and the names to give back."""
+    back = {f"__own_{c}": c for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed({c: own for own, c in back.items()}), back
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)
-    return langid.identify(docs).where(known).select(docs.columns)
+    new = ["lang_pred", "score", "n_grams", "set_score"]
+    rows, back = _aside(docs, new)
+    enough = F.least(F.lit(SURE), F.lit(PER_GRAM) * F.sqrt("n_grams")) - SPREAD
+    known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("set_score") >= enough)
+    kept = langid.identify(rows, evidence=True).where(known).drop(*new)
+    return kept.withColumnsRenamed(back).select(docs.columns)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a ``__key``: the id of a row that has one of its own, else a negative number hashed from id
+    and text. Whether there are such rows."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("__of"))
+    again = keep_table(ids.groupBy("__of").count().where("count > 1 or __of is null").select("__of", F.lit(True).alias("__again")),
+                       "pipeline-ids")
+    own = F.col("doc_id").cast("long")
+    if again.isEmpty():
+        return docs.withColumn("__key", own), False
+    hashed = F.xxhash64(own, F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(-(1 << 63)))
+    rows = docs.join(again, own.eqNullSafe(F.col("__of")), "left").drop("__of")
+    return keep_table(rows.withColumn("__key", F.when(F.col("__again"), hashed).otherwise(own)).drop("__again"),
+                      "pipeline-keyed"), True
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = keep_table(jaccard.jaccard_components(docs, words=5, percent=80), "pipeline-groups")
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    doubtful = (groups.where("doc_id <> component_id").select("doc_id")
-                .unionByName(groups.groupBy("doc_id").count().where("count > 1").select("doc_id")))
-    marked = bloom.tagged(docs, "doc_id", doubtful, "doc_id", "__maybe")  # the others stay without a join
-    chosen = marked.where("__maybe").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return marked.where("not __maybe").unionByName(chosen).select(docs.columns)
+    rows, repeated = _keyed(docs)
+    groups = keep_table(jaccard.jaccard_components(rows, id_col="__key", words=5, percent=80), "pipeline-groups")
+    if repeated:  # of a group's rows, one with an id of its own stays before the others
+        first = F.min(F.struct((F.col("__key") < 0).alias("later"), F.col("__key").alias("key")))
+        chosen = groups.groupBy("component_id").agg(first.alias("first"))
+        groups = keep_table(groups.join(chosen, "component_id").withColumn("component_id", F.col("first.key")).drop("first"),
+                            "pipeline-chosen")
+    stays = groups.where("__key = component_id").select("__key").distinct()
+    several = groups.where("n_shingles > 0").groupBy("__key").count().where("count > 1").select("__key")
+    doubtful = groups.where("__key <> component_id").select("__key").unionByName(several)
+    marked = bloom.tagged(rows, "__key", doubtful, "__key", "__maybe")  # the others stay without a join
+    doubted = marked.where("__maybe").join(stays, "__key", "left_semi")
+    # rows without words are no copies of each other
+    worded = F.col("text").rlike(WORD)
+    once = doubted.where(worded).dropDuplicates(["__key"]).unionByName(doubted.where(~F.coalesce(worded, F.lit(False))))
+    return marked.where("not __maybe").unionByName(once).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +89,18 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs).select(docs.columns)
+    rows, back = _aside(docs, ["mix_copy", "mix_key"])
+    return mixing.mix_sources(rows).drop("mix_copy", "mix_key").withColumnsRenamed(back).select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    both = bpe.encode(docs, rank_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    rows, back = _aside(docs, ["ids", "decoded", "n_tokens", "round_trip"])
+    both = bpe.encode(rows, rank_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
                       pattern=public_tokenizers.PATTERN, decoded_col="decoded")
     whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return both.select(*docs.columns, "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), whole.alias("round_trip"))
+    new = [F.col("ids"), (F.length("ids") / 4).cast("long").alias("n_tokens"), whole.alias("round_trip")]
+    free = {own: c if c.lower() == "decoded" else f"{c}_in" for own, c in back.items()}
+    return both.select(*(F.col(c).alias(free.get(c, c)) for c in rows.columns), *new)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secrets", secret_scan),

@@ -209,3 +209,9 @@ def test_top_k_of_repeated_ids(spark):
     for shard_numbers in (1 << 20, 60):
         got = topk.top_k(frame, frame["vec_id"] % 10 == 0, k=7, levels=4, shard_numbers=shard_numbers, block_queries=5)
         assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
+def test_near_duplicates_of_extreme_components(spark):
+    data = [(0, [3e200, 4e200]), (1, [3.0, 4.0]), (2, [3e-200, 4e-200]), (3, [-3e200, -4e200]), (4, [1e308, 1e308]), (5, [1e-320, 1e-320])]
+    got = neardup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    assert {r.vec_id: r.component_id for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0, 5: 0}

@@ -452,3 +452,102 @@ def test_pipeline_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_pipeline_with_clashing_columns(spark):
+    texts = ["the cat sat on the mat and the dog ran far away", "a dog and a cat and a cow went to the sea with token=abcdefgh1"]
+    docs = _docs(spark, texts)
+    for i, c in enumerate(["Score", "lang_pred", "n_grams", "mix_copy", "mix_key", "ids", "decoded", "n_tokens", "round_trip", "spans", "blob", "component_id"]):
+        docs = docs.withColumn(c, F.lit(f"mine {i}"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        mine = docs.select(*columns[5:]).distinct().collect()
+        assert [tuple(r) for r in mine] in ([], [tuple(f"mine {i}" for i in range(12))])
+    docs = docs.union(_docs(spark, texts).select("*", *(F.lit(f"mine {i}").alias(c) for i, c in enumerate(columns[5:]))))
+    out = corpus_pipeline.byte_bpe(spark, docs, SF)
+    assert out.columns == [{"ids": "ids_in", "n_tokens": "n_tokens_in", "round_trip": "round_trip_in"}.get(c, c) for c in columns] + ["ids", "n_tokens", "round_trip"]
+    assert out.where("not round_trip or ids_in <> 'mine 5' or n_tokens < 5").count() == 0 < out.count()
+
+
+def test_pipeline_keeps_the_clean_text_of_a_repeated_id(spark):
+    a, b = "one two three four five six seven eight nine ten", "red green blue black white pink grey brown gold teal"
+    data = [(1, a), (3, a), (3, b), (3, b), (4, b + " lime"), (None, a), (None, "this text is nobody else's and has no id at all"),
+            (5, ""), (5, ""), (None, None), (9, "short"), (8, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = rows(corpus_pipeline.near_duplicates(spark, docs.repartition(parts), SF), "doc_id", "text")
+        assert got == sorted([(1, a), (4, b + " lime"), (None, "this text is nobody else's and has no id at all"), (5, ""), (5, ""),
+                              (None, None), (8, "short")], key=repr)
+
+
+def test_pipeline_rejects_unlearned_languages(spark):
+    rng = random.Random(1)
+
+    def soup(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", [chr(0x4e00 + i) for i in range(2000)]]
+    foreign = [soup(s, n) for s in scripts for n in (30, 100, 300) for _ in range(10)]
+    clean = ["the the the the the " * 50, "the", "and the other of the in", "the in and of " * 300]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = _docs(spark, foreign + clean).select((F.col("doc_id") + 10**6).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(planted), SF).select("doc_id").collect()}
+    assert not kept & set(range(10**6, 10**6 + len(foreign)))
+    assert set(range(10**6 + len(foreign), 10**6 + len(foreign) + len(clean))) <= kept
+    worded = {r.doc_id for r in docs.where("lang is not null and text rlike '[a-z]'").select("doc_id").collect()}
+    assert len(worded - kept) <= 0.001 * len(worded)
+
+
+def test_language_id_matches_plain_loops(spark):
+    texts = ["the cat AND the dog, naïve", "der hund und die katze", "le chien et le chat", "x", "a-b c'd", "日本 語", "hund hund chat", "12 ab 34", "ÄÖ über"]
+    langs = ["en", "de", "fr", None, "en", None, None, "de", None]
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts, langs)), "doc_id long, text string, lang string")
+    width, seed = 1024, 4
+    base = np.random.default_rng([seed, width]).integers(0, 2, (langid.SYMBOLS, width), dtype=np.int8).astype(np.int64) * 2 - 1
+
+    def symbol(ch):
+        if not ch.isalpha():
+            return 0
+        low = ord(ch.lower()[0])
+        return low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % 2**32 % 101
+
+    def profile(text):
+        run, total, seen = [0], np.zeros(width, np.int64), {}
+        for s in [*map(symbol, text), 0]:
+            if s or run[-1]:
+                run.append(s)
+        for a, b, c in zip(run, run[1:], run[2:]):
+            if b:
+                vec = np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
+                total += vec
+                seen[a, b, c] = vec
+        return total, sum(seen.values()) if seen else total, len(seen)
+
+    learned = {}
+    for i, t, lang in zip(ids, texts, langs):
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            learned[lang] = learned.get(lang, 0) + profile(t)[0]
+
+    def cosine(v, w):
+        return max(0.0, float(v @ w) / math.sqrt(float(v @ v) * float(w @ w))) if v.any() else 0.0
+
+    got = {r.doc_id: r for r in langid.identify(docs, evidence=True).collect()}
+    for i, t in zip(ids, texts):
+        all_, each, n = profile(t)
+        scores = {lang: cosine(all_, w) for lang, w in sorted(learned.items())}
+        assert got[i].n_grams == n
+        if not n:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        assert abs(got[i].score - max(scores.values())) < 2e-6 and abs(scores[got[i].lang_pred] - got[i].score) < 2e-6
+        assert abs(got[i].set_score - max(cosine(each, w) for w in learned.values())) < 2e-6
+
+
+def test_redaction_of_very_many_findings(spark):
+    unit = "é token=abcdefgh1 " + "0123456789abcdef" * 3 + " secret: " + "x" * 9 + "\n"
+    texts = [unit * 12_000, "token=" + "ab12" * 10 + "," + "z" * 5000 + " AKIA" + "A" * 20, "password=abcdefgh" + "1" * 3000]
+    out = dict(rows(secrets.redact(_docs(spark, texts)), "doc_id", "text"))
+    assert out == {0: "é [SECRET] [SECRET] [SECRET]\n" * 12_000, 1: "[SECRET]," + "z" * 5000 + " [SECRET]", 2: "[SECRET]"}
