@@ -31,8 +31,8 @@ from adlens.llm.common import WORD, keep_table, read
 
 #: Distinct n-grams of a learned language add up: a text of k of them has a cosine of about 0.044 * sqrt(k) with
 #: its prototype until it nears 1, other letters one of about 0 +- 0.03. A text is of a learned language from
-#: half that on, and from SURE on in any case.
-PER_GRAM, SURE = 0.02, 0.25
+#: half of that on (at most SURE), less the SPREAD of chance, which decides alone in texts of a few letters.
+PER_GRAM, SURE, SPREAD = 0.02, 0.25, 0.04
 
 
 def _aside(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, dict[str, str]]:
