@@ -16,6 +16,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CUTS = 256  # segments of a hot period at most
+
+
+def with_segments(df: DataFrame, keys: Sequence[str], time_col: str, period: int, out: str, max_rows: int | None = None,
+                  max_hot: int = 1000) -> DataFrame:
+    """Add ``out``: a number per period of ``period`` units of ``time_col`` (null for a null time), monotone with time.
+
+    With ``max_rows``, the periods of a key that hold more rows are measured and cut at 255 quantiles of their
+    times, so a segment holds ``max_rows`` rows or, in a period with more than 256 times as many, a 256th of
+    them. Rows of one time stay together. The ``max_hot`` heaviest periods are cut (their cut points are
+    broadcast: at most ``max_hot`` rows of 255 numbers); any other has less than a ``max_hot``-th of all rows.
+    ``df`` is read three times then, so store it first.
+    """
+    number = (F.floor(F.col(time_col) / F.lit(period)) * CUTS).cast("long")
+    df = df.withColumn(out, number)
+    if max_rows is None:
+        return df
+    same = [*keys, out]
+    hot = (df.where(F.col(time_col).isNotNull()).groupBy(*same).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows)
+           .orderBy(F.desc("__n"), *same).limit(max_hot).select(*(F.col(c).alias(f"__h_{c}") for c in same)))
+
+    def met(side: DataFrame):
+        condition = F.lit(True)
+        for c in same:
+            condition = condition & F.col(c).eqNullSafe(F.col(f"__h_{c}"))
+        return df.join(F.broadcast(side), condition, "left")
+
+    found = met(hot).where(F.col(f"__h_{out}").isNotNull())
+    at = F.percentile_approx(time_col, [i / CUTS for i in range(1, CUTS)], 10_000)
+    cuts = found.groupBy(*same).agg(F.array_distinct(at).alias("__cuts")).select(
+        *(F.col(c).alias(f"__h_{c}") for c in same), "__cuts")
+    cut = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col(time_col))), F.lit(0))
+    return met(cuts).withColumn(out, F.col(out) + F.when(F.col("__cuts").isNotNull(), cut).otherwise(0)).select(*df.columns)
+
+
 def previous_in_sequence(df: DataFrame, key: str, day: str, order: Sequence[str],
                          value: Column, out: str, ignore_nulls: bool = False) -> DataFrame:
     """Add ``out`` = ``value`` of the previous row of the same ``key`` in ``order``.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from adlens.functions.devices import DEVICE_TYPES_KEPT, classify_device, collapse_device
 from adlens.functions.predicates import day_between, not_anonymous
+from adlens.functions.sequence import with_segments
 from adlens.sources.schemas import require_columns
 from adlens.sources.storage import keep_table
 
@@ -156,7 +157,8 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def cookie_switches(events: DataFrame, dim_merchant: DataFrame, dim_client: DataFrame, *,
-                    partners: Sequence[int], sentinel=None, segment_seconds: int = 3600) -> DataFrame:
+                    partners: Sequence[int], sentinel=None, segment_seconds: int = 3600,
+                    max_segment_rows: int | None = None) -> DataFrame:
     """Keep the journey rows whose *next* row (in buyer order, newest
     first) belongs to a different user_id. Other columns of ``events`` are kept.
 
@@ -169,6 +171,9 @@ def cookie_switches(events: DataFrame, dim_merchant: DataFrame, dim_client: Data
     The last row of a segment takes the head of the next one from a
     one-row-per-segment table: the buyer's next (older) segment or, for the
     buyer's oldest one, the next buyer's newest head.
+
+    With ``max_segment_rows``, the journey is stored before it is sorted and hours of a buyer
+    with more rows are cut at quantiles of their times (``functions.sequence``).
     """
     require_columns(events, ("timestamp", *BUYER, "user_id", "device_type", "event_type"),
                     "cookie_switches")
@@ -176,8 +181,10 @@ def cookie_switches(events: DataFrame, dim_merchant: DataFrame, dim_client: Data
         .select(F.col("merchant_id").alias("partner_id"))
     x = (events.join(mc, "partner_id", "left_semi")
          .where(F.col("device_type").isin(*DEVICE_TYPES_KEPT) & F.col("partner_id").isin(list(partners)))
-         .withColumn("device", collapse_device("device_type"))
-         .withColumn("__segment", F.floor(F.col("timestamp") / F.lit(segment_seconds))))
+         .withColumn("device", collapse_device("device_type")))
+    if max_segment_rows is not None:
+        x = keep_table(x, "journey-input")
+    x = with_segments(x, BUYER, "timestamp", segment_seconds, "__segment", max_segment_rows)
     extra = [c for c in events.columns if c not in (*SWITCH_COLUMNS, "device_type")]
     seg = [*BUYER, "__segment"]          # newest-first order is monotone in __segment
     w = Window.partitionBy(*seg).orderBy(*_journey_order())

@@ -88,6 +88,7 @@ class TestParams:
                                              ("subvertical", "vertical_level_2_name"),
                                              ("tier", "ranking"))
     p2p_dim_filters: tuple[tuple[str, tuple[str, ...]], ...] = (("vertical_level_2_name", ("RETAIL",)),)
+    segment_rows: int = 3
     # preview
     preview_day: dt.date = D(2024, 1, 10)
     preview_partner: int = 3

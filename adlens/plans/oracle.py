@@ -633,6 +633,7 @@ SELECT user_id, first_day_seen, 'Mid' FROM test_users WHERE first_day_seen > {cu
 SELECT partnerid, uid, "timestamp", eventtype, {DEVICE_CASE} AS device_type FROM site_events_rich""")
     o["lookback_events"] = _with(*steps[:3], body="SELECT * FROM trail")
     o["cookie_switches"] = _with(*steps[:4], body="SELECT * FROM switch")
+    o["cookie_switches_cut"] = o["cookie_switches"]
     o["device_sequence"] = _with(*steps, body="SELECT * FROM sale")
     for name, with_dims in (("sequence_distribution", False), ("sequence_distribution_by_dimension", True)):
         dims = "".join(f"{d}, " for d, _ in P.p2p_dims) if with_dims else ""

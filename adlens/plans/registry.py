@@ -397,6 +397,14 @@ def q_cookie_switches(spark, sf_dir):
     return _switches(_w(spark, sf_dir))
 
 
+@plan("cookie_switches_cut")
+def q_cookie_switches_cut(spark, sf_dir):
+    # hours of a buyer with more than a few rows are cut by size
+    w = _w(spark, sf_dir)
+    return journey.cookie_switches(_lookback(w), w.dim_merchant, w.dim_client, partners=P.p2p_partners,
+                                   sentinel=P.sentinel, max_segment_rows=P.segment_rows)
+
+
 @plan("device_sequence")
 def q_device_sequence(spark, sf_dir):
     return journey.device_sequence(_switches(_w(spark, sf_dir)))
