@@ -19,9 +19,8 @@ that the attention sees are the main directions of these counts, the classes the
 The weights are fitted to every window of every training text (the last one padded, the end
 included): a row's hash puts it into one of ``steps`` disjoint slices, each in a folder of its own;
 in a round every task makes Adam steps over its windows of one slice, and Spark hands the
-tasks' weights to the driver, which averages them by windows. The loss of a window is taken
-at every ``EVERY``-th of its ids, from a place that differs from window to window; all its ids are context. What the driver holds is
-bounded by the vocabulary and the weights. Repeated texts count as often as they occur.
+tasks' weights to the driver, which averages them by windows. The loss of a window is that of
+all its ids. What the driver holds is bounded by the vocabulary and the weights. Repeated texts count as often as they occur.
 
 Defined results: a null text counts as empty (one end token); a null id is not
 held out and is learned from; equal texts have equal scores; with nothing to
@@ -46,7 +45,7 @@ from adlens.llm.common import by_size, keep_table, ready
 from adlens.llm.phrases import _spans, _word_hashes
 
 STRIDE = 16
-EVERY = 32  # of a window's ids one is predicted in training; in scoring all are
+EVERY = 1   # every id of a window is predicted in training, as in scoring
 WIDTH, HIDDEN = 16, 16
 GROUPS, MEMBERS = 12, 11    # classes of subwords: so many groups of so many
 LEFT, RIGHT = 512, 64       # buckets of a subword's neighbours, before and after it
@@ -55,6 +54,7 @@ PRIOR = 4.0                 # weight of a subword's share of its class against i
 LIMIT = np.float32(40)      # of attention scores, which are clipped to it in training and in scoring
 BLOCKS = 256                # scored at a time: what they need fits a cache
 BATCH = 512                 # windows of a training step
+PART = 64                   # of them at a time in the attention: what they need fits a cache
 _LOWER = bytes(10 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -69,6 +69,10 @@ class Model:
         rng = np.random.default_rng(seed)
         self.vectors, self.classes, self.left = vectors.astype(np.float32), classes, left
         self.groups, self.members = groups.astype(np.float32), members.astype(np.float32)
+        self.to_groups, self.to_members = np.ascontiguousarray(self.groups.T), np.ascontiguousarray(self.members.transpose(1, 2, 0))
+        group, member = np.divmod(np.append(classes, GROUPS * MEMBERS), MEMBERS)  # padding is in a group of its own
+        self.group, self.member = group.astype(np.uint8), member.astype(np.uint8)
+        self.wide = np.hstack([self.vectors, np.ones((len(vectors), 1), np.float32)])
 
         def init(*shape: int) -> np.ndarray:
             return (rng.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
@@ -81,49 +85,88 @@ class Model:
     def sums(self, ids: np.ndarray, every: int = EVERY, shift: int = 0) -> tuple[float, dict[str, np.ndarray], int]:
         """Loss (negative log-likelihood of the classes that follow every ``every``-th place of windows of
         ``2 * STRIDE + 1`` ids) and gradients added up, and the number of ids predicted; padding has no part."""
-        p, end = self.p, len(self.classes) - 1
-        targets = ((np.arange(len(ids)) + ids[:, 0] + shift) % every)[:, None] + np.arange(0, 2 * STRIDE, every)[None, :]
-        following = np.take_along_axis(ids, targets + 1, axis=1)
-        row, col = np.nonzero(following <= end)
-        x = self.vectors[np.minimum(ids[:, :-1], end)]
-        n, t = targets.shape
-        xt = x[np.arange(n)[:, None], targets]
-        back = targets[:, :, None] - np.arange(2 * STRIDE)
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        q = xt @ p["q"]
-        u = q @ p["k"].T
-        s = u @ x.transpose(0, 2, 1)
-        s *= scale
-        s += p["far"][np.maximum(back, 0)]
-        np.clip(s, -LIMIT, LIMIT, out=s)
-        inside = np.abs(s) < LIMIT
-        att = np.exp(s, out=s)
-        att *= back >= 0
-        att /= att.sum(axis=2, keepdims=True)
-        m = att @ x
-        o = m @ p["v"]
-        real = row * t + col
-        pre = (o.reshape(n * t, -1) @ p["ho"] + xt.reshape(n * t, -1) @ p["hx"] + p["hb"])[real]
-        h = np.maximum(pre, 0)
-        group, member = np.divmod(self.classes[following[row, col]], MEMBERS)
-        bucket = self.left[ids[row, targets[row, col]]]
-        loss, dh, g = output_sums(p, h, group, member, self.groups[bucket], self.members[bucket, group])
-        dpre = np.zeros((n * t, HIDDEN), np.float32)
-        dpre[real] = dh * (pre > 0)
-        flat = (lambda a: a.reshape(n * t, -1))
-        g |= {"ho": flat(o).T @ dpre, "hx": flat(xt).T @ dpre, "hb": dpre.sum(axis=0)}
-        do = dpre @ p["ho"].T
-        g["v"] = flat(m).T @ do
-        dm = (do @ p["v"].T).reshape(n, t, -1)
-        da = dm @ x.transpose(0, 2, 1)
-        da -= (da * att).sum(axis=2, keepdims=True)
-        ds = np.multiply(att, da, out=da)
-        ds *= inside
-        g["far"] = np.bincount(np.maximum(back, 0).ravel(), ds.ravel(), 2 * STRIDE)
-        du = flat(ds @ x) * scale
-        g["k"] = du.T @ flat(q)
-        g["q"] = flat(xt).T @ (du @ p["k"])
-        return loss, g, len(real)
+        end, far = len(self.classes) - 1, self.p["far"].astype(np.float32)
+        maps = self._maps()
+        parts = [self._attend(ids[i:i + PART], every, shift + i, far, maps) for i in range(0, len(ids), PART)]
+        at, following = (np.concatenate([part[k].ravel() for part in parts]) for k in ("at", "following"))
+        pre = np.concatenate([part["pre"] for part in parts], axis=1)
+        group = _rows(self.group, following)
+        order, runs = _by_group(group)  # padding is in a group of its own, the last
+        order = order[:runs[-1][1].stop if runs else 0]
+        h = _columns(pre, order)
+        np.maximum(h, 0, out=h)
+        loss, dh, g = output_sums(self.p, h, runs, _rows(self.member, _rows(following, order)), self.to_groups, self.to_members,
+                                  _rows(self.left, _rows(at, order)))
+        dh *= h > 0
+        dpre = np.zeros_like(pre)
+        if len(order) == len(group):
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            np.take(dh, place, axis=1, out=dpre, mode="clip")
+        else:
+            dpre[:, order] = dh
+        sums, done = None, 0
+        for part in parts:
+            size = part["pre"].shape[1]
+            more = self._attend_back(part, dpre[:, done:done + size], maps)
+            sums, done = more if sums is None else [x + y for x, y in zip(sums, more)], done + size
+        if sums is None:
+            return 0.0, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
+        own, down, moved, back = sums
+        p = self.p
+        moved = moved[:WIDTH, :WIDTH] / np.sqrt(WIDTH)
+        g |= {"hx": own[:WIDTH], "hb": own[WIDTH], "ho": p["v"].T @ down, "v": down @ p["ho"].T, "q": moved @ p["k"],
+              "k": moved.T @ p["q"], "far": back}
+        return loss, g, len(order)
+
+    def _maps(self) -> dict[str, np.ndarray]:
+        """The weights as maps from vectors with a 1 at their end."""
+        p = self.p
+        context = p["v"] @ p["ho"]
+        maps = {"q": np.pad(p["q"] @ p["k"].T / np.sqrt(WIDTH), ((0, 1), (0, 1))), "context": np.pad(context, ((0, 1), (0, 0))),
+                "own": np.vstack([p["hx"], p["hb"]]), "back": np.pad(context.T, ((0, 1), (0, 1)))}
+        maps["back"][HIDDEN, WIDTH] = -1
+        return {k: v.astype(np.float32) for k, v in maps.items()}
+
+    def _attend(self, ids: np.ndarray, every: int, shift: int, far: np.ndarray, maps: dict[str, np.ndarray]) -> dict:
+        """The hidden layer of some windows (``pre``, a column for each place) and what its gradients need."""
+        size, n = 2 * STRIDE, len(ids)
+        x = _rows(self.wide, ids[:, :-1])  # padding takes the end's vector: it only follows what is predicted
+        if every == 1:
+            at, following, xt, back = ids[:, :-1], ids[:, 1:], x, np.arange(size)[:, None] - np.arange(size)
+        else:
+            targets = ((np.arange(n) + ids[:, 0] + shift) % every)[:, None] + np.arange(0, size, every)
+            at, following = (np.take_along_axis(ids, targets + i, axis=1) for i in range(2))
+            xt, back = x[np.arange(n)[:, None], targets], targets[:, :, None] - np.arange(size)
+        own = xt.reshape(-1, WIDTH + 1)
+        xc = np.ascontiguousarray(x.transpose(0, 2, 1))
+        att = (own @ maps["q"]).reshape(xt.shape) @ xc
+        att += far[np.maximum(back, 0)]
+        np.clip(att, -LIMIT, LIMIT, out=att)
+        inside = np.abs(att) < LIMIT if max(att.max(initial=0), -att.min(initial=0)) >= LIMIT else None
+        np.exp(att, out=att)
+        att *= (back >= 0).astype(np.float32)
+        both = (att @ x).reshape(-1, WIDTH + 1)  # weighted vectors, and the sum of the weights
+        inverse = 1 / both[:, WIDTH]
+        context = maps["context"].T @ both.T
+        context *= inverse
+        return {"at": at, "following": following, "x": x, "xc": xc, "own": own, "att": att, "inside": inside, "both": both, "back": back,
+                "inverse": inverse, "context": context, "pre": maps["own"].T @ own.T + context}
+
+    def _attend_back(self, part: dict, dpre: np.ndarray, maps: dict[str, np.ndarray]) -> list[np.ndarray]:
+        """Sums over places that the gradients of the attention and of the hidden layer are made of."""
+        scaled = np.empty((HIDDEN + 1, dpre.shape[1]), np.float32)
+        np.multiply(dpre, part["inverse"], out=scaled[:HIDDEN])
+        np.einsum("ij,ij->j", scaled[:HIDDEN], part["context"], out=scaled[HIDDEN])
+        # of the weights: what their vectors would add less the mean of it, both from one product
+        ds = (scaled.T @ maps["back"]).reshape(len(part["x"]), -1, WIDTH + 1) @ part["xc"]
+        ds *= part["att"]
+        if part["inside"] is not None:
+            ds *= part["inside"]
+        back = np.maximum(part["back"], 0).ravel()
+        far = np.bincount(back, (ds.sum(axis=0) if part["back"].ndim == 2 else ds).ravel(), 2 * STRIDE)
+        moved = part["own"].T @ (ds @ part["x"]).reshape(-1, WIDTH + 1)
+        return [part["own"].T @ dpre.T, part["both"][:, :WIDTH].T @ scaled[:HIDDEN].T, moved, far]
 
     def fit(self, windows: Iterator[np.ndarray], rate: float, shift: int = 0) -> int:
         """Adam steps over batches of windows, in place; the windows that were seen."""
@@ -169,53 +212,67 @@ class Model:
 
     def tables(self) -> dict[str, np.ndarray]:
         """What scoring needs: ``x``, the vectors with a 1 at their end (padding is 0), the maps from them, and the classes' shares."""
-        p, one = self.p, np.ones((len(self.vectors), 1), np.float32)
+        p = self.p
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
-        wide = (lambda m: np.pad(m, ((0, 1), (0, 1))).astype(np.float32))
-        return {"x": np.vstack([np.hstack([self.vectors, one]), np.zeros((1, WIDTH + 1), np.float32)]), "q": wide(p["q"] @ p["k"].T / np.sqrt(WIDTH)),
-                "context": p["v"] @ p["ho"], "own": np.vstack([p["hx"], p["hb"]]), "out1": p["out1"], "out2": p["out2"],
-                "left": np.append(self.left, 0), "groups": self.groups + p["ob1"], "members": self.members + p["ob2"],
+        maps = self._maps()
+        return {"x": np.vstack([self.wide, np.zeros((1, WIDTH + 1), np.float32)]), "q": maps["q"], "context": maps["context"],
+                "own": maps["own"], "out1": p["out1"], "out2": p["out2"], "left": np.append(self.left, 0),
+                "group": self.group, "member": self.member,
+                "groups": self.to_groups + p["ob1"][:, None], "members": self.to_members + p["ob2"][:, :, None],
                 "far": p["far"][np.maximum(i - j, 0)], "mask": (i >= j).astype(np.float32)}
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    """Of each column, in place."""
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(table, at, axis=0, mode="clip")  # faster than an index; no place is outside
+
+
+def _exp_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column the largest value is taken off ``z``, in place; its exponentials, and their sum."""
     z -= z.max(axis=0)
-    z -= np.log(np.exp(z).sum(axis=0))
-    return z
+    e = np.exp(z)
+    return e, e.sum(axis=0)
 
 
 def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """An order that puts equal groups together, and the run of each."""
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
+    """An order that puts equal groups together, and the run of each; ``GROUPS`` (padding) comes last and has no run."""
+    order = np.argsort(group, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS)[:GROUPS])]).tolist()
     return order, [(i, slice(a, z)) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if a < z]
 
 
-def output_sums(p: dict[str, np.ndarray], h: np.ndarray, group: np.ndarray, member: np.ndarray, to_groups: np.ndarray,
-                to_members: np.ndarray) -> tuple[float, np.ndarray, dict]:
-    """Loss, gradient of the hidden layer (a row for each id), and gradients of the output layer."""
-    order, runs = _by_group(group)
-    group, member, h = group[order], member[order], np.ascontiguousarray(h[order].T)
-    col = np.arange(h.shape[1])
-    z = _log_softmax(p["out1"].T @ h + p["ob1"][:, None] + to_groups[order].T)
-    to_members = to_members[order].T
-    loss = -float(z[group, col].sum(dtype=np.float64))
-    dz = np.exp(z)
-    dz[group, col] -= 1
+def _columns(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(table, at, axis=1, mode="clip")
+
+
+def output_sums(p: dict[str, np.ndarray], h: np.ndarray, runs: list[tuple[int, slice]], member: np.ndarray,
+                to_groups: np.ndarray, to_members: np.ndarray, bucket: np.ndarray) -> tuple[float, np.ndarray, dict]:
+    """Loss, gradient of the hidden layer (a column for each id, equal groups together), and gradients of the output layer."""
+    z = p["out1"].T @ h
+    z += _columns(to_groups + p["ob1"][:, None], bucket)
+    dz, total = _exp_sums(z)
+    loss = float(np.log(total).sum(dtype=np.float64))
+    dz /= total
+    for i, own in runs:
+        loss -= float(z[i, own].sum(dtype=np.float64))
+        dz[i, own] -= 1
     dh = p["out1"] @ dz
     g = {"out1": h @ dz.T, "ob1": dz.sum(axis=1), "out2": np.zeros_like(p["out2"]), "ob2": np.zeros_like(p["ob2"])}
     for i, own in runs:
-        z = _log_softmax(p["out2"][i].T @ h[:, own] + p["ob2"][i][:, None] + to_members[:, own])
-        at = np.arange(z.shape[1])
-        loss -= float(z[member[own], at].sum(dtype=np.float64))
-        dz = np.exp(z)
-        dz[member[own], at] -= 1
+        z = p["out2"][i].T @ h[:, own]
+        z += _columns(to_members[i] + p["ob2"][i][:, None], bucket[own])
+        dz, total = _exp_sums(z)
+        at = _hits(member[own])
+        loss += float(np.log(total).sum(dtype=np.float64)) - float(z.ravel()[at].sum(dtype=np.float64))
+        dz /= total
+        dz.ravel()[at] -= 1
         dh[:, own] += p["out2"][i] @ dz
         g["out2"][i], g["ob2"][i] = h[:, own] @ dz.T, dz.sum(axis=1)
-    back = np.empty_like(dh.T)
-    back[order] = dh.T
-    return loss, back, g
+    return loss, dh, g
+
+
+def _hits(member: np.ndarray) -> np.ndarray:
+    """Where the members lie in an array of a column for each."""
+    return member.astype(np.int64) * len(member) + np.arange(len(member))
 
 
 def class_log10(tables: dict[str, np.ndarray], classes: np.ndarray, docs: list[np.ndarray], end: int) -> np.ndarray:
@@ -234,9 +291,9 @@ def class_log10(tables: dict[str, np.ndarray], classes: np.ndarray, docs: list[n
     for at in range(1, len(xb), BLOCKS):
         own, here = slice(at, at + BLOCKS), xb[at - 1:at + BLOCKS]
         ids = here[1:]
-        x1 = tables["x"][here]
+        x1 = _rows(tables["x"], here)
         near = np.concatenate([x1[:-1], x1[1:]], axis=1)
-        s = (x1[1:] @ tables["q"]) @ near.transpose(0, 2, 1)
+        s = (x1[1:] @ tables["q"]) @ np.ascontiguousarray(near.transpose(0, 2, 1))
         s += tables["far"]
         np.clip(s, -LIMIT, LIMIT, out=s)
         np.exp(s, out=s)
@@ -244,21 +301,24 @@ def class_log10(tables: dict[str, np.ndarray], classes: np.ndarray, docs: list[n
         s[here[:-1, 0] == pad, :, :STRIDE] = 0  # nothing comes before a text's first block
         both = (s @ near).reshape(-1, WIDTH + 1)  # weighted vectors, and the sum of the weights
         target = yb[own].ravel()
-        real = np.flatnonzero(target != pad)
-        group, member = np.divmod(classes[target[real]], MEMBERS)
-        order, runs = _by_group(group)
-        real, group, member = real[order], group[order], member[order]
-        both, x1 = both[real], x1[1:].reshape(-1, WIDTH + 1)[real]
-        h = (both[:, :WIDTH] / both[:, WIDTH:]) @ tables["context"]
-        h += x1 @ tables["own"]
-        h = np.ascontiguousarray(h.T)
+        order, runs = _by_group(_rows(tables["group"], target))
+        real = order[:runs[-1][1].stop]
+        h = tables["context"].T @ both.T
+        h /= both[:, WIDTH]
+        h += tables["own"].T @ x1[1:].reshape(-1, WIDTH + 1).T
+        h = _columns(h, real)
         np.maximum(h, 0, out=h)
-        bucket = tables["left"][ids.ravel()[real]]
-        hit = _log_softmax(tables["out1"].T @ h + tables["groups"][bucket].T)[group, np.arange(len(real))]
+        bucket, member = _rows(tables["left"], _rows(ids.ravel(), real)), _rows(tables["member"], _rows(target, real))
+        z = tables["out1"].T @ h
+        z += _columns(tables["groups"], bucket)
+        hit = -np.log(_exp_sums(z)[1])
         for i, rows in runs:
-            z = _log_softmax(tables["out2"][i].T @ h[:, rows] + tables["members"][:, i][bucket[rows]].T)
-            hit[rows] += z[member[rows], np.arange(z.shape[1])]
-        total += np.bincount(np.repeat(owner[own], STRIDE)[real], hit, len(docs))
+            hit[rows] += z[i, rows]
+            y = tables["out2"][i].T @ h[:, rows]
+            y += _columns(tables["members"][i], bucket[rows])
+            sums = _exp_sums(y)[1]
+            hit[rows] += y.ravel()[_hits(member[rows])] - np.log(sums)
+        total += np.bincount(_rows(np.repeat(owner[own], STRIDE), real), hit, len(docs))
     return total / np.log(10)
 
 

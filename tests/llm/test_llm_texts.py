@@ -233,6 +233,18 @@ def test_lm_gradients_and_learning():
     assert every == [32, 32]  # copies of a window are asked for at different places
 
 
+def test_lm_training_predicts_every_id(monkeypatch):
+    rng = np.random.default_rng(4)
+    end, texts = 50, [rng.integers(0, 50, n) for n in (0, 1, 31, 32, 33, 200)] * 40
+    model = _random_model(rng, end)
+    windows = np.concatenate([lm.text_windows(t, end) for t in texts])
+    assert model.sums(windows)[2] == sum(len(t) + 1 for t in texts)
+    seen, real = [], lm.Model.sums
+    monkeypatch.setattr(lm.Model, "sums", lambda *args, **kw: (seen.append(real(*args, **kw)), seen[-1])[1])
+    model.fit(iter([windows]), 0.01)
+    assert sum(s[2] for s in seen) == sum(len(t) + 1 for t in texts)
+
+
 def test_lm_learns_from_every_window(spark):
     enc, rng = _reference_encoder(), random.Random(12)
     texts = [" ".join(rng.choice(["red", "blue", "green", "shape"]) for _ in range(n)) for n in [0, 1, 40, 70, 300] * 6] + ["same"] * 9
