@@ -49,33 +49,41 @@ class UserBuckets:
 
     def heavy_users(self, df: DataFrame) -> list:
         """The users with more than ``1 / buckets`` of the rows: fewer than ``buckets``."""
-        total = df.count()
-        counts = df.groupBy(self.user_col).agg(F.count(F.lit(1)).alias("n"))
-        heavy = counts.where((F.col("n") * self.buckets > total) & F.col(self.user_col).isNotNull())
-        return [r[0] for r in heavy.select(self.user_col).collect()]
+        return self._heavy_users(self._counts("", df, [self.user_col]))
+
+    def _counts(self, name: str, df: DataFrame, by: Sequence[str]) -> DataFrame:
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__table", F.lit(name))
+
+    def _heavy_users(self, counts: DataFrame) -> list:
+        n = counts.groupBy("__table", self.user_col).agg(F.sum("__n").alias("__n"))
+        totals = n.groupBy("__table").agg(F.sum("__n").alias("__total"))  # a row per table
+        heavy = n.join(F.broadcast(totals), "__table").where(
+            (F.col("__n") * self.buckets > F.col("__total")) & F.col(self.user_col).isNotNull())
+        return sorted(r[0] for r in heavy.select(self.user_col).distinct().collect())
 
     def write(self, tables: dict[str, DataFrame], partition_by: dict[str, Sequence[str]], spine: Sequence[str] = ()) -> None:
         """Store all tables anew, with a spine of the columns ``spine`` if there are any; a user
-        who is heavy in one of them is in all."""
+        who is heavy in one of them is in all. Heavy users and spine come from the rows of each
+        combination of user and spine columns, which are counted once and stored meanwhile."""
+        by = list(dict.fromkeys([self.user_col, *spine]))
+        counts = storage.keep_table(reduce(DataFrame.unionByName, [self._counts(n, df, by) for n, df in tables.items()]), "user-counts")
         if spine:
-            keys = [df.select(*spine).distinct() for df in tables.values()]
-            tables = tables | {SPINE: reduce(DataFrame.unionByName, keys).distinct()}
-        users = sorted({u for df in tables.values() for u in self.heavy_users(df)})
+            tables = tables | {SPINE: counts.select(*spine).distinct()}
+        users = self._heavy_users(counts if not spine else counts.unionByName(self._counts(SPINE, tables[SPINE], by)))
+        heavy = F.col(self.user_col).isNull()
+        if users:
+            heavy = heavy | F.col(self.user_col).isin(users)
         for name, df in tables.items():
             self._drop(name)
-            kind = df.schema[self.user_col].dataType
-            listed = F.broadcast(self.spark.createDataFrame([(u, True) for u in users], T.StructType(
-                [T.StructField(self.user_col, kind), T.StructField("__heavy", T.BooleanType())])))
-            marked = df.join(listed, self.user_col, "left").withColumn(
-                "__heavy", F.col("__heavy").isNotNull() | F.col(self.user_col).isNull()).select(*df.columns, "__heavy")
             parts = list(partition_by.get(name, ()))
-            marked.where("__heavy").drop("__heavy").write.mode("overwrite").parquet(f"{self._path(name)}-heavy")
+            df.where(heavy).write.mode("overwrite").parquet(f"{self._path(name)}-heavy")
             # one task per bucket, so one file per bucket and folder
-            (marked.where("not __heavy").drop("__heavy").repartition(self.buckets, self.user_col)
+            (df.where(~heavy).repartition(self.buckets, self.user_col)
              .write.format("parquet").mode("overwrite").partitionBy(*parts).bucketBy(self.buckets, self.user_col)
              .sortBy(self.user_col).option("path", self._path(name)).saveAsTable(self.catalog_name(name)))
             layout = {"schema": df.schema.jsonValue(), "partition_by": parts, "buckets": self.buckets, "user": self.user_col}
             storage.write_file(self.spark, f"{self._path(name)}/{LAYOUT_FILE}", json.dumps(layout).encode())
+        storage.drop_table(counts)
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.catalog_name(name)}")

@@ -126,6 +126,26 @@ def test_joined_measures_equal_the_union_form(spark):
     assert rows(abtest.ab_user_measures_joined(spine, e, c, d, t, test_id=1)) == rows(abtest.ab_user_measures(e, both, t, test_id=1))
 
 
+def test_bucketing_reads_each_table_three_times(spark, tmp_path):
+    """Once for users and spine, once for each side."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "user_id long, partner long, part int"
+    facts = spark.range(1000).select((F.col("id") % 50).alias("user_id"), (F.col("id") % 3).alias("partner"), (F.col("id") % 2).cast("int").alias("part"))
+    sales = facts.where("user_id < 20")
+    store = UserBuckets(spark, f"{tmp_path}/store", 8)
+    store.write({"facts": facts.mapInArrow(passed, schema), "sales": sales.mapInArrow(passed, schema)},
+                {"facts": ["part"], "sales": []}, spine=["user_id", "partner"])
+    assert read.value == 3 * (1000 + 400)
+    assert rows(store.even("facts").unionByName(store.heavy("facts")), "user_id", "partner", "part") == rows(facts)
+    assert rows(store.even("spine").unionByName(store.heavy("spine"))) == rows(facts.select("user_id", "partner").distinct())
+
+
 def test_heavy_users_lie_apart_and_tables_can_be_entered_again(spark, tmp_path):
     events = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, None)
                                       .otherwise(F.col("id")).alias("user_id"), (F.col("id") % 2).alias("part"), F.col("id").alias("v"))
