@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ def safe_pieces(text: str, size: int) -> Iterator[str]:
 
 def encode_text(enc: tiktoken.Encoding, text: str, piece_chars: int = 1 << 16) -> np.ndarray:
     """Ids of the whole text as little-endian unsigned 32-bit integers."""
-    parts = [np.array(enc.encode_ordinary(p), dtype="<u4") for p in safe_pieces(text, piece_chars)]
+    parts = [np.frombuffer(array("I", enc.encode_ordinary(p)), dtype=np.uint32).astype("<u4", copy=False) for p in safe_pieces(text, piece_chars)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 

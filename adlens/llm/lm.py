@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adlens.llm.bpe import encode_text, encoder, load_ranks
-from adlens.llm.common import by_size, keep_table, ready
+from adlens.llm.common import by_size, keep_memory, keep_table, ready
 from adlens.llm.phrases import _spans, _word_hashes
 
 STRIDE = 16
@@ -52,7 +52,8 @@ LEFT, RIGHT = 512, 64       # buckets of a subword's neighbours, before and afte
 OWN = 448                   # the most frequent subwords have buckets of their own
 PRIOR = 4.0                 # weight of a subword's share of its class against its share after the subword before
 LIMIT = np.float32(40)      # of attention scores, which are clipped to it in training and in scoring
-BLOCKS = 256                # scored at a time: what they need fits a cache
+BLOCKS = 256                # scored at a time in the attention: what they need fits a cache
+TOGETHER = 4 * BLOCKS       # and in the output layer
 BATCH = 512                 # windows of a training step
 PART = 64                   # of them at a time in the attention: what they need fits a cache
 _LOWER = bytes(10 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -87,29 +88,32 @@ class Model:
         ``2 * STRIDE + 1`` ids) and gradients added up, and the number of ids predicted; padding has no part."""
         end, far = len(self.classes) - 1, self.p["far"].astype(np.float32)
         maps = self._maps()
-        parts = [self._attend(ids[i:i + PART], every, shift + i, far, maps) for i in range(0, len(ids), PART)]
-        at, following = (np.concatenate([part[k].ravel() for part in parts]) for k in ("at", "following"))
-        pre = np.concatenate([part["pre"] for part in parts], axis=1)
+        pre = np.empty((HIDDEN, len(ids) * len(range(0, 2 * STRIDE, every))), np.float32)
+        at, following = np.empty((2, pre.shape[1]), ids.dtype)
+        parts, done = [], 0
+        for i in range(0, len(ids), PART):
+            part = self._attend(ids[i:i + PART], every, shift + i, far, maps)
+            parts.append((part, slice(done, done + len(part["own"]))))
+            done += len(part["own"])
+            own = parts[-1][1]
+            at[own], following[own] = part["at"].ravel(), part["following"].ravel()
+            np.add(maps["own"].T @ part["own"].T, part["context"], out=pre[:, own])
         group = _rows(self.group, following)
         order, runs = _by_group(group)  # padding is in a group of its own, the last
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
         order = order[:runs[-1][1].stop if runs else 0]
         h = _columns(pre, order)
         np.maximum(h, 0, out=h)
         loss, dh, g = output_sums(self.p, h, runs, _rows(self.member, _rows(following, order)), self.to_groups, self.to_members,
                                   _rows(self.left, _rows(at, order)))
-        dh *= h > 0
-        dpre = np.zeros_like(pre)
-        if len(order) == len(group):
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            np.take(dh, place, axis=1, out=dpre, mode="clip")
-        else:
-            dpre[:, order] = dh
-        sums, done = None, 0
-        for part in parts:
-            size = part["pre"].shape[1]
-            more = self._attend_back(part, dpre[:, done:done + size], maps)
-            sums, done = more if sums is None else [x + y for x, y in zip(sums, more)], done + size
+        sums = None
+        np.multiply(dh, h > 0, out=pre[:, :len(order)])
+        pre[:, len(order):] = 0
+        dpre = _columns(pre, place)
+        for part, own in parts:
+            more = self._attend_back(part, dpre[:, own], maps)
+            sums = more if sums is None else [x + y for x, y in zip(sums, more)]
         if sums is None:
             return 0.0, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         own, down, moved, back = sums
@@ -129,7 +133,7 @@ class Model:
         return {k: v.astype(np.float32) for k, v in maps.items()}
 
     def _attend(self, ids: np.ndarray, every: int, shift: int, far: np.ndarray, maps: dict[str, np.ndarray]) -> dict:
-        """The hidden layer of some windows (``pre``, a column for each place) and what its gradients need."""
+        """What the attention adds to the hidden layer of some windows (``context``, a column for each place), and what gradients need."""
         size, n = 2 * STRIDE, len(ids)
         x = _rows(self.wide, ids[:, :-1])  # padding takes the end's vector: it only follows what is predicted
         if every == 1:
@@ -141,17 +145,13 @@ class Model:
         own = xt.reshape(-1, WIDTH + 1)
         xc = np.ascontiguousarray(x.transpose(0, 2, 1))
         att = (own @ maps["q"]).reshape(xt.shape) @ xc
-        att += far[np.maximum(back, 0)]
-        np.clip(att, -LIMIT, LIMIT, out=att)
-        inside = np.abs(att) < LIMIT if max(att.max(initial=0), -att.min(initial=0)) >= LIMIT else None
-        np.exp(att, out=att)
-        att *= (back >= 0).astype(np.float32)
+        within = _weights(att, far[np.maximum(back, 0)], back >= 0)
         both = (att @ x).reshape(-1, WIDTH + 1)  # weighted vectors, and the sum of the weights
         inverse = 1 / both[:, WIDTH]
         context = maps["context"].T @ both.T
         context *= inverse
-        return {"at": at, "following": following, "x": x, "xc": xc, "own": own, "att": att, "inside": inside, "both": both, "back": back,
-                "inverse": inverse, "context": context, "pre": maps["own"].T @ own.T + context}
+        return {"at": at, "following": following, "x": x, "xc": xc, "own": own, "att": att, "within": within, "both": both, "back": back,
+                "inverse": inverse, "context": context}
 
     def _attend_back(self, part: dict, dpre: np.ndarray, maps: dict[str, np.ndarray]) -> list[np.ndarray]:
         """Sums over places that the gradients of the attention and of the hidden layer are made of."""
@@ -161,8 +161,8 @@ class Model:
         # of the weights: what their vectors would add less the mean of it, both from one product
         ds = (scaled.T @ maps["back"]).reshape(len(part["x"]), -1, WIDTH + 1) @ part["xc"]
         ds *= part["att"]
-        if part["inside"] is not None:
-            ds *= part["inside"]
+        if part["within"] is not None:
+            ds *= part["within"]
         back = np.maximum(part["back"], 0).ravel()
         far = np.bincount(back, (ds.sum(axis=0) if part["back"].ndim == 2 else ds).ravel(), 2 * STRIDE)
         moved = part["own"].T @ (ds @ part["x"]).reshape(-1, WIDTH + 1)
@@ -219,13 +219,28 @@ class Model:
                 "own": maps["own"], "out1": p["out1"], "out2": p["out2"], "left": np.append(self.left, 0),
                 "group": self.group, "member": self.member,
                 "groups": self.to_groups + p["ob1"][:, None], "members": self.to_members + p["ob2"][:, :, None],
-                "far": p["far"][np.maximum(i - j, 0)], "mask": (i >= j).astype(np.float32)}
+                "far": p["far"][np.maximum(i - j, 0)], "mask": i >= j}
 
 
 def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.take(table, at, axis=0, mode="clip")  # faster than an index; no place is outside
 
 
+def _weights(s: np.ndarray, far: np.ndarray, seen: np.ndarray) -> np.ndarray | None:
+    """Attention scores turned into weights in place: the exponentials of ``s + far``, clipped to ``LIMIT``, and 0 where nothing
+    may be ``seen``. Returns where none was clipped (None: nowhere)."""
+    if max(s.max(initial=0), -s.min(initial=0)) + np.abs(far).max(initial=0) < LIMIT:
+        s += np.where(seen, far, np.float32(-np.inf))
+        np.exp(s, out=s)
+        return None
+    s += far
+    np.clip(s, -LIMIT, LIMIT, out=s)
+    within = np.abs(s) < LIMIT
+    np.exp(s, out=s)
+    s *= seen
+    return within
+
+
 def _exp_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each column the largest value is taken off ``z``, in place; its exponentials, and their sum."""
     z -= z.max(axis=0)
@@ -275,6 +290,19 @@ def _hits(member: np.ndarray) -> np.ndarray:
     return member.astype(np.int64) * len(member) + np.arange(len(member))
 
 
+def _hidden(tables: dict[str, np.ndarray], blocks: np.ndarray, pad: int, out: np.ndarray) -> None:
+    """The hidden layer of all blocks but the first, a column for each id."""
+    x = _rows(tables["x"], blocks)
+    near, own = np.concatenate([x[:-1], x[1:]], axis=1), x[1:].reshape(-1, WIDTH + 1)
+    s = (own @ tables["q"]).reshape(-1, STRIDE, WIDTH + 1) @ np.ascontiguousarray(near.transpose(0, 2, 1))
+    _weights(s, tables["far"], tables["mask"])
+    s[blocks[:-1, 0] == pad, :, :STRIDE] = 0  # nothing comes before a text's first block
+    both = (s @ near).reshape(-1, WIDTH + 1)  # weighted vectors, and the sum of the weights
+    np.matmul(tables["context"].T, both.T, out=out)
+    out /= both[:, WIDTH]
+    out += tables["own"].T @ own.T
+
+
 def class_log10(tables: dict[str, np.ndarray], classes: np.ndarray, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Per text, the sum of log10 P(class) over its ids and the end."""
     pad = end + 1
@@ -288,27 +316,17 @@ def class_log10(tables: dict[str, np.ndarray], classes: np.ndarray, docs: list[n
     xb, yb = x.reshape(-1, STRIDE), y.reshape(-1, STRIDE)
     owner = np.repeat(np.arange(len(docs)), sizes + 1)
     total = np.zeros(len(docs))
-    for at in range(1, len(xb), BLOCKS):
-        own, here = slice(at, at + BLOCKS), xb[at - 1:at + BLOCKS]
-        ids = here[1:]
-        x1 = _rows(tables["x"], here)
-        near = np.concatenate([x1[:-1], x1[1:]], axis=1)
-        s = (x1[1:] @ tables["q"]) @ np.ascontiguousarray(near.transpose(0, 2, 1))
-        s += tables["far"]
-        np.clip(s, -LIMIT, LIMIT, out=s)
-        np.exp(s, out=s)
-        s *= tables["mask"]
-        s[here[:-1, 0] == pad, :, :STRIDE] = 0  # nothing comes before a text's first block
-        both = (s @ near).reshape(-1, WIDTH + 1)  # weighted vectors, and the sum of the weights
-        target = yb[own].ravel()
+    for at in range(1, len(xb), TOGETHER):
+        own = slice(at, at + TOGETHER)
+        ids, target = xb[own].ravel(), yb[own].ravel()
         order, runs = _by_group(_rows(tables["group"], target))
         real = order[:runs[-1][1].stop]
-        h = tables["context"].T @ both.T
-        h /= both[:, WIDTH]
-        h += tables["own"].T @ x1[1:].reshape(-1, WIDTH + 1).T
+        h = np.empty((HIDDEN, len(ids)), np.float32)
+        for i in range(0, len(ids) // STRIDE, BLOCKS):
+            _hidden(tables, xb[at + i - 1:min(at + i + BLOCKS, own.stop)], pad, h[:, i * STRIDE:(i + BLOCKS) * STRIDE])
         h = _columns(h, real)
         np.maximum(h, 0, out=h)
-        bucket, member = _rows(tables["left"], _rows(ids.ravel(), real)), _rows(tables["member"], _rows(target, real))
+        bucket, member = _rows(tables["left"], _rows(ids, real)), _rows(tables["member"], _rows(target, real))
         z = tables["out1"].T @ h
         z += _columns(tables["groups"], bucket)
         hit = -np.log(_exp_sums(z)[1])
@@ -398,7 +416,7 @@ def _prepared(docs: DataFrame, head: np.ndarray, ranks: bytes, pattern: str, sli
     def run(batches):
         head, ranks = shared.value
         enc = encoder(ranks, pattern)
-        for b in by_size(batches, "text"):
+        for b in by_size(batches, "text", 1 << 19):  # so that the arrays of its words fit a cache
             texts, n = [t or b"" for t in b.column("text").to_pylist()], b.num_rows
             h, of = _words(texts)
             at = np.searchsorted(head, h)
@@ -555,6 +573,7 @@ def _round(prepared: DataFrame, model: Model, piece: int, rate: float, ids_type:
 
     def run(batches):
         model = shared.value.copy()
+        keep_memory()
 
         def windows():
             for b in by_size(batches, "ids", 1 << 19):
@@ -624,6 +643,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, rank_path: str, pattern: s
     def run(batches):
         tables, sent, logs, known = shared.value
         classes, share = sent[3], _share_table(sent)
+        keep_memory()
         for b in by_size(batches, "ids", 1 << 20):
             ids = [np.frombuffer(x, ids_type).astype(np.int64) for x in b.column("ids").to_pylist()]
             score = class_log10(tables, classes, ids, vocab)

@@ -245,6 +245,30 @@ def test_lm_training_predicts_every_id(monkeypatch):
     assert sum(s[2] for s in seen) == sum(len(t) + 1 for t in texts)
 
 
+def test_lm_clipped_scores_and_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    end = 300
+    model = _random_model(rng, end)
+    model.p["q"] *= 40
+    docs = [rng.integers(0, end, n) for n in (0, 31, 100)]
+    for d, g in zip(docs, lm.class_log10(model.tables(), model.classes, docs, end)):
+        dist, following = _naive_class_log10(model, d.tolist(), end), model.classes[[*d.tolist(), end]]
+        assert g == pytest.approx(np.log10(dist[np.arange(len(following)), following]).sum(), rel=1e-4)
+    s = rng.standard_normal((3, 4, 4)).astype(np.float32) * 60
+    far, seen = rng.standard_normal((4, 4)).astype(np.float32), np.tri(4, dtype=bool)
+    for scores in (s, s / 60):
+        got = scores.copy()
+        within = lm._weights(got, far, seen)
+        assert got == pytest.approx(np.exp(np.clip(scores + far, -lm.LIMIT, lm.LIMIT)) * seen, rel=1e-5)
+        assert (np.abs(scores + far) < lm.LIMIT if within is None else within == (np.abs(scores + far) < lm.LIMIT)).all()
+    windows = np.concatenate([lm.text_windows(d, end) for d in docs * 40])
+    whole = model.sums(windows)
+    monkeypatch.setattr(lm, "PART", 7)
+    parts = model.sums(windows)
+    assert parts[2] == whole[2] and parts[0] == pytest.approx(whole[0], rel=1e-5)
+    assert all(parts[1][k] == pytest.approx(whole[1][k], rel=1e-2, abs=1e-2) for k in whole[1])
+
+
 def test_lm_learns_from_every_window(spark):
     enc, rng = _reference_encoder(), random.Random(12)
     texts = [" ".join(rng.choice(["red", "blue", "green", "shape"]) for _ in range(n)) for n in [0, 1, 40, 70, 300] * 6] + ["same"] * 9
