@@ -30,7 +30,7 @@ training set uses N = V = 0; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -406,6 +406,28 @@ def _offsets(of: np.ndarray, rows: int, size: int = 1) -> pa.Buffer:
     return pa.py_buffer((np.searchsorted(of, np.arange(rows + 1)) * size).astype(np.int32))
 
 
+def _places(head: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Looks hashes up in the sorted ``head``: the places of the first hash that is no smaller, and whether it is the same. The
+    upper bits say where to begin; from there it is a step or two, where a search would be many."""
+    bits = max(1, int(len(head) * 8 - 1).bit_length())
+    upper = (lambda h: ((h >> (64 - bits)) + (1 << (bits - 1))).astype(np.int32))
+    begin = np.searchsorted(upper(head), np.arange(1 << bits)).astype(np.int32)
+    last = np.iinfo(np.int64).max
+    ahead = np.append(head, last)  # the largest hash ends every walk
+
+    def look(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = _rows(begin, upper(h))
+        found = _rows(ahead, at)
+        behind = np.flatnonzero(found < h)
+        while len(behind):
+            at[behind] += 1
+            found[behind] = _rows(ahead, at[behind])
+            behind = behind[found[behind] < h[behind]]
+        return at, (found == h) & (at < len(head))
+
+    return look
+
+
 def _prepared(docs: DataFrame, head: np.ndarray, ranks: bytes, pattern: str, slices: int) -> DataFrame:
     """One stored row per row of ``docs``: subword ids, places of its words in the head, counts of the others, and the
     slice of the training rows (-1: held out), which is a folder."""
@@ -415,31 +437,27 @@ def _prepared(docs: DataFrame, head: np.ndarray, ranks: bytes, pattern: str, sli
 
     def run(batches):
         head, ranks = shared.value
-        enc = encoder(ranks, pattern)
+        enc, place = encoder(ranks, pattern), _places(head)
         for b in by_size(batches, "text", 1 << 19):  # so that the arrays of its words fit a cache
             texts, n = [t or b"" for t in b.column("text").to_pylist()], b.num_rows
             h, of = _words(texts)
-            at = np.searchsorted(head, h)
-            known = at < len(head)
-            known[known] = head[at[known]] == h[known]
+            at, known = place(h)
             other, other_of = h[~known], of[~known]
             order = np.lexsort((other, other_of))
             other, other_of = other[order], other_of[order]
             first = np.flatnonzero(np.r_[True, (other[1:] != other[:-1]) | (other_of[1:] != other_of[:-1])][:len(other)])
-            count = np.diff(np.r_[first, len(other)]).astype(np.int32)
-            others = _offsets(other_of[first], n)
-            listed = (lambda values: pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), n + 1, [None, others]), values))
-            places = pa.Array.from_buffers(pa.binary(), n, [None, _offsets(of[known], n, 4), pa.py_buffer(at[known].astype("<i4"))])
+            count = np.diff(np.r_[first, len(other)])
+            places, others, other_n = (pa.Array.from_buffers(pa.binary(), n, [None, _offsets(owner, n, x.itemsize), pa.py_buffer(x)]) for owner, x in (
+                (of[known], at[known].astype("<i4")), (other_of[first], other[first].astype("<i8")), (other_of[first], count.astype("<i4"))))
             kind = "<u2" if enc.max_token_value < 1 << 16 else "<u4"
             ids = [encode_text(enc, t.decode("utf-8", "replace")).astype(kind).tobytes() for t in texts]
             tid = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
             yield pa.record_batch([b.column("id"), b.column("held_out"), pa.array(tid, pa.int64()),
-                                   pa.array(np.bincount(of, minlength=n)), pa.array(ids, pa.binary()), places,
-                                   listed(pa.array(other[first])), listed(pa.array(count))],
+                                   pa.array(np.bincount(of, minlength=n)), pa.array(ids, pa.binary()), places, others, other_n],
                                   names=["id", "held_out", "tid", "n_words", "ids", "places", "others", "other_n"])
 
     rows = docs.mapInArrow(run, f"id {id_type}, held_out boolean, tid long, n_words long, ids binary, "
-                                "places binary, others array<long>, other_n array<int>")
+                                "places binary, others binary, other_n binary")
     drawn = F.pmod(F.xxhash64("id", "tid", F.lit(5)), F.lit(max(slices, 1))).cast("int")
     return keep_table(rows.withColumn("slice", F.when(F.col("held_out"), -1).otherwise(drawn)), "lm-prepared", ["slice"])
 
@@ -526,34 +544,38 @@ def class_shares(near: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.
     return np.log(groups / groups.sum(axis=1, keepdims=True)), np.log(members / members.sum(axis=2, keepdims=True))
 
 
-def shares(near: np.ndarray, subs: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """log10 of each subword's share of its class, for every bucket of the subword before it: shares add up to 1
-    over the subwords of a class."""
-    return _as_shares(near[:, :LEFT].astype(np.float32), subs, classes)
+class Shares:
+    """log10 of each subword's share of its class, for every bucket of the subword before it: shares add up to 1 over the
+    subwords of a class. Made of the counts ``n`` that are not 0 (``at``: places in a row for each subword of a column for each
+    bucket), which are few: only what they add to the share of a subword that was not counted there is kept."""
 
+    def __init__(self, at: np.ndarray, n: np.ndarray, subs: np.ndarray, classes: np.ndarray):
+        size = GROUPS * MEMBERS
+        plain = (subs + 0.1) / (np.bincount(classes, subs, size) + 0.1 * np.bincount(classes, minlength=size))[classes]
+        ids, bucket = np.divmod(at, LEFT)
+        in_class = np.bincount(classes[ids] * LEFT + bucket, n, size * LEFT)
+        self.classes, self.plain, self.in_class = classes, np.log10(PRIOR * plain), np.log10(in_class + PRIOR)
+        self.more = np.zeros(len(subs) * LEFT, np.float32)  # memory is only taken where counts are
+        self.more[at] = np.log10(1 + n / (PRIOR * plain[ids]))
 
-def _as_shares(table: np.ndarray, subs: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The counts of ``table`` turned into shares, in place: the table is large."""
-    n = GROUPS * MEMBERS
-    plain = (subs + 0.1) / (np.bincount(classes, subs, n) + 0.1 * np.bincount(classes, minlength=n))[classes]
-    for at in range(0, LEFT, 64):  # some columns at a time
-        before = table[:, at:at + 64].astype(np.float64)
-        in_class = np.zeros((n, before.shape[1]))
-        np.add.at(in_class, classes, before)
-        table[:, at:at + 64] = np.log10((before + PRIOR * plain[:, None]) / (in_class + PRIOR)[classes])
-    return table
+    def of(self, ids: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return _rows(self.plain, ids) - _rows(self.in_class, _rows(self.classes, ids) * LEFT + bucket) + _rows(self.more, ids * LEFT + bucket)
 
 
-_TABLE: list = []  # of a worker process: what was broadcast last, and the table of shares made of it
+def shares(near: np.ndarray, subs: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The shares of all subwords after every bucket."""
+    counted = near[:, :LEFT].ravel()
+    at = np.flatnonzero(counted)
+    ids, bucket = np.indices((len(subs), LEFT))
+    return Shares(at, counted[at], subs, classes).of(ids, bucket)
+
 
+_TABLE: list = []  # of a worker process: what was broadcast last, and the shares made of it
 
-def _share_table(sent: tuple) -> np.ndarray:
-    """The table of shares from the counts that are not 0, which are much fewer."""
+
+def _share_table(sent: tuple) -> Shares:
     if not _TABLE or _TABLE[0] is not sent:
-        at, n, subs, classes = sent
-        table = np.zeros(len(subs) * LEFT, np.float32)
-        table[at] = n
-        _TABLE[:] = [sent, _as_shares(table.reshape(-1, LEFT), subs, classes)]
+        _TABLE[:] = [sent, Shares(*sent)]
     return _TABLE[1]
 
 
@@ -595,13 +617,19 @@ def _round(prepared: DataFrame, model: Model, piece: int, rate: float, ids_type:
 def _other_words(prepared: DataFrame) -> DataFrame:
     """``tid, logs, known, distinct``: of the words outside the head, per distinct text the sum of
     log10(c + 0.1) and the known tokens; ``distinct`` adds up to the number of known words, ``tokens`` to their training count."""
-    each = (prepared.select("tid", "held_out", F.explode(F.arrays_zip("others", "other_n")).alias("w"))
-            .groupBy(F.col("w.others").alias("h"), "tid")
-            .agg(F.max("w.other_n").cast("long").alias("n"),
-                 F.sum(F.when(~F.col("held_out"), F.col("w.other_n")).otherwise(0)).alias("train")))
+
+    def run(batches):
+        for b in by_size(batches, "others", 1 << 20):
+            h, n = (np.frombuffer(b"".join(b.column(c).to_pylist()), kind) for c, kind in (("others", "<i8"), ("other_n", "<i4")))
+            of = np.repeat(np.arange(b.num_rows), pa.compute.binary_length(b.column("others")).to_numpy() // 8)
+            tid, rows = (b.column(c).to_numpy()[of] for c in ("tid", "rows"))
+            yield pa.record_batch([pa.array(h), pa.array(tid), pa.array(n, pa.int64()), pa.array(n * rows)], names=["h", "tid", "n", "train"])
+
+    texts = prepared.groupBy("tid").agg(F.first("others").alias("others"), F.first("other_n").alias("other_n"),
+                                        F.sum((~F.col("held_out")).cast("long")).alias("rows"))
     by_word = Window.partitionBy("h")
-    counted = (each.withColumn("c", F.sum("train").over(by_word))
-               .withColumn("first", F.row_number().over(by_word.orderBy("tid")) == 1))
+    counted = (texts.mapInArrow(run, "h long, tid long, n long, train long")
+               .withColumn("c", F.sum("train").over(by_word)).withColumn("first", F.min("tid").over(by_word) == F.col("tid")))
     known = F.col("c") > 0
     return keep_table(counted.groupBy("tid").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + 0.1)).alias("logs"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("known"),
@@ -657,7 +685,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, rank_path: str, pattern: s
                 upto = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
                 return np.diff(upto[np.r_[0, stops]])
 
-            score += summed(share[seq, tables["left"][before]].astype(np.float64), ends)
+            score += summed(share.of(seq, tables["left"][before]), ends)
             base, n_known = summed(logs[at], cuts) + end_log, summed(known[at].astype(np.int64), cuts) + (texts > 0)
             yield pa.record_batch([b.column("id"), b.column("held_out"), b.column("tid"),
                                    pa.array(b.column("n_words").to_numpy() + 1), pa.array(n_known), pa.array(base), pa.array(score)],

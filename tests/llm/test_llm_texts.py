@@ -336,6 +336,43 @@ def test_lm_training_improves_held_out_scores(spark):
     assert mean(4) > mean(0) + 0.1
 
 
+def test_lm_places_of_hashes():
+    rng = np.random.default_rng(5)
+    least, last = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    near = np.sort(rng.choice(1 << 12, 500, replace=False)) + (1 << 40)  # all upper bits alike
+    for head in (np.zeros(0, np.int64), np.array([7]), np.array([least, -1, 0, last]), near, np.unique(rng.integers(least, last, 5000))):
+        h = np.concatenate([rng.permutation(np.concatenate([head, head, head - 1, head + 1])), rng.integers(least, last, 3000), [least, last, 0]])
+        at, known = lm._places(head)(h)
+        assert (at == np.searchsorted(head, h)).all() and (known == np.isin(h, head)).all()
+
+
+def test_lm_shares_match_brute_force():
+    rng = np.random.default_rng(6)
+    near = rng.integers(0, 4, (300, lm.LEFT + lm.RIGHT)) * (rng.random((300, lm.LEFT + lm.RIGHT)) < 0.05)
+    subs, classes = near[:, :lm.LEFT].sum(axis=1), rng.integers(0, 40, 300)
+    got = lm.shares(near.astype(np.float32), subs, classes)
+    for c in range(40):
+        own = np.flatnonzero(classes == c)
+        plain = (subs[own] + 0.1) / (subs[own].sum() + 0.1 * len(own))
+        for b in range(lm.LEFT):
+            assert got[own, b] == pytest.approx(np.log10((near[own, b] + lm.PRIOR * plain) / (near[own, b].sum() + lm.PRIOR)), abs=1e-6)
+
+
+def test_lm_other_words_are_dealt_once(spark, monkeypatch):
+    texts = ["a b b c", "a b b c", "c d", None, "", "d d e"]  # the second row of a text is held out
+    docs = _docs(spark, texts).select(F.col("doc_id").alias("id"), (F.col("doc_id") == 1).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    plans, keep = [], lm.keep_table
+    monkeypatch.setattr(lm, "keep_table", lambda df, *rest: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, *rest))[1])
+    prepared = lm._prepared(docs, np.array([], np.int64), lm.load_ranks(RANKS), public_tokenizers.PATTERN, 2)
+    plans.clear()
+    got = lm._other_words(prepared).agg(F.sum("logs"), F.sum("known"), F.sum("distinct"), F.sum("tokens")).first()
+    assert plans[0].count("Window ") == 1 and plans[0].count("Exchange hashpartitioning(h") == 1
+    c = Counter(w for i, t in enumerate(texts) if i != 1 for w in (t or "").split())
+    each = [w for t in set(texts) for w in (t or "").split()]
+    assert tuple(got)[1:] == (len(each), len(c), sum(c.values()))
+    assert got[0] == pytest.approx(sum(math.log10(c[w] + 0.1) for w in each))
+
+
 # -- secrets -------------------------------------------------------------------------
 def _brute_spans(text):
     found = []
