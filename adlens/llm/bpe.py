@@ -54,6 +54,14 @@ def encoder(rank_file: bytes, pattern: str) -> tiktoken.Encoding:
     return _ENCODERS[key]
 
 
+def token_sizes(rank_file: bytes) -> np.ndarray:
+    """The bytes of every token, by rank."""
+    ranks = {int(rank): len(base64.b64decode(tok)) for tok, rank in map(bytes.split, rank_file.splitlines())}
+    sizes = np.zeros(max(ranks) + 1, np.int64)
+    sizes[list(ranks)] = list(ranks.values())
+    return sizes
+
+
 def safe_pieces(text: str, size: int) -> Iterator[str]:
     """``text`` in pieces of ``size`` characters or a little more, cut at safe places only."""
     start = 0

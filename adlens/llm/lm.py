@@ -40,9 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adlens.llm.bpe import encode_text, encoder, load_ranks
+from adlens.llm.bpe import encode_text, encoder, load_ranks, token_sizes
 from adlens.llm.common import by_size, keep_memory, keep_table, ready
-from adlens.llm.phrases import _spans, _word_hashes
+from adlens.llm.phrases import _gather, _spans, _word_hashes
 
 STRIDE = 16
 EVERY = 1   # every id of a window is predicted in training, as in scoring
@@ -428,6 +428,73 @@ def _places(head: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.nda
     return look
 
 
+class _Pieces:
+    """The ids of texts. A text is cut before each blank or line feed that follows a letter, digit or mark of ASCII or any
+    character of U+00C0 to U+07FF: none of these is white space, and no match of the pattern runs from one into white space, so a
+    new match starts there (see ``bpe``) and a piece has the same ids anywhere. The first ``most`` pieces that are met are encoded
+    once and looked up by their 64-bit hashes; what is between them is encoded text by text."""
+
+    def __init__(self, ranks: bytes, pattern: str, most: int = 1 << 16, longest: int = 64):
+        self.enc, self.sizes, self.most, self.longest = encoder(ranks, pattern), token_sizes(ranks), most, longest
+        self.values = np.zeros(0, "<u2" if len(self.sizes) <= 1 << 16 else "<u4")
+        self.hashes, self.begin, self.size = np.zeros((3, 0), np.int64)
+        self.look = _places(self.hashes)
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each end."""
+        data, length = np.frombuffer(b"\0".join(texts), np.uint8), np.array([len(t) for t in texts])
+        begins = np.cumsum(length + 1) - length - 1
+        solid = (data > 32) & (data < 127)
+        solid[1:] |= (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF) & (data[1:] >= 0x80) & (data[1:] <= 0xBF)
+        safe = np.flatnonzero(((data[1:] == 32) | (data[1:] == 10)) & solid[:-1]) + 1
+        first = np.searchsorted(safe, begins)
+        start = np.insert(safe, first, begins)
+        first += np.arange(len(texts))
+        after = np.append(first[1:], len(start))
+        end = np.append(start[1:], len(data) + 1)
+        end[after - 1] -= 1
+        plain = (end - start > 1) & (end - start <= self.longest)
+        plain[first] = False
+        plain = np.flatnonzero(plain)
+        plain = plain[solid[end[plain] - 1]]
+        h = _word_hashes(data, start[plain], end[plain]).view(np.int64)
+        at, known = self.look(h)
+        try:
+            if len(self.hashes) < self.most and not known.all():
+                new, where = np.unique(h[~known], return_index=True)
+                where = plain[~known][where]
+                self._learn(new, *_gather(data, start[where], (end - start)[where]))
+                at, known = self.look(h)
+            rest = np.ones(len(start), bool)
+            rest[plain[known]] = False
+            between, offsets = _gather(data, start[rest], (end - start)[rest])
+            cuts = np.append(offsets[:-1][(np.cumsum(rest) - 1)[first]], offsets[-1]).tolist()  # a text's first piece is never looked up
+            between = between.tobytes()
+            found = np.concatenate([encode_text(self.enc, between[a:z].decode("utf-8")) for a, z in zip(cuts[:-1], cuts[1:])])
+        except UnicodeDecodeError:
+            whole = [encode_text(self.enc, t.decode("utf-8", "replace")) for t in texts]
+            return np.concatenate(whole).astype(self.values.dtype), np.cumsum([len(x) for x in whole])
+        begin, size = np.empty((2, len(start)), np.int64)
+        begin[plain[known]], size[plain[known]] = self.begin[at[known]], self.size[at[known]]
+        stops = np.searchsorted(np.cumsum(self.sizes[found]), offsets, side="right")
+        begin[rest], size[rest] = stops[:-1] + len(self.values), np.diff(stops)
+        upto = np.cumsum(size)
+        values = np.concatenate([self.values, found.astype(self.values.dtype)])
+        return values[np.repeat(begin - upto + size, size) + np.arange(upto[-1])], upto[after - 1]
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+        """Keeps the ids of pieces, which are encoded together and told apart by the bytes of their ids."""
+        ids = encode_text(self.enc, data.tobytes().decode("utf-8"))
+        stops = np.searchsorted(np.cumsum(self.sizes[ids]), offsets, side="right")
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.begin = np.concatenate([self.begin, stops[:-1] + len(self.values)])[order]
+        self.size = np.concatenate([self.size, np.diff(stops)])[order]
+        self.values = np.concatenate([self.values, ids.astype(self.values.dtype)])
+        self.look = _places(self.hashes)
+
+
 def _prepared(docs: DataFrame, head: np.ndarray, ranks: bytes, pattern: str, slices: int) -> DataFrame:
     """One stored row per row of ``docs``: subword ids, places of its words in the head, counts of the others, and the
     slice of the training rows (-1: held out), which is a folder."""
@@ -437,7 +504,7 @@ def _prepared(docs: DataFrame, head: np.ndarray, ranks: bytes, pattern: str, sli
 
     def run(batches):
         head, ranks = shared.value
-        enc, place = encoder(ranks, pattern), _places(head)
+        pieces, place = _Pieces(ranks, pattern), _places(head)
         for b in by_size(batches, "text", 1 << 19):  # so that the arrays of its words fit a cache
             texts, n = [t or b"" for t in b.column("text").to_pylist()], b.num_rows
             h, of = _words(texts)
@@ -449,11 +516,11 @@ def _prepared(docs: DataFrame, head: np.ndarray, ranks: bytes, pattern: str, sli
             count = np.diff(np.r_[first, len(other)])
             places, others, other_n = (pa.Array.from_buffers(pa.binary(), n, [None, _offsets(owner, n, x.itemsize), pa.py_buffer(x)]) for owner, x in (
                 (of[known], at[known].astype("<i4")), (other_of[first], other[first].astype("<i8")), (other_of[first], count.astype("<i4"))))
-            kind = "<u2" if enc.max_token_value < 1 << 16 else "<u4"
-            ids = [encode_text(enc, t.decode("utf-8", "replace")).astype(kind).tobytes() for t in texts]
+            ids, stops = pieces.ids(texts)
+            ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[0, stops * ids.itemsize].astype(np.int32)), pa.py_buffer(ids)])
             tid = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
             yield pa.record_batch([b.column("id"), b.column("held_out"), pa.array(tid, pa.int64()),
-                                   pa.array(np.bincount(of, minlength=n)), pa.array(ids, pa.binary()), places, others, other_n],
+                                   pa.array(np.bincount(of, minlength=n)), ids, places, others, other_n],
                                   names=["id", "held_out", "tid", "n_words", "ids", "places", "others", "other_n"])
 
     rows = docs.mapInArrow(run, f"id {id_type}, held_out boolean, tid long, n_words long, ids binary, "
@@ -522,10 +589,12 @@ def _neighbours(prepared: DataFrame, left: np.ndarray, right: np.ndarray, ids_ty
             ends = np.cumsum(pa.compute.binary_length(b.column(0)).to_numpy()) // np.dtype(ids_type).itemsize
             before = np.insert(ids, np.r_[0, ends[:-1]], vocab)  # of a text: the end, its ids; beside them its ids, the end
             after = np.insert(ids, ends, vocab)
+            pairs = np.sort((before * (vocab + 1) + after).astype(np.uint32 if vocab < 1 << 16 else np.int64))
+            first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+            n = np.diff(np.r_[first, len(pairs)]).astype(np.int32)
+            before, after = np.divmod(pairs[first].astype(np.int64), vocab + 1)
             for keys in (after * wide + left[before], before * wide + LEFT + right[after]):
-                keys = np.sort(keys.astype(np.int32))  # in order, as the table is much larger than a cache
-                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                near[keys[first]] += np.diff(np.r_[first, len(keys)]).astype(np.int32)
+                np.add.at(near, keys, n)
         yield from _sparse(0, near)
 
     found = _few(prepared.where("not held_out").select("ids"), 1).mapInArrow(run, "kind int, at long, n long")

@@ -346,6 +346,21 @@ def test_lm_places_of_hashes():
         assert (at == np.searchsorted(head, h)).all() and (known == np.isin(h, head)).all()
 
 
+def test_lm_pieces_give_the_ids_of_whole_texts():
+    enc, rng = _reference_encoder(), random.Random(8)
+    space = [" ", " ", " ", " ", "  ", "\n", " \n", "\n\n ", "\t", "\r\n", "\u00a0", "\u0085 ", "\u3000", "\u2009 ", "\0", "\x1c "]
+    words = ["the", "The", "don't", "'s", "caf\u00e9", "\u00e9\u00e8", "\u00d7", "\u0436\u0443\u043a", "\u65e5\u672c", "12", "3a", "...", "&&&", "\U0001f600", "x" * 90]
+    texts = [(t or "").encode() for t in ODD] + ["".join(rng.choice(words + [str(rng.randrange(300))]) + rng.choice(space) for _ in range(rng.randrange(60))).encode()
+                                                 for _ in range(400)]
+    odd = [b"a \xff b", b"\xc3 a caf\xc3\xa9 \xc3", b" \xfe"]  # no UTF-8
+    for most in (0, 20, 1 << 16):
+        pieces = lm._Pieces(lm.load_ranks(RANKS), public_tokenizers.PATTERN, most)
+        for batch in (texts[:1], texts[:60], [b"", b""], texts[60:], odd + texts[:30], texts, [b""]):
+            ids, ends = pieces.ids(batch)
+            assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [enc.encode_ordinary(t.decode("utf-8", "replace")) for t in batch]
+        assert bool(most) == bool(len(pieces.hashes))
+
+
 def test_lm_shares_match_brute_force():
     rng = np.random.default_rng(6)
     near = rng.integers(0, 4, (300, lm.LEFT + lm.RIGHT)) * (rng.random((300, lm.LEFT + lm.RIGHT)) < 0.05)
